@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import collapse, strip
+from gleaner.functions.text import collapse, let, strip
 from gleaner.session import cut_lineage
 
 
@@ -48,10 +48,12 @@ def _prefix_length(n: Column, threshold: float) -> Column:
 def shingle_sets(df: DataFrame, order: str, text: str = "text", width: int = 3, min_chars: int = 40) -> DataFrame:
     """(order, shingles, n): sorted distinct 64-bit hashes of word runs; texts under ``min_chars`` take no part."""
     folded = df.select(order, F.lower(collapse(F.col(text))).alias("_t")).filter(F.length("_t") >= min_chars)
-    words = folded.select(order, F.split("_t", " ").alias("_w"))
-    runs = words.select(order, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("_w") - width + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, F.lit(width)), " "))).alias("_s"))
+
+    def hashes(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - width + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(width)), " ")))
+
+    runs = folded.select(order, let(F.split("_t", " "), hashes).alias("_s"))
     return runs.select(order, F.array_sort(F.array_distinct("_s")).alias("shingles")).withColumn("n", F.size("shingles"))
 
 
@@ -61,27 +63,25 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def near_duplicate_keepers(df: DataFrame, order: str, text: str = "text", threshold: float = 0.9, width: int = 3,
-                           rounds: int = 8) -> DataFrame:
+                           rounds: int = 24) -> DataFrame:
     """(order, keeper) for rows dropped by the sequential rule "drop a text that is close to an already kept one".
 
     Texts are first collapsed to one per exact shingle set, so copies cost nothing.  Each text is listed under its
     prefix shingles; close texts always share one.  In every round a text that is the smallest in all of its buckets has
     no earlier rival, so it is kept for certain, and the others of its buckets are compared with it alone: the work is
-    linear in the listing, and no bucket ever emits its pairs.  Buckets of unlike texts settle one text per round, so
-    after ``rounds`` what is left is decided from its explicit, exact pairs.
+    linear in the listing.  As soon as the remaining buckets hold few pairs (measured, no more than four per listed row),
+    or after ``rounds``, the rest is decided from its explicit, exact pairs.
     """
-    sets = shingle_sets(df, order, text, width).withColumnRenamed(order, "_id")
-    # one representative per identical set
-    by_set = sets.groupBy(F.xxhash64("shingles").alias("_h"), F.sha2(F.array_join("shingles", ","), 256).alias("_d"))
-    heads = cut_lineage(by_set.agg(F.min("_id").alias("_id"), F.first("shingles").alias("shingles"), F.first("n").alias("n")))
-    same = (sets.select("_id", F.sha2(F.array_join("shingles", ","), 256).alias("_d"))
-            .join(heads.select(F.col("_id").alias("head"), "_d"), "_d").select("_id", "head"))
-    payload = heads.select("_id", "shingles", "n")
+    digest = F.struct(F.xxhash64("shingles"), F.xxhash64(F.lit(1), "shingles"))
+    sets = cut_lineage(shingle_sets(df, order, text, width).withColumnRenamed(order, "_id").withColumn("_d", digest))
+    # identical sets are settled by an aggregate, so masses of copies never meet the buckets
+    heads = cut_lineage(sets.groupBy("_d").agg(F.min("_id").alias("head")))
+    same = sets.select("_id", "_d").join(heads, "_d").select("_id", "head")
+    payload = sets.join(heads.select(F.col("head").alias("_id")), "_id", "left_semi").select("_id", "shingles", "n")
     listing = cut_lineage(payload.select(
         "_id", "n", F.explode(F.slice("shingles", F.lit(1), _prefix_length(F.col("n"), threshold))).alias("bucket")))
-    open_ids = payload.select("_id")
-    dropped = None
-    kept_all = None
+    dropped = df.sparkSession.createDataFrame([], "b bigint, a bigint").select(
+        F.col("b").cast(df.schema[order].dataType), F.col("a").cast(df.schema[order].dataType))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = payload.select(F.col("_id").alias("a"), F.col("shingles").alias("sa"))
@@ -90,7 +90,19 @@ def near_duplicate_keepers(df: DataFrame, order: str, text: str = "text", thresh
         return joined.filter(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
 
     size_ok = (F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold)
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
+        # explicit pairs as soon as they cost no more than a few passes over the listing
+        sizes = listing.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+        load = sizes.agg(F.sum("m").alias("n"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
+        if not load["n"]:
+            break
+        if load["pairs"] <= 4 * load["n"] or turn == rounds:
+            left = listing.select(F.col("_id").alias("a"), F.col("n").alias("na"), "bucket")
+            right = listing.select(F.col("_id").alias("b"), F.col("n").alias("nb"), "bucket")
+            pairs = left.join(right, "bucket").filter(F.col("a") < F.col("b")).filter(size_ok).select("a", "b").distinct()
+            edges = cut_lineage(verified(pairs))
+            dropped = dropped.unionByName(_first_wins(edges, edges.select(F.col("a").alias("_id")).union(edges.select("b")).distinct()))
+            break
         firsts = listing.groupBy("bucket").agg(F.min(F.struct("_id", "n")).alias("m"))
         firsts = firsts.select("bucket", F.col("m._id").alias("a"), F.col("m.n").alias("na"))
         # every bucket has one smallest text, so this join adds one column and never multiplies rows
@@ -100,18 +112,9 @@ def near_duplicate_keepers(df: DataFrame, order: str, text: str = "text", thresh
         near = (ranked.filter("_id <> a").withColumnRenamed("n", "nb").filter(size_ok).select("a", F.col("_id").alias("b"))
                 .distinct().join(sure.withColumnRenamed("_id", "a"), "a", "left_semi"))
         hits = cut_lineage(verified(near).groupBy("b").agg(F.min("a").alias("a")))
-        dropped = hits if dropped is None else dropped.unionByName(hits)
-        kept_all = sure if kept_all is None else kept_all.unionByName(sure)
+        dropped = dropped.unionByName(hits)
         done = sure.unionByName(hits.select(F.col("b").alias("_id")))
         listing = cut_lineage(listing.join(done, "_id", "left_anti"))
-        if listing.isEmpty():
-            break
-    else:
-        left = listing.select(F.col("_id").alias("a"), F.col("n").alias("na"), "bucket")
-        right = listing.select(F.col("_id").alias("b"), F.col("n").alias("nb"), "bucket")
-        pairs = left.join(right, "bucket").filter(F.col("a") < F.col("b")).filter(size_ok).select("a", "b").distinct()
-        edges = cut_lineage(verified(pairs))
-        dropped = dropped.unionByName(_first_wins(edges, listing.select("_id").distinct()))
     out = same.join(dropped.select(F.col("b").alias("head"), F.col("a").alias("_keeper")), "head", "left")
     return (out.select(F.col("_id").alias(order), F.coalesce("_keeper", "head").alias("keeper"))
             .filter(F.col(order) != F.col("keeper")))
@@ -119,11 +122,11 @@ def near_duplicate_keepers(df: DataFrame, order: str, text: str = "text", thresh
 
 def _first_wins(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): b is dropped because of kept a, by the sequential first-wins rule over explicit pairs a < b."""
-    out = None
+    out = edges.select("b", "a").limit(0)
     while not nodes.isEmpty():
         kept = cut_lineage(nodes.join(edges.select(F.col("b").alias("_id")), "_id", "left_anti"))
         hits = cut_lineage(edges.join(kept.withColumnRenamed("_id", "a"), "a", "left_semi").groupBy("b").agg(F.min("a").alias("a")))
-        out = hits if out is None else out.unionByName(hits)
+        out = out.unionByName(hits)
         gone = kept.unionByName(hits.select(F.col("b").alias("_id")))
         nodes = cut_lineage(nodes.join(gone, "_id", "left_anti"))
         edges = cut_lineage(edges.join(gone.withColumnRenamed("_id", "a"), "a", "left_anti")
