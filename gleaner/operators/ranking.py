@@ -85,7 +85,7 @@ def recency(published: Column, as_of: Column, half_life_days: float = 730.0, def
     """Exponential decay of a timestamp's age in days."""
     days = F.greatest((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(published.cast("timestamp"))) / 86400e6, F.lit(0.0))
     decay = F.exp(days * (-math.log(2) / half_life_days))
-    return F.coalesce(F.least(F.greatest(decay, F.lit(0.05)), F.lit(1.0)), F.lit(default))
+    return F.when(published.isNull(), default).otherwise(F.least(F.greatest(decay, F.lit(0.05)), F.lit(1.0)))
 
 
 def hybrid(semantic: Column, lexical: Column, quality: Column, recent: Column, context: Column,

@@ -107,7 +107,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None = 5, min_score:
             ids, matrix, floors = packed.value
             for batch in batches:
                 if len(batch):
-                    yield _best(batch[vec_id].to_numpy(), np.stack(batch[column].to_numpy()), ids, matrix, k, floors)
+                    yield _best(batch[vec_id].to_numpy(), np.stack(batch[column].to_numpy()), ids, matrix, k, floors).set_axis([query_id, vec_id, "score"], axis=1)
 
         scored = base.select(vec_id, column).mapInPandas(score, schema)
     else:
@@ -141,7 +141,7 @@ def _best(vec_ids, vectors, query_ids, matrix, k: int | None, floors) -> pd.Data
         order = np.lexsort((vec_ids, -column))[:k]
         order = order[column[order] >= floors[j]]
         out.append(pd.DataFrame({"q": [query] * len(order), "v": vec_ids[order], "s": column[order]}))
-    return pd.concat(out)  # columns are matched by position
+    return pd.concat(out)
 
 
 def embed_missing(texts: DataFrame, cache: DataFrame, text: str = "text", dim: int = L.EMBEDDING_DIM) -> tuple[DataFrame, DataFrame]:
