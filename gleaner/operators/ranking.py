@@ -63,13 +63,16 @@ def corpus_bm25(docs: DataFrame, queries: DataFrame, doc: str, query_id: str, te
 
 def lexical_column(query_tokens: Column, doc_tokens: Column) -> Column:
     """The lexical score of one row's query against the same row's text (candidate lists are short)."""
-    def gain(t: Column) -> Column:
-        tf = F.size(F.filter(doc_tokens, lambda x: x == t))
-        return F.when(tf > 0, saturation(tf, F.size(doc_tokens))).otherwise(F.lit(0.0))
+    def score(q: Column, d: Column) -> Column:
+        def gain(t: Column) -> Column:
+            tf = F.size(F.filter(d, lambda x: x == t))
+            return F.when(tf > 0, saturation(tf, F.size(d))).otherwise(F.lit(0.0))
 
-    total = F.aggregate(F.transform(query_tokens, gain), F.lit(0.0), lambda acc, x: acc + x)
-    return F.when((F.size(query_tokens) == 0) | (F.size(doc_tokens) == 0), F.lit(0.0)).otherwise(
-        F.least(total / (F.size(query_tokens) * (K1 + 1) + 1e-9), F.lit(1.0)))
+        total = F.aggregate(F.transform(q, gain), F.lit(0.0), lambda acc, x: acc + x)
+        return F.when((F.size(q) == 0) | (F.size(d) == 0), F.lit(0.0)).otherwise(
+            F.least(total / (F.size(q) * (K1 + 1) + 1e-9), F.lit(1.0)))
+
+    return T.let(query_tokens, lambda q: T.let(doc_tokens, lambda d: score(q, d)))
 
 
 def source_quality(url: Column, domain: Column, source_type: Column, credibility: Column | None = None) -> Column:
