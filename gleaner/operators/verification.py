@@ -60,10 +60,11 @@ def compare_sources(support: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def claim_confidence(best: Column, credibility: Column, sources: Column, conflicts: Column) -> Column:
+    # the tiny nudge keeps binary noise from deciding how an exact half is rounded
     score = F.coalesce(best, F.lit(0.85)) * 0.7 + credibility * 0.3
     score = score + F.when(sources >= 3, 0.08).when(sources == 2, 0.04).otherwise(0.0)
     score = score - F.least(F.lit(0.50), conflicts * 0.25)
-    return F.when(sources.isNull() | (sources == 0), 0.30).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2))
+    return F.when(sources.isNull() | (sources == 0), 0.30).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + 1e-9)), 2))
 
 
 def claim_facts(claims: DataFrame, support: DataFrame, compared: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def ground_claims(claims: DataFrame, evidence: DataFrame, run: str, threshold: f
     score = F.when(F.col("m.v") == 10.0, F.col("m.confidence")).otherwise(F.round(F.least(F.lit(1.0), F.col("m.v")), 4))
     good = F.coalesce(F.col("m.v") >= threshold, F.lit(False))
     rows = claims.select("claim_id").join(ranked, "claim_id", "left")
-    seen = F.when(score >= floor, score).otherwise(0.0)
+    seen = F.when(F.col("m").isNotNull() & (score >= floor), score).otherwise(0.0)
     return rows.select("claim_id", good.alias("grounded"), F.coalesce(seen, F.lit(0.0)).alias("confidence"), F.when(good, -F.col("m.e")).alias("evidence_id"))
 
 

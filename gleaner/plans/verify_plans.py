@@ -89,13 +89,13 @@ def facts(spark, d):
     return V.claim_facts(claims, s, V.compare_sources(s, claim_sources(spark, d)), conflicts(spark, d))
 
 
-@query("clm7_confidence", f"WITH {FACT_SQL} SELECT claim_id, supporting, contradictions, round(conf, 2) AS confidence FROM v")
+@query("clm7_confidence", f"WITH {FACT_SQL} SELECT claim_id, supporting, contradictions, round(conf + 1e-9, 2) AS confidence FROM v")
 def _(spark, d):
     return facts(spark, d).select("claim_id", "supporting", "contradictions", "confidence")
 
 
 ASSESS_SQL = f"""{FACT_SQL}, l AS (SELECT claim_id, avg(s.confidence) AS st, avg(credibility_score) AS ql, avg(CASE WHEN yr IS NOT NULL THEN greatest(0.4::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (2026 - yr) * 0.1::DOUBLE)) END) AS rc, count(DISTINCT source_id) AS n FROM s LEFT JOIN {_SRC} USING (source_id) GROUP BY 1),
-w AS (SELECT claim_id, v.supporting, v.contradictions, round(conf, 2) AS conf, CASE WHEN n IS NULL THEN 0.3::DOUBLE ELSE round(greatest(0, least(1, st * 0.35::DOUBLE + coalesce(ql, st) * 0.25::DOUBLE + coalesce(rc, 0.6::DOUBLE) * 0.10::DOUBLE + least(1, 0.55::DOUBLE + 0.15::DOUBLE * least(n, 3)) * 0.20::DOUBLE + 0.10::DOUBLE - least(0.45::DOUBLE, 0.15::DOUBLE * v.contradictions))), 4) END AS asm FROM v LEFT JOIN l USING (claim_id))"""
+w AS (SELECT claim_id, v.supporting, v.contradictions, round(conf + 1e-9, 2) AS conf, CASE WHEN n IS NULL THEN 0.3::DOUBLE ELSE round(greatest(0, least(1, st * 0.35::DOUBLE + coalesce(ql, st) * 0.25::DOUBLE + coalesce(rc, 0.6::DOUBLE) * 0.10::DOUBLE + least(1, 0.55::DOUBLE + 0.15::DOUBLE * least(n, 3)) * 0.20::DOUBLE + 0.10::DOUBLE - least(0.45::DOUBLE, 0.15::DOUBLE * v.contradictions))), 4) END AS asm FROM v LEFT JOIN l USING (claim_id))"""
 
 
 @query("clm8_verdicts", f"""WITH {ASSESS_SQL}, z AS (SELECT *, CASE WHEN contradictions > 0 THEN least(conf, asm) ELSE greatest(conf, asm) END AS fin FROM w)
@@ -207,9 +207,9 @@ def grounded(spark, d):
     return V.ground_claims(claims, pool(spark, d), "research_id").join(claims, "claim_id")
 
 
-@query("clm15_grounding", f"WITH {GROUND_SQL} SELECT claim_id, grounded, round(confidence, 3) AS confidence FROM q")
+@query("clm15_grounding", f"WITH {GROUND_SQL} SELECT claim_id, grounded, confidence FROM q")
 def _(spark, d):
-    return grounded(spark, d).select("claim_id", "grounded", F.round("confidence", 3).alias("confidence"))
+    return grounded(spark, d).select("claim_id", "grounded", "confidence")
 
 
 @query("clm16_report_audit", f"""WITH {GROUND_SQL}, a AS (SELECT report_id, count(*) AS claims, count(*) FILTER (grounded) AS supported, count(*) FILTER (NOT grounded AND confidence >= 0.25) AS rewritten FROM q GROUP BY 1)
