@@ -53,18 +53,29 @@ def coefficient_pairs(left: DataFrame, right: DataFrame, groups: list[str], shar
     return a.unionByName(b).distinct()
 
 
-def mention_pairs(texts: DataFrame, mentions: DataFrame, groups: list[str]) -> DataFrame:
-    """(groups, left_id, right_id): texts that contain a mention as a substring.
+def mention_weights(texts: DataFrame, mentions: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, left_id, right_id, bonus): texts that contain mentions as substrings, weights summed per pair.
 
-    texts: groups, id, text; mentions: groups, id, mention (three letters or more).  The distinct mentions are found
-    through their first three letters, then the pair is verified, then mentions become their owners.
+    texts: groups, id, text; mentions: groups, id, mention (three letters or more), weight.  The distinct mentions are
+    found through their first three letters, then verified, then become their owners; no text travels with a pair.
     """
-    names = mentions.filter(F.length("mention") >= 3).select(*groups, F.lower("mention").alias("mention"), F.col("id").alias("right_id")).distinct()
+    names = mentions.filter(F.length("mention") >= 3).groupBy(*groups, F.lower("mention").alias("mention"), F.col("id").alias("right_id")).agg(
+        F.sum("weight").alias("weight"))
     wanted = names.select(*groups, "mention", F.substring("mention", 1, 3).alias("gram")).distinct()
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3)))
     rows = texts.select(*groups, F.col("id").alias("left_id"), "text", F.explode(F.array_distinct(grams)).alias("gram"))
     hits = rows.join(wanted, [*groups, "gram"]).filter(F.col("text").contains(F.col("mention"))).select(*groups, "left_id", "mention")
-    return hits.join(names, [*groups, "mention"]).select(*groups, "left_id", "right_id").distinct()
+    return hits.join(names, [*groups, "mention"]).groupBy(*groups, "left_id", "right_id").agg(F.sum("weight").alias("bonus"))
+
+
+def mention_pairs(texts: DataFrame, mentions: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, left_id, right_id): texts that contain a mention of the other side."""
+    return mention_weights(texts, mentions.withColumn("weight", F.lit(1.0)), groups).drop("bonus")
+
+
+def hashed(tokens: Column) -> Column:
+    """Tokens as 64-bit numbers: a quarter of the bytes in the pair joins, and faster to intersect."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def shared_share(a: Column, b: Column) -> Column:

@@ -16,29 +16,26 @@ def claim_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " ")
 
 
-def _bonus(clean: Column, entities: Column, metrics: Column, per_entity: float, per_metric: float) -> Column:
-    hits = lambda xs: F.size(F.filter(xs, lambda e: clean.contains(F.lower(e))))
-    return hits(entities) * per_entity + hits(metrics) * per_metric
-
-
 def _scored_pairs(claims: DataFrame, evidence: DataFrame, run: str, share: float, per_entity: float, per_metric: float) -> DataFrame:
     """Claim-evidence pairs that can reach ``share``, with the words shared and the mention bonus.
 
     Without a bonus a pair needs the share itself, which the rare-prefix join finds; with one it needs a mention, which
-    the mention join finds.  Their union misses nothing, and every candidate is verified.
+    the mention join finds and weighs.  Their union misses nothing, and every candidate is verified on hashed word sets.
     """
-    left = claims.select(run, F.col("claim_id").alias("id"), K.word_set(F.col("claim")).alias("tokens"))
-    right = evidence.select(run, F.col("evidence_id").alias("id"), K.word_set(F.col("body")).alias("tokens"))
-    mentions = evidence.select(run, F.col("evidence_id").alias("id"), F.explode(F.concat("entities", "metrics")).alias("mention"))
+    left = claims.select(run, F.col("claim_id").alias("id"), O.hashed(K.word_set(F.col("claim"))).alias("tokens"))
+    right = evidence.select(run, F.col("evidence_id").alias("id"), O.hashed(K.word_set(F.col("body"))).alias("tokens"))
+    weigh = lambda c, w: evidence.select(run, F.col("evidence_id").alias("id"), F.explode(c).alias("mention"), F.lit(w).alias("weight"))
+    mentions = weigh("entities", per_entity).unionByName(weigh("metrics", per_metric))
     texts = claims.select(run, F.col("claim_id").alias("id"), claim_text(F.col("claim")).alias("text"))
-    pairs = O.coverage_pairs(left, right, [run], share).unionByName(O.mention_pairs(texts, mentions, [run])).distinct()
-    c = claims.select(F.col("claim_id").alias("left_id"), "claim", K.word_set(F.col("claim")).alias("ct"), claim_text(F.col("claim")).alias("clean"),
-                      F.lower(T.strip(F.col("claim"))).alias("ck"))
-    e = evidence.select(F.col("evidence_id").alias("right_id"), K.word_set(F.col("body")).alias("et"), "entities", "metrics", "confidence", "status",
-                        "source_id", F.lower(T.strip(F.col("evidence_claim"))).alias("ek"))
+    covered = O.coverage_pairs(left, right, [run], share).withColumn("bonus", F.lit(0.0))
+    pairs = covered.unionByName(O.mention_weights(texts, mentions, [run])).groupBy(run, "left_id", "right_id").agg(F.max("bonus").alias("bonus"))
+    key = lambda c: F.xxhash64(F.lower(T.strip(F.col(c))))
+    c = claims.select(F.col("claim_id").alias("left_id"), O.hashed(K.word_set(F.col("claim"))).alias("ct"), key("claim").alias("ck"))
+    e = evidence.select(F.col("evidence_id").alias("right_id"), O.hashed(K.word_set(F.col("body"))).alias("et"), key("evidence_claim").alias("ek"))
     joined = pairs.join(c, "left_id").join(e, "right_id")
-    score = O.shared_share(F.col("ct"), F.col("et")) + _bonus(F.col("clean"), F.col("entities"), F.col("metrics"), per_entity, per_metric)
-    return joined.withColumn("match", score).withColumn("exact", F.col("ck") == F.col("ek"))
+    scored = joined.select(run, "left_id", "right_id", (O.shared_share(F.col("ct"), F.col("et")) + F.col("bonus")).alias("match"), (F.col("ck") == F.col("ek")).alias("exact"))
+    facts = evidence.select(F.col("evidence_id").alias("right_id"), "confidence", "status", "source_id")
+    return scored.filter(F.col("exact") | (F.round("match", 9) >= share)).join(facts, "right_id")
 
 
 def supporting_evidence(claims: DataFrame, evidence: DataFrame, run: str = "research_id", share: float = 0.45, k: int = 5) -> DataFrame:
@@ -93,9 +90,9 @@ def verdicts(facts: DataFrame, assessed: DataFrame) -> DataFrame:
 # --- second rule set -----------------------------------------------------------------------------------------------------
 def related_support(evidence: DataFrame, run: str, share: float = 0.55) -> DataFrame:
     """(evidence_id, related, supported, confidence): related claims overlap by .55; one of another URL supports."""
-    sets = evidence.select(run, F.col("evidence_id").alias("id"), K.long_tokens(F.col("claim")).alias("tokens"))
+    sets = evidence.select(run, F.col("evidence_id").alias("id"), O.hashed(K.long_tokens(F.col("claim"))).alias("tokens"))
     pairs = O.coefficient_pairs(sets, sets, [run], share).filter("left_id <> right_id")
-    side = evidence.select("evidence_id", "source_url", K.long_tokens(F.col("claim")).alias("t"))
+    side = evidence.select("evidence_id", F.xxhash64("source_url").alias("source_url"), O.hashed(K.long_tokens(F.col("claim"))).alias("t"))
     a = side.select(F.col("evidence_id").alias("left_id"), F.col("source_url").alias("ua"), F.col("t").alias("ta"))
     b = side.select(F.col("evidence_id").alias("right_id"), F.col("source_url").alias("ub"), F.col("t").alias("tb"))
     good = pairs.join(a, "left_id").join(b, "right_id").filter(K.overlap_coefficient(F.col("ta"), F.col("tb")) >= share)
@@ -126,17 +123,21 @@ def independent_checks(claims: DataFrame, passages: DataFrame, run: str) -> Data
     """
     candidates = None
     for cut in (K.long_tokens, wordy):
-        left = claims.select(run, F.col("claim_id").alias("id"), cut(F.col("claim")).alias("tokens"))
-        right = passages.select(run, F.col("passage_id").alias("id"), cut(F.col("passage")).alias("tokens"))
+        left = claims.select(run, F.col("claim_id").alias("id"), O.hashed(cut(F.col("claim"))).alias("tokens"))
+        right = passages.select(run, F.col("passage_id").alias("id"), O.hashed(cut(F.col("passage"))).alias("tokens"))
         pairs = O.coefficient_pairs(left, right, [run], 0.60)
         candidates = pairs if candidates is None else candidates.unionByName(pairs)
-    c = claims.select(F.col("claim_id").alias("left_id"), "claim", F.col("domain").alias("da"))
-    p = passages.select(F.col("passage_id").alias("right_id"), "passage", "page_url", F.col("domain").alias("db"))
+    def features(text: str, p: str) -> list[Column]:
+        c = F.col(text)
+        return [numbers(c).alias(f"{p}n"), metric_numbers(c).alias(f"{p}m"), O.hashed(K.long_tokens(c)).alias(f"{p}t"), O.hashed(wordy(c)).alias(f"{p}w")]
+
+    # the features are computed once per text, before the pairs multiply them
+    c = claims.select(F.col("claim_id").alias("left_id"), F.xxhash64("domain").alias("da"), *features("claim", "c"))
+    p = passages.select(F.col("passage_id").alias("right_id"), F.xxhash64("page_url").alias("page_url"), F.xxhash64("domain").alias("db"), *features("passage", "p"))
     joined = candidates.distinct().join(c, "left_id").join(p, "right_id").filter("da <> db")
-    cn, pn = numbers(F.col("claim")), numbers(F.col("passage"))
-    cm, pm = metric_numbers(F.col("claim")), metric_numbers(F.col("passage"))
-    full = K.overlap_coefficient(K.long_tokens(F.col("claim")), K.long_tokens(F.col("passage")))
-    words = K.overlap_coefficient(wordy(F.col("claim")), wordy(F.col("passage")))
+    cn, pn, cm, pm = (F.col(n) for n in ("cn", "pn", "cm", "pm"))
+    full = K.overlap_coefficient(F.col("ct"), F.col("pt"))
+    words = K.overlap_coefficient(F.col("cw"), F.col("pw"))
     supports = F.when(F.size(cn) == 0, full >= 0.72).otherwise((full >= 0.60) & (F.size(F.array_except(cn, pn)) == 0))
     contradicts = (F.size(cm) > 0) & (F.size(pm) > 0) & (words >= 0.60) & (F.size(F.array_intersect(cm, pm)) == 0)
     per = joined.groupBy(F.col("left_id").alias("claim_id")).agg(F.countDistinct(F.when(supports, F.col("page_url"))).alias("supporting"),
@@ -179,7 +180,7 @@ def ground_claims(claims: DataFrame, evidence: DataFrame, run: str, threshold: f
     weighted = F.col("match") * (0.7 + 0.3 * F.col("confidence")) * F.when(F.col("status").isin(*L.DISPUTED_STATUSES), 0.3).otherwise(1.0)
     value = F.round(F.when(F.col("exact"), F.lit(10.0)).otherwise(weighted), 9)
     ranked = scored.groupBy(F.col("left_id").alias("claim_id")).agg(F.max(F.struct(value.alias("v"), (-F.col("right_id")).alias("e"), "confidence")).alias("m"))
-    score = F.when(F.col("m.v") == 10.0, F.col("m.confidence")).otherwise(F.round(F.least(F.lit(1.0), F.col("m.v")), 4))
+    score = F.when(F.col("m.v") == 10.0, F.col("m.confidence")).otherwise(F.round(F.least(F.lit(1.0), F.col("m.v") + 1e-9), 4))
     good = F.coalesce(F.col("m.v") >= threshold, F.lit(False))
     rows = claims.select("claim_id").join(ranked, "claim_id", "left")
     seen = F.when(F.col("m").isNotNull() & (score >= floor), score).otherwise(0.0)

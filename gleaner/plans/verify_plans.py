@@ -199,7 +199,7 @@ def _(spark, d):
 
 GROUND_SQL = f"""{_pairs_sql('0.20::DOUBLE', '0.25::DOUBLE').replace(I.CLAIMS, RCLAIMS, 1)},
 b AS (SELECT claim_id, max(round(CASE WHEN exact THEN 10.0 ELSE raw * (0.7::DOUBLE + 0.3::DOUBLE * confidence) * CASE WHEN status = 'disputed' THEN 0.3::DOUBLE ELSE 1 END END, 9)) AS v, max(CASE WHEN exact THEN confidence END) AS xc FROM m GROUP BY 1),
-q AS (SELECT rc.claim_id, rc.report_id, rc.claim, coalesce(v >= 0.45, FALSE) AS grounded, CASE WHEN v = 10 THEN xc WHEN round(least(1, v), 4) >= 0.25 THEN round(least(1, v), 4) ELSE 0::DOUBLE END AS confidence FROM {RCLAIMS} rc LEFT JOIN b USING (claim_id))"""
+q AS (SELECT rc.claim_id, rc.report_id, rc.claim, coalesce(v >= 0.45, FALSE) AS grounded, CASE WHEN v = 10 THEN xc WHEN round(least(1, v + 1e-9), 4) >= 0.25 THEN round(least(1, v + 1e-9), 4) ELSE 0::DOUBLE END AS confidence FROM {RCLAIMS} rc LEFT JOIN b USING (claim_id))"""
 
 
 def grounded(spark, d):
