@@ -29,10 +29,9 @@ def local_session(cores: str = "*", app: str = "gleaner", **extra: str) -> Spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on and make sure a checkpoint folder is known."""
+    """Apply the settings results depend on."""
     for key, value in REQUIRED.items():
         spark.conf.set(key, value)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -41,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    shared = context.getConf().get("spark.checkpoint.dir")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local"):
