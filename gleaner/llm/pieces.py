@@ -20,6 +20,11 @@ JOINED = 64
 SEPARATOR = "~"
 
 
+def parts(text: str) -> list[str]:
+    """The text cut at each single space before a non-space, that space left out."""
+    return CUT.split(text) if ODD.search(text) else text.split(" ")
+
+
 class PieceEncoder:
     """``encode(texts)`` gives one little-endian byte string of ids per text (``dtype`` wide)."""
 
@@ -42,8 +47,8 @@ class PieceEncoder:
     def _pack(self, text: str) -> bytes:
         return np.array(self._ids(text), self.dtype).tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        plain = [p for p in parts if self.mark is not None and SEPARATOR not in p and p]
+    def _learn(self, new: list[str]) -> None:
+        plain = [p for p in new if self.mark is not None and SEPARATOR not in p and p]
         width = self.dtype.itemsize
         runs = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
         joined = ["".join(f" {p} {SEPARATOR}" for p in run) for run in runs]
@@ -56,24 +61,24 @@ class PieceEncoder:
             for p, end in zip(run, ends.tolist()):
                 self.inner[p] = data[begin:end]
                 begin = end + width
-        for p in parts:
+        for p in new:
             if p not in self.inner:
                 self.inner[p] = self._pack(f" {p}")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
+        split = [parts(t) for t in texts]
         if len(self.inner) > KEEP:
             self.inner.clear()
         if len(self.first) > KEEP // 8:
             self.first.clear()
         out = []
-        heads = [parts.pop(0) for parts in split]
+        heads = [x.pop(0) for x in split]
         self._learn(list(set().union(*split) - self.inner.keys()))
         get = self.inner.__getitem__
-        for head, parts in zip(heads, split):
+        for head, rest in zip(heads, split):
             if (known := self.first.get(head)) is None:
                 known = self.first[head] = self._pack(head)
-            out.append(known + b"".join(map(get, parts)))
+            out.append(known + b"".join(map(get, rest)))
         return out
 
 
