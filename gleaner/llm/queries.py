@@ -6,7 +6,7 @@ import importlib
 
 from gleaner.llm.registry import ORACLES, QUERIES
 
-MODULES = ("tokenids", "bpe")
+MODULES = ("tokenids", "packing", "bpe")
 
 
 def load() -> tuple[dict, dict]:
