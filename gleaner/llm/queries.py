@@ -6,7 +6,7 @@ import importlib
 
 from gleaner.llm.registry import ORACLES, QUERIES
 
-MODULES = ("tokenids", "packing", "bpe", "quality")
+MODULES = ("tokenids", "packing", "bpe", "quality", "fingerprints")
 
 
 def load() -> tuple[dict, dict]:
