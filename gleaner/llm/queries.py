@@ -6,7 +6,7 @@ import importlib
 
 from gleaner.llm.registry import ORACLES, QUERIES
 
-MODULES = ("tokenids", "packing", "bpe", "htmltext", "quality", "fingerprints")
+MODULES = ("tokenids", "packing", "bpe", "media", "htmltext", "quality", "fingerprints")
 
 
 def load() -> tuple[dict, dict]:
