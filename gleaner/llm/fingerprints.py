@@ -22,6 +22,7 @@ from gleaner.llm.common import documents
 from gleaner.llm.registry import query
 
 SAMPLES = 64
+TOGETHER = 8  # samples worked out in one row: small enough for generated code to be compiled
 RANGE_ROWS = 256
 MOST_RANGES = 4096
 WHITE = "[\\x09-\\x0D\\x20]+"
@@ -43,10 +44,9 @@ def value(r: Column, b: Column, log_c: Column, log_weight: Column) -> Column:
     return log_c - r * (F.floor(log_weight / r + b) - b + 1)
 
 
-def fingerprint(minima: list[Column]) -> Column:
-    """Hex digits of the samples; a text without words has zeros."""
-    digits = [F.lpad(F.lower(F.hex(F.coalesce(F.xxhash64(m), F.lit(0)).bitwiseAND(F.lit(0xFFFF)))), 4, "0") for m in minima]
-    return F.when(minima[0].isNull(), F.lit("0" * 4 * len(minima))).otherwise(F.concat(*digits))
+def digits(minimum: Column) -> Column:
+    """Four hex digits of a sample; zeros where a text has no words."""
+    return F.lpad(F.lower(F.hex(F.when(minimum.isNotNull(), F.xxhash64(minimum).bitwiseAND(F.lit(0xFFFF))).otherwise(F.lit(0)))), 4, "0")
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -67,14 +67,21 @@ def signatures(texts: DataFrame, keys: list[str], sides: list[str], samples: int
     pairs = F.array(*(F.struct(F.lit(n).alias("side"), F.coalesce(F.col(s), F.lit("")).alias("text")) for n, s in enumerate(sides)))
     rows = texts.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.side", F.lower("p.text").alias("text"))
     words = rows.select(*keys, "side", F.explode(F.split("text", WHITE)).alias("word"))
-    counted = words.groupBy(*keys, F.xxhash64("word").alias("term"), (F.col("word") != "").alias("real")).agg(
-        *(F.ln(F.sum((F.col("side") == n).cast("int"))).alias(f"log_{n}") for n in range(len(sides))))
+    term = F.when(F.col("word") != "", F.xxhash64("word")).alias("term")
+    term = F.when(F.col("word") != "", F.xxhash64("word")).alias("term")
+    counted = words.groupBy(*keys, term).agg(*(F.sum((F.col("side") == n).cast("int")).alias(f"n_{n}") for n in range(len(sides))))
+    # a weight of none has no logarithm, and no value without a branch below
+    logs = [F.when(F.col("term").isNotNull(), F.ln(f"n_{n}")).alias(f"log_{n}") for n in range(len(sides))]
+    groups = F.explode(F.array(*(F.lit(g) for g in range(samples // TOGETHER)))).alias("group")
+    seeded = counted.select(*keys, F.coalesce("term", F.lit(0)).alias("term"), *logs).select("*", groups).withColumn("term", F.xxhash64("term", "group"))
     least = []
-    for k in range(samples):
+    for k in range(TOGETHER):
         drawn = draws(F.col("term"), k)
-        least += [F.min(F.when(F.col("real"), value(*drawn, F.col(f"log_{n}")))).alias(f"m_{n}_{k}") for n in range(len(sides))]
-    out = counted.groupBy(*keys).agg(*least)
-    return out.select(*keys, *(fingerprint([F.col(f"m_{n}_{k}") for k in range(samples)]).alias(f"fp_{s}") for n, s in enumerate(sides)))
+        least += [F.min(value(*drawn, F.col(f"log_{n}"))).alias(f"m_{n}_{k}") for n in range(len(sides))]
+    parts = seeded.groupBy(*keys, "group").agg(*least)
+    text = [F.concat(*(digits(F.col(f"m_{n}_{k}")) for k in range(TOGETHER))).alias(f"part_{n}") for n in range(len(sides))]
+    whole = parts.select(*keys, "group", *text).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("group", *(f"part_{n}" for n in range(len(sides)))))).alias("parts"))
+    return whole.select(*keys, *(F.array_join(F.col(f"parts.part_{n}"), "").alias(f"fp_{s}") for n, s in enumerate(sides)))
 
 
 def with_neighbours(docs: DataFrame) -> DataFrame:
