@@ -6,7 +6,7 @@ import importlib
 
 from gleaner.llm.registry import ORACLES, QUERIES
 
-MODULES = ("tokenids", "packing", "bpe", "media", "ngramjoin", "htmltext", "quality", "fingerprints")
+MODULES = ("suffixes", "tokenids", "packing", "bpe", "media", "ngramjoin", "htmltext", "quality", "fingerprints")
 
 
 def load() -> tuple[dict, dict]:
