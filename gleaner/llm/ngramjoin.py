@@ -284,6 +284,15 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     return members.join(first, "component", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text, all columns kept) with the smallest doc_id of their group.
+
+    Rows that repeat both id and text count as one document."""
+    kept = classes(docs, width, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("text_hash"))
+    return rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["own_id", "text_hash"]).select("row.*")
+
+
 @query("op6_ngram_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return classes(documents(spark, folder))

@@ -163,9 +163,13 @@ def sequences(placed: DataFrame) -> DataFrame:
         "sequence_id", F.flatten("p.ids").alias("ids"), F.transform("p", lambda p: F.struct(p.doc_id, p.piece, p.offset, p.length)).alias("docs"))
 
 
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces of all documents with their places; see :func:`cut` and :func:`place`."""
+    return place(stored(cut(docs, tokenizer, end_id, capacity, keep_ids=False), "packing-pieces"), ORDER, capacity)
+
+
 @query("op3_packing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = stored(cut(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), 1, keep_ids=False), "op3-pieces")
-    return place(pieces, ORDER)
+    return packed(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))

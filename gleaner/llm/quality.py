@@ -118,6 +118,22 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text, all columns kept) whose score is at least ``threshold``.
+
+    Null and empty texts are scored by the bias and so go with the majority of the labelled documents."""
+    weights = train(training_rows(docs.select("doc_id", "text"), labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t.as_py() or "") for t in batch.column(1)]
+            keep = [probability(float(weights[s] @ v) + float(weights[-1])) >= threshold for s, v in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], ["row"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}").select("row.*")
+
+
 def held_out(id_col: str, folds: int):
     """Whether crc32 of the id as text leaves no remainder; a null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(True))

@@ -292,6 +292,26 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     return found.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` (with text and n_chars, all columns kept) with the repeated strings cut out of their texts.
+
+    A character that loses a byte goes as a whole; n_chars counts what is left; null texts stay null."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for known, text, own, copies in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
+                rest, _ = _rest(bytes(text.as_buffer()), own.as_py(), copies.as_py(), length)
+                texts.append(rest.decode("utf-8", errors="ignore") if known else None)
+            counts = [None if t is None else len(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["row", "rest", "chars"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").isNotNull().alias("known"), F.coalesce("text", F.lit("")).alias("text"))
+    rest = repeated_spans(rows, length).select("row", "known", "text", "spans", "copies").mapInArrow(cut, f"row {docs.schema.simpleString()}, rest string, chars long")
+    new = {"text": F.col("rest"), "n_chars": F.col("chars")}
+    return rest.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return removed(documents(spark, folder))
