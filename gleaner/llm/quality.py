@@ -4,7 +4,7 @@ Words are runs of letters, of digits and of other signs.  Features are words and
 ``2**BITS`` slots; a word that repeats the one before it also fills one slot common to all repetitions.  A feature's
 value is its share of the words (or pairs) of the whole text, so a score is a sparse dot product whose cost follows the
 length of the text.  Training reads the labelled rows, or ``SAMPLE`` of them chosen by a hash where there are more: one
-online pass, in one task, over bounded data.  Scoring reads all documents with the weights, ``2**BITS`` numbers.
+online pass (several over a small table), in one task, over bounded data.  Scoring reads all documents with the weights, ``2**BITS`` numbers.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from gleaner.sources.tables import table
 
 BITS = 18
 SAMPLE = 12_000
+#: with up to AGAIN labelled rows the pass is repeated until there are UPDATES of them
+AGAIN, UPDATES = 3_000, 12_000
 THRESHOLD = 0.3
 REPEAT = 0
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.0005, 0.0005, 10.0
@@ -93,15 +95,21 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in zip(*packed)), batch.column(1), batch.column(2)], ["slots", "shares", "label", "turn"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader = Leader()
+        leader, rows, n = Leader(), [], 0
         for batch in batches:
-            for slots, shares, label in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                n += 1
+                rows.append(row) if n <= AGAIN else rows.clear()
+                leader.update(np.frombuffer(row[0], "<u4").astype(np.int64), np.frombuffer(row[1], "<f4").astype(float), row[2])
+        for _ in range(UPDATES // n - 1 if rows else 0):
+            for slots, shares, label in rows:
                 leader.update(np.frombuffer(slots, "<u4").astype(np.int64), np.frombuffer(shares, "<f4").astype(float), label)
         yield pa.RecordBatch.from_arrays([pa.array([leader.weights().astype("<f4").tobytes()], pa.binary())], ["weights"])
 
     seen = rows.select("text", "label", "turn").mapInArrow(extract, "slots binary, shares binary, label double, turn long")
     model = seen.repartition(1).sortWithinPartitions("turn", "slots").mapInArrow(learn, "weights binary")
-    return np.frombuffer(model.first()["weights"], "<f4")
+    learnt = model.first()
+    return np.frombuffer(learnt["weights"], "<f4") if learnt else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
