@@ -191,7 +191,9 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, size: int, percent: in
 
 
 def candidates(returned: DataFrame, percent: int) -> DataFrame:
-    """(node, size, tokens array<long>, signatures array<long>) of the sets that can have a partner."""
+    """(node, size, weight, tokens array<long>, signatures array<long>) of the sets that can have a partner.
+
+    weight, the mean number of sets that an n-gram of the set is in, is largest for the common source of edited copies."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes, totals, tokens, frequency, refs = [], [], [], [], []
@@ -212,18 +214,19 @@ def candidates(returned: DataFrame, percent: int) -> DataFrame:
             own = slice(cuts[k], cuts[k + 1])
             found = signatures(tokens[own], frequency[own], int(sizes[k]), percent)
             if len(found):
-                rows.append((name, int(sizes[k]), tokens[own].view(np.int64), found.view(np.int64)))
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        columns = zip(*rows) if rows else [[]] * 4
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["node", "size", "tokens", "signatures"])
+                weight = (int(frequency[own].sum()) - int(np.count_nonzero(frequency[own]))) / int(sizes[k])
+                rows.append((name, int(sizes[k]), weight, tokens[own].view(np.int64), found.view(np.int64)))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = zip(*rows) if rows else [[]] * 5
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["node", "size", "weight", "tokens", "signatures"])
 
-    return returned.groupBy("home").applyInArrow(run, "node long, size long, tokens array<long>, signatures array<long>")
+    return returned.groupBy("home").applyInArrow(run, "node long, size long, weight double, tokens array<long>, signatures array<long>")
 
 
 def linked(sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of all nodes with a link, or None: the rounds of verification."""
     spark = sets.sparkSession
-    slim = sets.select(F.explode("signatures").alias("sig"), "node", "size")
+    slim = sets.select(F.explode("signatures").alias("sig"), "node", "size", "weight", F.size("tokens").alias("shared"))
     buckets = stored(slim.withColumn("n", F.count("*").over(W.partitionBy("sig"))).where("n > 1").drop("n"), "op6-buckets")
     edges = tested = components = None
     hubs = 1
@@ -231,14 +234,15 @@ def linked(sets: DataFrame, percent: int) -> DataFrame | None:
         rows = buckets.withColumn("component", F.col("node")) if components is None else buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         bucket = W.partitionBy("sig")
         rows = rows.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket), "n": F.count("*").over(bucket)}).where("low <> high")
-        rows = rows.withColumn("same", F.count("*").over(W.partitionBy("sig", "component"))).withColumn("rank", F.row_number().over(bucket.orderBy("same", "node")))
-        rows = stored(rows.select("sig", "node", "size", "component", "rank", "n"), "op6-round")
+        rows = rows.withColumn("same", F.count("*").over(W.partitionBy("sig", "component"))).withColumn("rank", F.row_number().over(bucket.orderBy("same", F.desc("weight"), "node")))
+        rows = stored(rows.select("sig", "node", "size", "shared", "component", "rank", "n"), "op6-round")
         largest = rows.agg(F.max("n")).first()[0]
         if largest is None:
             return components
-        hub = rows.where(F.col("rank") <= hubs).select("sig", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("c"), F.col("rank").alias("r"))
-        pairs = rows.join(hub, "sig").where("component <> c and rank > r")
-        pairs = pairs.where(f"100 * least(size, size_a) >= {percent} * greatest(size, size_a)")
+        hub = rows.where(F.col("rank") <= hubs).select("sig", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("shared").alias("shared_a"), F.col("component").alias("c"), F.col("rank").alias("r"))
+        # n-grams of one set only are never common: with at most c common ones two sets have at least all others
+        common = "least(shared, shared_a)"
+        pairs = rows.join(hub, "sig").where(f"component <> c and rank > r and 100 * {common} >= {percent} * (size + size_a - {common})")
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
