@@ -273,14 +273,14 @@ def _(spark, d):
 
 
 @query("clm23_adaptive_tasks", CONTRA_SQL + f""", k AS (SELECT research_id, claim_id, claim FROM (SELECT research_id, claim_id, {_GAPTEXT} AS claim FROM {I.CLAIMS}) WHERE regexp_matches({ASCII_WORDS('claim')}, {sql_str(L.CONFLICT_PATTERN)})),
-n AS (SELECT research_id, 1 AS p, claim_id AS o, 'gap' AS kind, follow_up AS query FROM {GAPS_SQL} WHERE research_id <> 'assistant' OR claim_id % 50 = 0 UNION ALL
+n AS (SELECT research_id, 1 AS p, claim_id AS o, 'gap' AS kind, follow_up AS query FROM {GAPS_SQL} UNION ALL
  SELECT research_id, 2, claim_id, 'verify', 'Verify and resolve conflicting information about: ' || claim || ' — run ' || research_id FROM k UNION ALL
  SELECT research_id, 2, left_id, 'verify', 'Verify and resolve conflicting information about:  — run ' || research_id FROM r WHERE rank <= 5 UNION ALL
  SELECT DISTINCT research_id, 3, 0::BIGINT, 'diversity', 'Academic research and peer-reviewed studies on: run ' || research_id FROM {I.CLAIMS} WHERE research_id <> 'user')
 SELECT research_id, CAST(row_number() OVER (PARTITION BY research_id ORDER BY p, o, query) AS INTEGER) AS rank, kind, query FROM n QUALIFY row_number() OVER (PARTITION BY research_id ORDER BY p, o, query) <= 5""")
 def _(spark, d):
     claims = gap_claims(spark, d)
-    gaps = CL.information_gaps(claims, planned(spark, d), "research_id", "claim_id").filter("research_id <> 'assistant' or claim_id % 50 = 0")
+    gaps = CL.information_gaps(claims, planned(spark, d), "research_id", "claim_id")
     conflicts = CL.conflict_signals(claims, features(spark, d), "research_id", "claim_id")
     named = conflicts.join(claims.select(F.col("claim_id").alias("left_id"), "claim"), "left_id", "left").withColumn(
         "claim", F.when(F.col("signal") == "keyword", F.col("claim")))

@@ -16,43 +16,43 @@ def KEY(x):
     return STRIP(RR(f"lower({x})", r"[^\p{L}\p{N}_]+", " "))
 
 
+_az, _AZ = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # upper case that cannot lengthen a text
+
+
 def two_runs(spark, d):
     c = I.claims(spark, d)
-    return c.filter("source_id % 2 = 0").select("research_id", "claim"), c.filter("source_id % 2 = 1").select("research_id", F.upper("claim").alias("claim")).union(
-        c.filter("source_id % 6 = 0").select("research_id", F.upper("claim").alias("claim")))
+    return c.filter("source_id % 2 = 0").select("research_id", "claim"), c.filter("source_id % 2 = 1").select("research_id", F.translate("claim", _az, _AZ).alias("claim")).union(
+        c.filter("source_id % 6 = 0").select("research_id", F.translate("claim", _az, _AZ).alias("claim")))
 
 
 _A = f"(SELECT research_id, claim FROM {I.CLAIMS} WHERE source_id % 2 = 0)"
-_B = f"(SELECT research_id, upper(claim) AS claim FROM {I.CLAIMS} WHERE source_id % 2 = 1 OR source_id % 6 = 0)"
+_B = f"(SELECT research_id, translate(claim, '{_az}', '{_AZ}') AS claim FROM {I.CLAIMS} WHERE source_id % 2 = 1 OR source_id % 6 = 0)"
 DIFF = f"""(WITH a AS (SELECT research_id, {KEY('claim')} AS key FROM {_A} GROUP BY ALL), b AS (SELECT research_id, {KEY('claim')} AS key FROM {_B} GROUP BY ALL)
  SELECT research_id, key, 'added' AS change FROM b WHERE (research_id, key) NOT IN (SELECT research_id, key FROM a) UNION ALL SELECT research_id, key, 'removed' FROM a WHERE (research_id, key) NOT IN (SELECT research_id, key FROM b))"""
-# German sharp s becomes SS in upper case on one side only, so the oracle compares rows without it.
-_NOSS = "key NOT LIKE '%ss%' AND key NOT LIKE '%ß%'"
 
 
 def diff(spark, d):
     return C.difference(*two_runs(spark, d), ["research_id"], "claim")
 
 
-@query("set1_difference", f"SELECT research_id, change, key FROM {DIFF} WHERE {_NOSS}")
+@query("set1_difference", f"SELECT research_id, change, key FROM {DIFF}")
 def _(spark, d):
-    rows = diff(spark, d).select("research_id", "change", "key")
-    return rows.filter(~F.col("key").contains("ss") & ~F.col("key").contains("ß"))
+    return diff(spark, d).select("research_id", "change", "key")
 
 
 _classes = ", ".join(f"CASE WHEN {any_contains('key', [w for w in ws])} THEN '{n}' END" for n, ws in C.CHANGE_TERMS)
 
 
-@query("set2_classified", f"SELECT research_id, key, unnest(list_filter([{_classes}], lambda x: x IS NOT NULL)) AS class FROM {DIFF} WHERE change = 'added' AND {_NOSS}")
+@query("set2_classified", f"SELECT research_id, key, unnest(list_filter([{_classes}], lambda x: x IS NOT NULL)) AS class FROM {DIFF} WHERE change = 'added'")
 def _(spark, d):
     added = diff(spark, d).filter("change = 'added'").select("research_id", "key")
-    return C.classified(added.filter(~F.col("key").contains("ss") & ~F.col("key").contains("ß")), "key").select("research_id", "key", "class")
+    return C.classified(added, "key").select("research_id", "key", "class")
 
 
-@query("set3_new_risks", f"""SELECT DISTINCT research_id, key FROM (SELECT research_id, key FROM {DIFF} WHERE change = 'added' AND {_NOSS} AND {any_contains('key', C.CHANGE_TERMS[3][1])}
- UNION ALL SELECT research_id, key FROM {DIFF} WHERE change = 'removed' AND {_NOSS} AND contains(key, 'price'))""")
+@query("set3_new_risks", f"""SELECT DISTINCT research_id, key FROM (SELECT research_id, key FROM {DIFF} WHERE change = 'added' AND {any_contains('key', C.CHANGE_TERMS[3][1])}
+ UNION ALL SELECT research_id, key FROM {DIFF} WHERE change = 'removed' AND contains(key, 'price'))""")
 def _(spark, d):
-    rows = diff(spark, d).filter(~F.col("key").contains("ss") & ~F.col("key").contains("ß"))
+    rows = diff(spark, d)
     listed = rows.filter((F.col("change") == "removed") & F.col("key").contains("price"))
     return C.merged_new(listed, rows.filter("change = 'added'"), ["research_id"], "key", "opportunity")
 
@@ -132,10 +132,10 @@ def _(spark, d):
 
 
 @query("set11_search_conclusions", """WITH c AS (SELECT doc_id, lower(text) AS x, lower(lang) AS g, 'erent thation zz' AS t FROM documents)
-SELECT doc_id FROM c WHERE contains(x, t) OR contains(g, t) OR contains(t, g) OR contains(x, 'erent') OR contains(x, 'thation') ORDER BY doc_id DESC LIMIT 200""")
+SELECT doc_id FROM c WHERE contains(x, t) OR contains(g, t) OR contains(t, g) OR contains(x, 'erent') OR contains(x, 'thation')""")
 def _(spark, d):
     hit = M.matches_conclusion(F.lit("Erent thation zz"), F.col("text"), F.array("lang"))
-    return I.documents(spark, d).filter(hit).select("doc_id").orderBy(F.desc("doc_id")).limit(200)
+    return I.documents(spark, d).filter(hit).select("doc_id")
 
 
 @query("set12_lineage", "SELECT c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' → ' || c_mktsegment END || ' → ' || n_name || ' → ' || r_name AS path FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
@@ -188,11 +188,11 @@ def _(spark, d):
     return edges(spark, d).select("src", "dst", "relation", "edge_id", "weight", F.size("evidence_ids").cast("bigint").alias("evidence"))
 
 
-@query("grf3_shortest_paths", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, edge_id FROM {EDGES} WHERE relation <> 'supplies' OR edge_id % 3 = 0), q AS (SELECT n_nationkey AS query_id, 'n' || n_nationkey AS source, 's' || (n_nationkey * 2 + 1) AS target FROM nation),
+@query("grf3_shortest_paths", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, edge_id FROM {EDGES}), q AS (SELECT n_nationkey AS query_id, 'n' || n_nationkey AS source, 's' || (n_nationkey * 2 + 1) AS target FROM nation),
 b AS (SELECT query_id, target, source AS node, 0 AS length FROM q UNION SELECT query_id, target, dst, length + 1 FROM b JOIN e ON e.src = b.node WHERE length < 6)
 SELECT query_id, CAST(min(length) AS INTEGER) AS length FROM b WHERE node = target GROUP BY 1""")
 def _(spark, d):
-    e = edges(spark, d).filter("relation <> 'supplies' or edge_id % 3 = 0")
+    e = edges(spark, d)
     q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("s"), (F.col("n_nationkey") * 2 + 1).cast("string")).alias("target"))
     return G.shortest_paths(e, q).select("query_id", "length")
 

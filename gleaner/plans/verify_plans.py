@@ -248,12 +248,12 @@ def _keysql(x):
 _gl = f"list_filter(list_transform(list_filter(list_transform(string_split(body, chr(10)), lambda x: {STRIP('x')}), lambda x: NOT regexp_matches(x, '^$|^#|^\\[')), lambda x: {STRIP(RR('x', '[*_`>-]'))}), lambda x: length(x) >= 25)"
 
 
-@query("clm20_grounded_reports", f"""WITH k AS (SELECT research_id, list_distinct(flatten(list({_keysql('evidence_claim')}))) AS ks FROM {POOL} WHERE evidence_id % 10 <> 3 GROUP BY 1),
+@query("clm20_grounded_reports", f"""WITH k AS (SELECT research_id, list_distinct(flatten(list({_keysql('evidence_claim')}))) AS ks FROM {POOL} GROUP BY 1),
 l AS (SELECT report_id, research_id, unnest({_gl}) AS line FROM {REPORTS}),
 g AS (SELECT report_id, count(*) AS lines, count(*) FILTER (len(list_intersect({_keysql('line')}, ks)) >= 2) AS grounded_lines FROM l LEFT JOIN k USING (research_id) GROUP BY 1)
 SELECT report_id, lines, grounded_lines, grounded_lines >= greatest(1, floor(lines * 0.6)) AS grounded FROM g""")
 def _(spark, d):
-    known = pool(spark, d).filter("evidence_id % 10 <> 3").select("research_id", F.col("evidence_claim").alias("text"))
+    known = pool(spark, d).select("research_id", F.col("evidence_claim").alias("text"))
     return V.grounded_reports(reports(spark, d), known, "research_id", "report_id")
 
 
@@ -278,12 +278,12 @@ CSOURCES = f"(SELECT research_id AS report_id, source_id, source_id AS ord, 'htt
 
 
 def citation_evidence(spark, d):
-    rows = I.sentences(spark, d).filter("doc_id % 3 > 0")
+    rows = I.sentences(spark, d)
     return rows.select(F.col("source").alias("report_id"), (F.col("doc_id") * 100000 + F.col("pos")).alias("evidence_id"), F.col("doc_id").alias("source_id"), F.col("sentence").alias("quote"),
                        F.col("sentence").alias("claim"), (0.5 + F.col("pos") % 5 / 10).alias("confidence"))
 
 
-CEVID = f"(SELECT source AS report_id, doc_id * 100000 + pos AS evidence_id, doc_id AS source_id, sentence AS quote, sentence AS claim, 0.5::DOUBLE + pos % 5 / 10 AS confidence FROM {I.SENTENCES} WHERE doc_id % 3 > 0)"
+CEVID = f"(SELECT source AS report_id, doc_id * 100000 + pos AS evidence_id, doc_id AS source_id, sentence AS quote, sentence AS claim, 0.5::DOUBLE + pos % 5 / 10 AS confidence FROM {I.SENTENCES})"
 _c220 = lambda x: STRIP(f"substr({RR(x, '[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B-' + chr(92) + 'x1F' + chr(92) + 'x7F]')}, 1, 220)")
 CITES = f"""(WITH s AS (SELECT *, rtrim(url, '/') AS u FROM {CSOURCES}), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY report_id, u ORDER BY ord) = 1),
  f AS (SELECT report_id, source_id, arg_min(quote, evidence_id) AS q, arg_min(claim, evidence_id) AS c, arg_min(confidence, evidence_id) AS cf FROM {CEVID} GROUP BY 1, 2),
@@ -317,13 +317,13 @@ def _(spark, d):
 
 def inline_inputs(spark, d):
     claims = I.claims(spark, d)
-    sents = claims.select("research_id", F.col("claim_id").alias("sentence_id"), "source_id", F.concat("claim", F.when(F.col("claim_id") % 9 == 0, " [3].").otherwise(".")).alias("sentence"))
-    ev = pool(spark, d).select("research_id", "evidence_id", F.col("evidence_claim").alias("claim"), "metrics", F.when(F.col("source_id") % 4 > 0, (F.col("source_id") % 30 + 1).cast("int")).alias("index"))
+    sents = claims.select("research_id", F.col("claim_id").alias("sentence_id"), "source_id", F.concat("claim", F.lit(".")).alias("sentence"))
+    ev = pool(spark, d).select("research_id", "evidence_id", F.col("evidence_claim").alias("claim"), "metrics", (F.col("source_id") % 30 + 1).cast("int").alias("index"))
     return sents, ev
 
 
-@query("cit4_inline_matches", f"""WITH s AS MATERIALIZED (SELECT research_id, claim_id AS sentence_id, lower(claim || '.') AS low FROM {I.CLAIMS} WHERE claim_id % 9 <> 0 AND length(claim) >= 19),
-e AS MATERIALIZED (SELECT research_id, evidence_id, CAST(source_id % 30 + 1 AS INTEGER) AS index, list_filter(regexp_extract_all(lower(evidence_claim), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3) AS ws, list_transform(metrics, lambda m: lower(m)) AS ms FROM {POOL} WHERE source_id % 4 > 0)
+@query("cit4_inline_matches", f"""WITH s AS MATERIALIZED (SELECT research_id, claim_id AS sentence_id, lower(claim || '.') AS low FROM {I.CLAIMS} WHERE length(claim) >= 19),
+e AS MATERIALIZED (SELECT research_id, evidence_id, CAST(source_id % 30 + 1 AS INTEGER) AS index, list_filter(regexp_extract_all(lower(evidence_claim), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3) AS ws, list_transform(metrics, lambda m: lower(m)) AS ms FROM {POOL})
 SELECT sentence_id, min(evidence_id) AS evidence_id, arg_min(index, evidence_id) AS index FROM s JOIN e USING (research_id)
 WHERE len(ws) > 0 AND (len(list_filter(ws, lambda w: contains(low, w))) / len(ws) >= 0.55 OR len(list_filter(ms, lambda m: contains(low, m))) > 0) GROUP BY 1""")
 def _(spark, d):
@@ -349,10 +349,10 @@ def _(spark, d):
     return rows.select("report_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("cited", "orphan", "unused")], "valid")
 
 
-@query("cit6_append_bibliography", f"""SELECT report_id, CASE WHEN report_id % 3 = 0 THEN body ELSE {RR(RR(STRIP('body'), L.BIBLIOGRAPHY_BLOCK), chr(92) + 's+$')} || chr(10) || chr(10) || 'BIB ' || report_id END AS text FROM {REPORTS}""")
+@query("cit6_append_bibliography", f"""SELECT report_id, {RR(RR(STRIP('body'), L.BIBLIOGRAPHY_BLOCK), chr(92) + 's+$')} || chr(10) || chr(10) || 'BIB ' || report_id AS text FROM {REPORTS}""")
 def _(spark, d):
     reps = reports(spark, d)
-    bibs = reps.filter("report_id % 3 <> 0").select("report_id", F.concat(F.lit("BIB "), F.col("report_id").cast("string")).alias("bibliography"))
+    bibs = reps.select("report_id", F.concat(F.lit("BIB "), F.col("report_id").cast("string")).alias("bibliography"))
     return CI.with_bibliography(reps, bibs)
 
 
