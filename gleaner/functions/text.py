@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import html
 import unicodedata
 from collections.abc import Sequence
@@ -159,12 +160,26 @@ _NOISE_CONTAINERS = ("div", "section", "ul", "p", "span", "ins")
 
 def noise_patterns() -> list[str]:
     """One pattern per container tag; an element ends at its first closing tag."""
-    words = "|".join(L.NOISE_ATTRIBUTE_WORDS)
-    classes = "|".join(L.NOISE_CLASSES)
-    ids = "|".join(L.NOISE_IDS)
-    attr = (rf'(?:(?:class|id)\s*=\s*"[^"]*(?:{words})[^"]*"|class\s*=\s*"(?:[^"]*\s)?(?:{classes})(?:\s[^"]*)?"|'
-            rf'id\s*=\s*"(?:{ids})"|role\s*=\s*"navigation")')
-    return [rf"(?is)<{t}\b[^>]*{attr}[^>]*>.*?</{t}\s*>" for t in _NOISE_CONTAINERS]
+    return [rf"(?is)<{t}\b[^>]*\s(?:{'|'.join(tests)})[^>]*>.*?</{t}\s*>" for t in _NOISE_CONTAINERS if (tests := _attribute_tests(t))]
+
+
+def _attribute_tests(tag: str) -> list[str]:
+    """The noise selectors that can hold for a tag, as patterns of one attribute with its value in either quotes."""
+    values: dict[tuple[str, str, str], list[str]] = {}
+    for selector in L.NOISE_SELECTORS:
+        whole = re.fullmatch(r"(\w*)(?:\[(\w+)(\*?)=\"([^\"]+)\"\]|([.#])([\w-]+))", selector)
+        only, attribute, part, value, sign, name = whole.groups()
+        if only and only != tag:
+            continue
+        if attribute:
+            before, after = ("{any}*", "{any}*") if part else ("", "")
+        else:
+            attribute, value = ("class" if sign == "." else "id"), name
+            before, after = (r"(?:{any}*\s)?", r"(?:\s{any}*)?") if sign == "." else ("", "")
+        values.setdefault((attribute, before, after), []).append(value)
+    quoted = [(f"[^{q}]", q) for q in ('"', "'")]
+    return [rf"{a}\s*=\s*(?:" + "|".join(f"{q}{b.replace('{any}', other)}(?:{'|'.join(v)}){e.replace('{any}', other)}{q}" for other, q in quoted) + ")"
+            for (a, b, e), v in values.items()]
 
 
 def render_rules() -> list[tuple[str, str]]:

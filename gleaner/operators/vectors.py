@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +38,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _slots(token: str, dim: int) -> tuple[int, int, int]:
-    h = int(hashlib.sha256(token.encode()).hexdigest(), 16)
-    return h % dim, (h >> 7) % dim, (h >> 13) % dim
+#: (bits the token's hash is shifted by, weight) of its three places
+PLACES = ((0, 1.0), (7, 0.5), (13, 0.25))
 
 
-def _embed(words, dim: int) -> np.ndarray:
-    vec = np.zeros(dim, dtype=np.float32)
-    for word, n in Counter(words).items():
-        for slot, weight in zip(_slots(word, dim), (1.0, 0.5, 0.25)):
-            vec[slot] += n * weight
-    length = float(np.linalg.norm(vec))
-    return vec / length if length > 1e-9 else vec
+def _embedded(words: pd.Series, dim: int) -> list[np.ndarray]:
+    """Unit vectors of a batch of token lists; each distinct token of the batch is hashed once."""
+    sizes = words.map(len).to_numpy()
+    tokens, distinct = pd.factorize(np.concatenate([np.asarray(w, object) for w in words] or [np.zeros(0, object)]))
+    numbers = [int.from_bytes(hashlib.sha256(t.encode()).digest(), "big") for t in distinct]
+    vectors = np.zeros((len(words), dim), np.float32)
+    for shift, weight in PLACES:
+        slots = np.array([(n >> shift) % dim for n in numbers], np.int64)
+        np.add.at(vectors, (np.repeat(np.arange(len(words)), sizes), slots[tokens]), weight)
+    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return list(vectors / np.where(lengths > 1e-9, lengths, 1))
 
 
 def hashed_embedding(text: Column, dim: int = L.EMBEDDING_DIM) -> Column:
@@ -58,7 +60,8 @@ def hashed_embedding(text: Column, dim: int = L.EMBEDDING_DIM) -> Column:
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: _embed(w if w is not None else (), dim))
+        rows = words.map(lambda w: w if w is not None else [])
+        return pd.Series([v for k in range(0, len(rows), 256) for v in _embedded(rows.iloc[k : k + 256], dim)], index=words.index, dtype=object)
 
     return embed(K.tokens(F.coalesce(text, F.lit("")), L.EMBEDDING_STOP))
 

@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.sources.tables import SPREAD
+
 # Settings a job needs for right results; the rest belongs to the cluster.
 REQUIRED = {"spark.sql.session.timeZone": "UTC"}
 
@@ -22,6 +24,7 @@ def local_session(cores: str = "*", app: str = "gleaner", **extra: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config(SPREAD, str(os.cpu_count()) if cores == "*" else cores)
     )
     for key, value in extra.items():
         builder = builder.config(key, value)

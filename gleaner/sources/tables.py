@@ -10,10 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SPREAD = "spark.gleaner.scan.partitions"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than cores one round-robin exchange; a no-op on tables of normal size.
+    """One round-robin exchange after a scan, only where the session asks for it with ``SPREAD`` (off on clusters).
 
-    Heavy text rules on a single-row-group file would otherwise run in one task.
+    Tests and the benchmark read files of a single row group, whose heavy text rules would run in one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -251,3 +251,67 @@ def test_lexical_score_is_independent_of_partitions(spark):
     q = spark.createDataFrame([(1, "battery market growth growth")], "query_id bigint, text string")
     runs = [sorted((r["doc_id"], round(r["lexical"], 9)) for r in R.lexical_scores(docs.repartition(n), q, "doc_id", "query_id").collect()) for n in (1, 4, 16)]
     assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 12
+
+
+def test_ipv6_literals(spark):
+    from gleaner.functions import urls as U
+
+    blocked = ("[::1] [::] [0:0:0:0:0:0:0:1] [2001:0db8::1] [2001:DB8:0:0::7] [0:0:0:0:0:ffff:7f00:1] [::ffff:127.0.0.1] [::FFFF:10.1.2.3] [fe80::1] [fd00:1::] "
+               "[ff02::1] [64:ff9b::808:808] [100::9] [1:2:3] [::1::2] [12345::] [g::1]").split()
+    free = "[2606:4700::1111] [2001:db9::1] [::ffff:8.8.8.8] [0:0:0:0:0:ffff:808:808] [2a00:1450:4001:0:0:0:0:200e] [fe00::1]".split()
+    rows = spark.createDataFrame([(f"http://{h}/x",) for h in blocked + free], "url string")
+    risk = {r.url: r.risk for r in rows.select("url", U.url_risk(F.col("url")).alias("risk")).collect()}
+    assert [risk[f"http://{h}/x"] for h in blocked] == ["private_address"] * len(blocked)
+    assert [risk[f"http://{h}/x"] for h in free] == [None] * len(free)
+
+
+def test_noise_selectors(spark):
+    from gleaner.functions import text as T
+
+    gone = ["<div class='cookie'>x</div>", '<div class="my-cookie-bar">x</div>', '<div class="a sidebar b">x</div>', '<section id="comments">x</section>', "<ul role='navigation'>x</ul>",
+            '<ins class="adsbygoogle">x</ins>', '<p id="advert-1">x</p>', '<div data-a="1" class="sponsored">x</div>']
+    kept = ['<div id="sponsored-intro">x</div>', '<div class="sidebars">x</div>', '<p id="my-comments">x</p>', '<div data-class="cookie">x</div>']
+    rows = spark.createDataFrame([(h,) for h in gone + kept], "html string")
+    got = {r.html: r.rest for r in rows.select("html", T.remove_all(F.col("html"), T.noise_patterns()).alias("rest")).collect()}
+    assert [got[h] for h in gone] == [""] * len(gone) and [got[h] for h in kept] == kept
+
+
+def test_chunk_packing(spark):
+    from gleaner.operators import chunks as C
+
+    def plain(sentences, limit, overlap, least):
+        pieces = []
+        for s in sentences:
+            if len(s) <= limit:
+                pieces.append((s, True, len(s) + 1))
+                continue
+            run = []
+            for w in s.split():
+                if run and sum(len(x) + 1 for x in run + [w]) > limit:
+                    pieces.append((" ".join(run), False, sum(len(x) + 1 for x in run)))
+                    run = []
+                run.append(w)
+            pieces.append((" ".join(run), False, sum(len(x) + 1 for x in run)))
+        groups = []
+        for p in pieces:
+            if not groups or not p[1] or sum(x[2] for x in groups[-1]) + p[2] > limit:
+                groups.append([])
+            groups[-1].append(p)
+        out, start, tail = [], 0, ""
+        for g in groups:
+            raw = " ".join(x[0] for x in g)
+            body = f"{tail} {raw}".strip()
+            if len(body) >= least:
+                out.append((body, start, tail != ""))
+                start += len(raw)
+                tail = raw[-overlap:].strip()
+                cut = max(tail.rfind(m) for m in (". ", "? ", "! "))
+                tail = tail[cut + 2:].strip() if cut > len(tail) // 3 else tail
+        return out
+
+    rows = [["One two three. ", "Four!", "five six seven eight nine ten eleven twelve"], [], ["a"], ["word " * 9 + "end"], [f"Sentence {k} is here." for k in range(9)] + ["x" * 50, "Yes? No."]]
+    for limit, overlap, least in ((30, 10, 5), (20, 6, 12), (60, 25, 1)):
+        cleaned = [[s.strip() for s in r] for r in rows]
+        frame = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, s array<string>")
+        got = {r.k: [tuple(c) for c in r.c] for r in frame.select("k", C.packed(F.col("s"), limit, overlap, least).alias("c")).collect()}
+        assert got == {k: plain(r, limit, overlap, least) for k, r in enumerate(cleaned)}
