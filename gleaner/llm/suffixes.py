@@ -35,8 +35,6 @@ BLOCKS = 4
 SHARD_CHARS = 24_000_000
 FOUND = "home int, texts binary, positions binary"
 
-_SECOND = np.random.default_rng(7).permutation(256).astype(np.uint8)
-
 
 def difference_cover(prime: int) -> np.ndarray:
     """Positions of a perfect difference cover of the residues modulo prime**2 + prime + 1: zeros of a linear recurrence."""
@@ -78,13 +76,17 @@ def sampler(length: int, prime: int):
 
 
 def suffixes(length: int, block: int, blocks: int):
-    """Entries of stretches: (position, fingerprint, a second one) of the suffixes of one block."""
+    """Entries of stretches: (position, fingerprint, one of the first half) of the suffixes of one block.
+
+    Strings whose fingerprints agree by chance differ in both halves, so the second number tells them apart."""
 
     def entries(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        positions = np.arange(len(data) - length + 1)
-        first = fingerprints(data, positions, length)
+        n, half = len(data) - length + 1, length // 2
+        sums = H.prefix_sums(data)
+        _, inverse = H.powers(len(data) + 1)
+        first = H.mixed((sums[length:] - sums[:n]) * inverse[:n])
         own = np.flatnonzero(first % np.uint64(blocks) == np.uint64(block))
-        second = fingerprints(_SECOND[data], own, length)
+        second = H.mixed((sums[own + half] - sums[own]) * inverse[own])
         return own, first[own], (second >> np.uint64(32)).astype(np.uint32)
 
     return entries
@@ -108,51 +110,77 @@ def repeats(source: DataFrame, entries: Callable, shards: int, name_bits: int, h
                     seen.add((text, start))
                     fresh.append((text, start, data))
             for a, b in slices([x[2].as_buffer() for x in fresh], 8_000_000):
-                found = []
-                for text, start, data in fresh[a:b]:
+                names, found = np.array([x[0] for x in fresh[a:b]], np.int64), []
+                for ref, (_, start, data) in enumerate(fresh[a:b]):
                     positions, one, two = entries(np.frombuffer(data.as_buffer(), np.uint8))
                     if len(positions):
-                        found.append((np.full(len(positions), text, np.int64), positions + start, one, two))
+                        found.append((np.full(len(positions), ref, np.uint32), (positions + start).astype(np.uint32), one, two))
                 if found:
-                    texts, positions, one, two = (np.concatenate(c) for c in zip(*found))
-                    order = np.lexsort((two, one)) if name_bits != 40 else np.argsort(one, kind="stable")
-                    texts, positions, one, two = texts[order], positions[order], one[order], two[order]
-                    new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-                    yield texts, positions, one, two, new, np.append(new[1:], True)
+                    refs, positions, one, two = (np.concatenate(c) for c in zip(*found))
+                    yield names, refs, positions, one, two, *_ties(one, two)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, positions, one, two, first, _ in runs(batches):
-            texts, positions, one, two = texts[first], positions[first], one[first], two[first]
-            shard = (one >> np.uint64(40)).astype(np.int64) % shards
-            order = np.lexsort((positions, texts, shard))
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in np.flatnonzero(np.diff(cuts)):
-                own = order[cuts[k] : cuts[k + 1]]
-                names, refs = np.unique(texts[own], return_inverse=True)
-                packed = (names, refs.astype("<u4"), positions[own].astype("<u4"), one[own].astype(main), two[own].astype(extra))
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)],
-                                                 ["shard", "texts", "refs", "positions", "one", "two"])
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, positions, _, _, first, last in runs(batches):
-            several = ~(first & last)
-            yield from _by_home(texts[several], positions[several], homes).to_batches()
+        for names, refs, positions, one, two, first, several in runs(batches):
+            own = np.flatnonzero(first)
+            yield from packed(names, refs, positions, own, (one[own] >> np.uint64(40)).astype(np.int64) % shards, shards, one, two)
+            own = np.flatnonzero(several)
+            yield from packed(names, refs, positions, own, _home(names, homes)[refs[own]], homes)
+
+    def packed(names, refs, positions, own, part, parts, one=None, two=None) -> Iterator[pa.RecordBatch]:
+        """Entries by shard, or, below 0, what is settled already by home."""
+        for k, rows in _split(part, parts):
+            rows = own[rows]
+            used = np.zeros(len(names), bool)
+            used[refs[rows]] = True
+            place = np.cumsum(used, dtype=np.int64) - 1
+            columns = [names[used], place[refs[rows]].astype("<u4"), positions[rows].astype("<u4")]
+            columns += [np.zeros(0, "u1")] * 2 if one is None else [one[rows].astype(main), two[rows].astype(extra)]
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - k if one is None else k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)],
+                                             ["shard", "texts", "refs", "positions", "one", "two"])
 
     def meet(table: pa.Table) -> pa.Table:
         read = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]
         texts = np.concatenate([t[r] for t, r in zip(read("texts", "<i8"), read("refs", "<u4"))])
-        positions, one, two = (np.concatenate(read(c, k)) for c, k in (("positions", "<u4"), ("one", main), ("two", extra)))
+        positions = np.concatenate(read("positions", "<u4"))
+        if table.column("shard")[0].as_py() < 0:
+            return _by_home(texts, positions, homes)
+        one, two = (np.concatenate(read(c, k)) for c, k in (("one", main), ("two", extra)))
+        _, several = _ties(one, two)
+        texts, positions, one, two = texts[several], positions[several], one[several], two[several]
         order = np.lexsort((positions, texts, two, one))
         texts, positions, one, two = texts[order], positions[order], one[order], two[order]
-        fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (texts[1:] != texts[:-1]) | (positions[1:] != positions[:-1]))
+        fresh = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (texts[1:] != texts[:-1]) | (positions[1:] != positions[:-1])) if len(one) else np.zeros(0, bool)
         texts, positions, one, two = texts[fresh], positions[fresh], one[fresh], two[fresh]  # a text that several tasks met
-        first = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-        several = ~(first & np.append(first[1:], True))
+        _, several = _ties(one, two)
         return _by_home(texts[several], positions[several], homes)
 
     rows = source.select("text_id", "start", "data")
     posted = rows.mapInArrow(post, "shard int, texts binary, refs binary, positions binary, one binary, two binary")
-    return posted.groupBy("shard").applyInArrow(meet, FOUND).unionByName(rows.mapInArrow(local, FOUND))
+    return posted.groupBy("shard").applyInArrow(meet, FOUND)
+
+
+def _ties(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries with both numbers equal: which is the first met, and which are not alone."""
+    first, several = np.zeros(len(one), bool), np.zeros(len(one), bool)
+    if not len(one):
+        return first, several
+    order = np.argsort(one)
+    same = one[order[1:]] == one[order[:-1]]
+    if (same & (two[order[1:]] != two[order[:-1]])).any():
+        order = np.lexsort((two, one))
+        same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+    new = np.append(True, ~same)
+    first[order[new]] = True
+    several[order] = ~(new & np.append(new[1:], True))
+    return first, several
+
+
+def _split(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The indices of each part that has any."""
+    order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.int64), kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(cuts)):
+        yield int(k), order[cuts[k] : cuts[k + 1]]
 
 
 def _home(texts: np.ndarray, homes: int) -> np.ndarray:
@@ -160,11 +188,7 @@ def _home(texts: np.ndarray, homes: int) -> np.ndarray:
 
 
 def _by_home(texts: np.ndarray, positions: np.ndarray, homes: int) -> pa.Table:
-    home = _home(texts, homes)
-    order = np.lexsort((positions, texts, home))
-    cuts = np.searchsorted(home[order], np.arange(homes + 1))
-    full = np.flatnonzero(np.diff(cuts))
-    packed = [(int(k), texts[own].tobytes(), positions[own].astype("<u4").tobytes()) for k in full for own in [order[cuts[k] : cuts[k + 1]]]]
+    packed = [(k, texts[own].tobytes(), positions[own].astype("<u4").tobytes()) for k, own in _split(_home(texts, homes), homes)]
     columns = zip(*packed) if packed else [[], [], []]
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=["home", "texts", "positions"])
 
@@ -174,11 +198,12 @@ def _positions(table: pa.Table) -> dict[int, np.ndarray]:
     if not table.num_rows:
         return {}
     texts = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table.column("texts")])
-    positions = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("positions")]).astype(np.int64)
-    order = np.lexsort((positions, texts))
-    texts, positions = texts[order], positions[order]
-    cuts = np.append(np.flatnonzero(np.append(True, texts[1:] != texts[:-1])), len(texts))
-    return {int(texts[a]): np.unique(positions[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a}
+    positions = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("positions")])
+    names, refs = np.unique(texts, return_inverse=True)
+    keys = np.unique(refs.astype(np.uint64) << np.uint64(32) | positions)
+    cuts = np.searchsorted(keys >> np.uint64(32), np.arange(len(names) + 1))
+    positions = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return {name: positions[a:b] for name, a, b in zip(names.tolist(), cuts[:-1], cuts[1:])}
 
 
 def covered(positions: np.ndarray, before: int, after: int, size: int) -> np.ndarray:
