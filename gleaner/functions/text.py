@@ -3,15 +3,11 @@
 from __future__ import annotations
 
 import re
-import html
-import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from gleaner import lexicons as L
 
@@ -74,18 +70,6 @@ def repair_mojibake(c: Column) -> Column:
     return normalize_whitespace(F.regexp_replace(c, L.CONTROL_CLASS, ""))
 
 
-@F.pandas_udf(StringType())
-def unescape_full(s: pd.Series) -> pd.Series:
-    """Complete HTML5 entity table, applied twice (Arrow batches)."""
-    return s.map(lambda v: v if v is None else html.unescape(html.unescape(v)))
-
-
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no built-in normaliser."""
-    return s.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
-
-
 def drop_repeated_blocks(c: Column, separator: str = "\n\n", min_chars: int = 30) -> Column:
     """Keep the first of equal blocks inside one text.
 

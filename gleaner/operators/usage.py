@@ -206,7 +206,7 @@ def has_permission(role: Column, permission: str) -> Column:
     return F.coalesce(F.array_contains(F.try_element_at(permissions(), F.lower(role)), permission), F.lit(False))
 
 
-def cheapest_model(requests: DataFrame, key: str, input_tokens: Column, output_tokens: Column, preferred: tuple[str, ...] = ("cheap", "powerful", "reasoning")) -> DataFrame:
+def cheapest_model(requests: DataFrame, key: str, input_tokens: Column, output_tokens: Column, preferred: tuple[str, ...] = ("cheap", "standard", "powerful", "reasoning")) -> DataFrame:
     """(key, model_id, cost, fallbacks): cost-minimising score over the fixed model list, next three as fallbacks.
 
     The models are a literal array in the row, so scoring is a projection without a join.

@@ -42,9 +42,9 @@ def _(spark, d):
     return log.groupBy("job_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
 
 
-@query("str2_recent_requests", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_last_minute FROM events")
+@query("str2_recent_requests", "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS in_last_minute FROM events")
 def _(spark, d):
-    return S.recent_requests(events(spark, d), seconds=3600)
+    return S.recent_requests(events(spark, d), seconds=60)
 
 
 @query("str2_sliding_requests")
@@ -53,17 +53,7 @@ def _(spark, d):
     return out.select("user_id", F.col("window.start").alias("start"), "requests")
 
 
-@query("str3_rate_limit")
-def _(spark, d):
-    return S.rate_limited(events(spark, d), limit=5, period=3600.0 * 24)
-
-
-@query("str3_rate_limit_stream")
-def _(spark, d):
-    return drained(spark, S.rate_limited_stream(event_stream(spark, d), limit=5, period=3600.0 * 24), "append")
-
-
-_min = f"(SELECT user_id, count(*) AS minute_requests FROM events WHERE ts > TIMESTAMP '{UP.AS_OF}' - INTERVAL 1 HOUR AND ts <= TIMESTAMP '{UP.AS_OF}' GROUP BY 1)"
+_min = f"(SELECT user_id, count(*) AS minute_requests FROM events WHERE ts > TIMESTAMP '{UP.AS_OF}' - INTERVAL 60 SECOND AND ts <= TIMESTAMP '{UP.AS_OF}' GROUP BY 1)"
 
 
 @query("str4_admission", f"""WITH k AS (SELECT k.*, coalesce(minute_requests, 0) AS m, coalesce(requests, 0) AS r, coalesce(tokens, 0) AS t FROM {UP.KEYS} k LEFT JOIN {_min} USING (user_id) LEFT JOIN {UP._month} USING (user_id))
@@ -71,7 +61,7 @@ SELECT user_id, CASE WHEN NOT is_active THEN 'inactive' WHEN expires_at < TIMEST
  greatest(0, rate_limit - m - 1) AS minute_left, greatest(0, monthly_quota - r) AS requests_left, greatest(0, monthly_token_quota - t) AS tokens_left FROM k""")
 def _(spark, d):
     e = events(spark, d)
-    recent = e.filter((F.col("ts") > UP.as_of() - F.expr("interval 1 hour")) & (F.col("ts") <= UP.as_of())).groupBy("user_id").agg(F.count("*").alias("minute_requests"))
+    recent = e.filter((F.col("ts") > UP.as_of() - F.expr("interval 60 seconds")) & (F.col("ts") <= UP.as_of())).groupBy("user_id").agg(F.count("*").alias("minute_requests"))
     month = U.monthly_usage(UP.calls(spark, d), ["user_id"], UP.as_of()).select("user_id", "requests", "tokens")
     return S.admission(UP.keys(spark, d), recent, month, "user_id", UP.as_of())
 
@@ -114,20 +104,6 @@ def _(spark, d):
     return rows.select("user_id", "status")
 
 
-@query("str8_live_keys", """WITH l AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, arg_max(ts, (ts, event_id)) AS at_, arg_max(event_id % 5 * 86400, (ts, event_id)) AS ttl FROM events GROUP BY 1, 2)
-SELECT user_id * 10 + length(event_type) AS k, value FROM l WHERE at_ + to_seconds(ttl) > TIMESTAMP '2024-01-31' AND event_type <> 'click'""")
-def _(spark, d):
-    w = events(spark, d).filter("event_type <> 'click'").withColumn("k", F.col("user_id") * 10 + F.length("event_type")).withColumn("kt", F.concat_ws(":", "user_id", "event_type"))
-    rows = S.live_keys(w, "kt", F.struct("ts", "event_id"), F.col("event_id") % 5 * 86400, F.lit("2024-01-31").cast("timestamp"))
-    parts = F.split("kt", ":")
-    return rows.select((F.get(parts, F.lit(0)).cast("bigint") * 10 + F.length(F.get(parts, F.lit(1)))).alias("k"), "value")
-
-
-@query("str9_call_health")
-def _(spark, d):
-    return S.call_health(events(spark, d))
-
-
 @query("str10_first_seen")
 def _(spark, d):
     return drained(spark, S.first_seen(event_stream(spark, d), ["user_id", "event_type"], "40 days").select("event_id", "user_id", "event_type"), "append")

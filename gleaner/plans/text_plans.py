@@ -91,14 +91,13 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", T.decode_entities(F.col("html")).alias("decoded"))
 
 
-@query("txt6_entities_full")
-def _(spark, d):
-    return pages(spark, d).select("page_id", T.unescape_full("html").alias("decoded"))
+# zero-width characters, then control characters, then quotes: written out here, not imported
+_STRAIGHT = RR(RR("text", "[\u200b-\u200d\ufeff\u200e\u200f\u00ad]"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]")
 
 
-@query("txt7_unicode")
+@query("txt7_straighten", f"SELECT doc_id, translate({_STRAIGHT}, '\u2019\u2018`\u201c\u201d', {sql_str(chr(39) * 3 + chr(34) * 2)}) AS text FROM documents")
 def _(spark, d):
-    return documents(spark, d).select("doc_id", T.straighten(T.nfkc("text")).alias("text"))
+    return documents(spark, d).select("doc_id", T.straighten("text").alias("text"))
 
 
 @query("txt8_whitespace", f"SELECT doc_id, {WS('text')} AS text FROM documents")

@@ -267,7 +267,7 @@ _mv = ", ".join(f"('{m[0]}', '{m[1]}', {m[2]}, {m[3]})" for m in U.MODELS)
 
 
 @query("agg28_cheapest_model", f"""WITH m(model_id, tier, ic, oc) AS (VALUES {_mv}), r AS (SELECT conv_id * 1000 + turn AS qid, greatest(10, len(regexp_extract_all(text, '\\S+')) * 2) AS it, CASE WHEN length(text) > 1000 THEN 1000 ELSE 300 END AS ot FROM conversations),
-s AS (SELECT qid, model_id, it / 1e6::DOUBLE * ic + ot / 1e6::DOUBLE * oc AS cost, 100 - CASE tier WHEN 'cheap' THEN 0 WHEN 'powerful' THEN 25 ELSE 50 END - (it / 1e6::DOUBLE * ic + ot / 1e6::DOUBLE * oc) * 5000 + CASE WHEN tier = 'cheap' THEN 40 ELSE 0 END AS score FROM r, m),
+s AS (SELECT qid, model_id, it / 1e6::DOUBLE * ic + ot / 1e6::DOUBLE * oc AS cost, 100 - CASE tier WHEN 'cheap' THEN 0 WHEN 'standard' THEN 25 WHEN 'powerful' THEN 50 ELSE 75 END - (it / 1e6::DOUBLE * ic + ot / 1e6::DOUBLE * oc) * 5000 + CASE WHEN tier = 'cheap' THEN 40 ELSE 0 END AS score FROM r, m),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, model_id) AS n FROM s)
 SELECT qid, max(CASE WHEN n = 1 THEN model_id END) AS model_id, round(max(CASE WHEN n = 1 THEN cost END), 8) AS cost, string_agg(model_id, ',' ORDER BY n) FILTER (n BETWEEN 2 AND 4) AS fallbacks FROM k GROUP BY 1""")
 def _(spark, d):

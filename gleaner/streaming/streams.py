@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 # fixed values: allowed moves of a task, progress of a run's states
 TASK_MOVES = {"pending": ("running", "cancelled"), "running": ("completed", "failed", "cancelled"), "failed": ("retrying", "cancelled"),
               "retrying": ("running", "cancelled"), "completed": (), "cancelled": ()}
 RUN_PROGRESS = {"queued": 0, "planning": 15, "searching": 30, "collecting": 45, "analyzing": 60, "verifying": 75, "synthesizing": 85,
                 "report_generation": 92, "quality_check": 98, "completed": 100, "failed": 0, "retry": 5, "cancelled": 0}
-LIMIT, PERIOD = 120, 60.0
 
 
 def read_events(spark, folder: str, schema) -> DataFrame:
@@ -53,142 +48,6 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "10 minutes") ->
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-# --- sequential limiter --------------------------------------------------------------------------------------------------------
-def admit(times, accepted: list[float], limit: int, period: float) -> tuple[list[bool], list[float]]:
-    """Sliding log: only accepted requests count, so every decision depends on the ones before."""
-    out = []
-    for t in times:
-        accepted = [a for a in accepted if t - a < period]
-        good = len(accepted) < limit
-        out.append(good)
-        if good:
-            accepted.append(t)
-    return out, accepted
-
-
-def _seconds(ts: pd.Series) -> list[float]:
-    return ts.astype("datetime64[ns]").astype("int64").div(1e9).tolist()
-
-
-_DECISION = "event_id bigint, user_id bigint, accepted boolean"
-
-
-def rate_limited(events: DataFrame, limit: int = LIMIT, period: float = PERIOD) -> DataFrame:
-    """Batch limiter.
-
-    A key that never has more than ``limit`` requests between two pauses of a whole period can never be refused: window
-    counts settle those on the JVM.  The others are sorted inside their partitions and streamed through in Arrow batches
-    with nothing kept but the accepted times of the current key, so a hot key costs time, not memory.
-    """
-    order = Window.partitionBy("user_id").orderBy("at", "event_id")
-    rows = events.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    opens = F.coalesce(F.col("at") - F.lag("at").over(order) >= int(period * 1e6), F.lit(True))
-    runs = rows.withColumn("opens", opens.cast("int")).withColumn("burst", F.sum("opens").over(order))
-    sizes = runs.groupBy("user_id", "burst").agg(F.count(F.lit(1)).alias("size"))
-    sized = runs.join(sizes, ["user_id", "burst"])
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, accepted = None, []
-        for pdf in batches:
-            verdicts: list[bool] = []
-            for this, part in pdf.groupby((pdf["user_id"] != pdf["user_id"].shift()).cumsum(), sort=False):
-                if part["user_id"].iloc[0] != key:
-                    key, accepted = part["user_id"].iloc[0], []
-                verdict, accepted = admit((part["at"] / 1e6).tolist(), accepted, limit, period)
-                verdicts += verdict
-            yield pdf[["event_id", "user_id"]].assign(accepted=verdicts)
-
-    calm = sized.filter(F.col("size") <= limit).select("event_id", "user_id", F.lit(True).alias("accepted"))
-    busy = sized.filter(F.col("size") > limit).select("event_id", "user_id", "at").repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
-    return calm.unionByName(busy.mapInPandas(decide, _DECISION))
-
-
-def rate_limited_stream(events: DataFrame, limit: int = LIMIT, period: float = PERIOD) -> DataFrame:
-    """Stream limiter: the state of a key is its accepted times of the last period, at most ``limit`` numbers."""
-
-    def decide(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        accepted = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        verdict, accepted = admit(_seconds(pdf["ts"]), accepted, limit, period)
-        state.update((accepted,))
-        yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": key[0], "accepted": verdict})
-
-    return events.groupBy("user_id").applyInPandasWithState(decide, _DECISION, "accepted array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-# --- call health ---------------------------------------------------------------------------------------------------------------
-def health_step(state: tuple[int, float, float, float], ok: bool, latency: float, at: float) -> tuple[int, float, float, float]:
-    """(failures, availability, latency average, circuit open until) after one call."""
-    failures, availability, average, open_until = state
-    if ok:
-        return 0, min(1.0, availability + 0.1), 0.8 * average + 0.2 * latency, open_until
-    failures, availability = failures + 1, max(0.0, availability - 0.3)
-    return failures, availability, average, at + 300.0 if failures >= 3 else open_until
-
-
-_HEALTH = "user_id bigint, calls bigint, failures int, availability double, latency double, open_until double"
-
-
-def call_health(events: DataFrame, start: tuple[int, float, float, float] = (0, 1.0, 500.0, 0.0), slice_: str = "hour") -> DataFrame:
-    """Batch: health of every key after its last call.
-
-    The rules compose: availability moves are clamped shifts, the latency average is linear, failures are run lengths.
-    So the calls of a key and hour are folded to one small summary, all hours in parallel, and a key folds its hours:
-    no group holds more than one hour of a key's calls.
-    """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    good = F.col("event_type") != "error"
-    hours = events.groupBy("user_id", F.date_trunc(slice_, "ts").alias("hour")).agg(
-        F.array_sort(F.collect_list(F.struct(at.alias("at"), "event_id", good.alias("ok"), "value"))).alias("calls"))
-    none = F.lit(None).cast("double")
-    # summary: n, failures at the start and when they ended, failures at the end, clamp (lo, hi, shift), line (a, b), opened
-    fields = ("n", "head", "head_at", "tail", "lo", "hi", "d", "a", "b", "opened")
-
-    def made(*values: Column) -> Column:
-        return F.struct(*[v.alias(f) for v, f in zip(values, fields)])
-
-    zero = made(F.lit(0), F.lit(0), none, F.lit(0), F.lit(float("-inf")), F.lit(float("inf")), F.lit(0.0), F.lit(1.0), F.lit(0.0), none)
-
-    def shifted(s: Column, move: float) -> tuple[Column, Column, Column]:
-        # clamp(x + d, lo, hi), then + move, then into [0, 1]
-        into = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c + move))
-        return into(s["lo"]), into(s["hi"]), s["d"] + move
-
-    def step(s: Column, c: Column) -> Column:
-        ok = made(s["n"] + 1, s["head"], s["head_at"], F.lit(0), *shifted(s, 0.1), s["a"] * 0.8, s["b"] * 0.8 + c["value"] * 0.2, s["opened"])
-        when, all_bad = c["at"] / 1e6, s["head"] == s["n"]
-        bad = made(s["n"] + 1, F.when(all_bad, s["head"] + 1).otherwise(s["head"]), F.when(all_bad, when).otherwise(s["head_at"]), s["tail"] + 1, *shifted(s, -0.3), s["a"], s["b"],
-                   F.when(~all_bad & (s["tail"] + 1 >= 3), when + 300.0).otherwise(s["opened"]))
-        return F.when(c["ok"], ok).otherwise(bad)
-
-    sums = hours.select("user_id", "hour", F.aggregate("calls", zero, step).alias("s"))
-    keys = sums.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("hour", "s"))).alias("hours"), F.sum("s.n").alias("calls"))
-    first = F.struct(F.lit(start[0]).alias("f"), F.lit(start[1]).alias("a"), F.lit(start[2]).alias("l"), F.lit(start[3]).alias("o"))
-
-    def chain(h: Column, x: Column) -> Column:
-        s = x["s"]
-        through_head = F.when((s["head"] > 0) & (h["f"] + s["head"] >= 3), s["head_at"] + 300.0)
-        return F.struct(F.when(s["head"] == s["n"], h["f"] + s["n"]).otherwise(s["tail"]).alias("f"), F.least(s["hi"], F.greatest(s["lo"], h["a"] + s["d"])).alias("a"),
-                        (h["l"] * s["a"] + s["b"]).alias("l"), F.coalesce(s["opened"], through_head, h["o"]).alias("o"))
-
-    done = keys.select("user_id", "calls", F.aggregate("hours", first, chain).alias("h"))
-    return done.select("user_id", "calls", F.col("h.f").alias("failures"), F.col("h.a").alias("availability"), F.col("h.l").alias("latency"), F.col("h.o").alias("open_until"))
-
-
-def call_health_stream(events: DataFrame, start: tuple[int, float, float, float] = (0, 1.0, 500.0, 0.0)) -> DataFrame:
-    def fold(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        calls, *health = state.get if state.exists else (0, *start)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for at, kind, value in zip(_seconds(pdf["ts"]), pdf["event_type"], pdf["value"]):
-            health = health_step(tuple(health), kind != "error", value, at)
-            calls += 1
-        state.update((calls, *health))
-        yield pd.DataFrame([(key[0], calls, *health)], columns=["user_id", "calls", "failures", "availability", "latency", "open_until"])
-
-    return events.groupBy("user_id").applyInPandasWithState(
-        fold, _HEALTH, "calls bigint, failures int, availability double, latency double, open_until double", "update", GroupStateTimeout.NoTimeout)
-
-
 # --- status machines -------------------------------------------------------------------------------------------------------------
 def move_allowed(before: Column, after: Column, moves=TASK_MOVES) -> Column:
     table = F.create_map(*[x for k, vs in moves.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in vs]).cast("array<string>"))])
@@ -221,12 +80,6 @@ def interrupted(history: DataFrame, key: str, order: Column, in_flight: list[str
     return last.filter(F.col("status").isin(*in_flight) & silent).join(active.select(key).distinct(), key, "left_anti")
 
 
-def live_keys(writes: DataFrame, key: str, order: Column, ttl_seconds: Column, as_of: Column) -> DataFrame:
-    """Last write per key that has not expired."""
-    last = writes.groupBy(key).agg(F.max_by("value", order).alias("value"), F.max_by(F.unix_micros(F.col("ts").cast("timestamp")), order).alias("at"), F.max_by(ttl_seconds, order).alias("ttl"))
-    return last.filter(F.col("at") + F.col("ttl") * 1_000_000 > F.unix_micros(as_of.cast("timestamp"))).select(key, "value")
-
-
 def admission(keys: DataFrame, minute: DataFrame, month: DataFrame, key: str, as_of: Column) -> DataFrame:
     """First rule that refuses a key, else ok, with what is left of its limits."""
     rows = keys.join(minute, key, "left").join(month, key, "left").fillna(0, ["minute_requests", "requests", "tokens"])

@@ -209,41 +209,14 @@ def _events(spark):
     return rows, df.select("event_id", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", "value")
 
 
-def test_limiter_counts_only_accepted(spark):
-    rows, df = _events(spark)
-    want, logs = {}, {}
-    for i, us, user, *_ in rows:
-        t = us / 1e6
-        log = logs[user] = [a for a in logs.get(user, []) if t - a < 60]
-        want[i] = len(log) < 4
-        if want[i]:
-            log.append(t)
-    assert {r["event_id"]: r["accepted"] for r in S.rate_limited(df, 4, 60.0).collect()} == want
-    assert not all(want.values())
-
-
-def test_call_health_equals_the_fold(spark):
-    rows, df = _events(spark)
-    state, calls = {}, {}
-    for _, us, user, kind, value in rows:
-        state[user] = S.health_step(state.get(user, (0, 1.0, 500.0, 0.0)), kind != "error", value, us / 1e6)
-        calls[user] = calls.get(user, 0) + 1
-    for piece in ("minute", "hour"):
-        for r in S.call_health(df, slice_=piece).collect():
-            f, a, l, o = state[r["user_id"]]
-            assert r["calls"] == calls[r["user_id"]] and r["failures"] == f
-            assert abs(r["availability"] - a) < 1e-9 and abs(r["latency"] - l) < 1e-6 and abs(r["open_until"] - o) < 1e-3
-
-
 def test_streams_equal_batch(spark, tmp_path):
     _, df = _events(spark)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = S.read_events(spark, str(tmp_path / "in"), df.schema)
     from gleaner.plans.stream_plans import drained
-    got = {r["event_id"]: r["accepted"] for r in drained(spark, S.rate_limited_stream(stream, 4, 60.0), "append").collect()}
-    assert got == {r["event_id"]: r["accepted"] for r in S.rate_limited(df, 4, 60.0).collect()}
-    health = {r["user_id"]: (r["calls"], r["failures"], round(r["latency"], 6)) for r in drained(spark, S.call_health_stream(stream), "update").collect()}
-    assert health == {r["user_id"]: (r["calls"], r["failures"], round(r["latency"], 6)) for r in S.call_health(df).collect()}
+    assert sorted(map(tuple, drained(spark, S.job_log(stream), "append").collect())) == sorted(map(tuple, S.job_log(df).collect()))
+    first = drained(spark, S.first_seen(stream, ["user_id", "event_type"], "40 days").select("user_id", "event_type"), "append")
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, df.select("user_id", "event_type").distinct().collect()))
 
 
 def test_lexical_score_is_independent_of_partitions(spark):
