@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -33,11 +35,13 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished, unreferenced jobs now instead of at the next driver collection."""
-    import gc
+    """Let Spark drop the shuffle files of finished, unreferenced jobs now instead of at the next driver collection.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    The first round frees the driver's handles, the second one what they held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def slices(texts: Iterable[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
