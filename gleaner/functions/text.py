@@ -209,12 +209,17 @@ def light_text(c: Column) -> Column:
     return collapse(decode_entities(remove_all(c, [r"(?s)<!--.*?-->", r"<[^>]*>"])))
 
 
-def light_page_text(c: Column, max_chars: int = 24000, min_chars: int = 80) -> Column:
-    """`light_text` of article/main when present; blank for walls and tiny pages."""
+def head(c: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; the whole text without a number."""
+    return c if chars is None else F.substring(c, 1, chars)
+
+
+def light_page_text(c: Column, max_chars: int | None = None, wall_chars: int | None = None, min_chars: int = 80) -> Column:
+    """`light_text` of article/main when present; blank for walls (looked for in the first ``wall_chars``) and tiny pages."""
     main = F.coalesce(*[F.nullif(F.regexp_extract(c, rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1), F.lit(""))
                         for t in L.ARTICLE_TAGS], c)
-    text = F.substring(light_text(main), 1, max_chars)
-    blocked = F.substring(text, 1, 500).rlike(L.BLOCKED_PAGE_PATTERN) | (F.length(text) < min_chars)
+    text = head(light_text(main), max_chars)
+    blocked = head(text, wall_chars).rlike(L.BLOCKED_PAGE_PATTERN) | (F.length(text) < min_chars)
     return F.when(blocked, "").otherwise(text)
 
 

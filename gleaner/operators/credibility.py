@@ -31,12 +31,12 @@ def year_recency(published: Column, kind: Column, as_of_year: int) -> Column:
     return F.when(F.lower(kind).isin("forum", "social"), F.least(score, F.lit(0.50))).otherwise(score)
 
 
-def relevance(question: Column, title: Column, snippet: Column, content: Column, prior: Column, cut_capitals: bool = True) -> Column:
+def relevance(question: Column, title: Column, snippet: Column, content: Column, prior: Column, cut_capitals: bool = True, content_chars: int | None = None) -> Column:
     """Share of question tokens found as substrings.  ``cut_capitals`` keeps the rule's habit of reading the question as
     written, so that a capital letter breaks a token."""
     asked = question if cut_capitals else F.lower(question)
     wanted = F.filter(F.regexp_extract_all(asked, F.lit("[a-z0-9]+"), F.lit(0)), lambda t: (F.length(t) >= 2) & ~t.isin(*L.CREDIBILITY_STOP))
-    text = F.lower(F.concat_ws(" ", title, snippet, F.substring(content, 1, 1500)))
+    text = F.lower(F.concat_ws(" ", title, snippet, T.head(content, content_chars)))
 
     def share(want: Column, have: Column) -> Column:
         ratio = F.size(F.filter(want, lambda t: have.contains(t))) / F.size(want)
@@ -116,7 +116,7 @@ def evaluate(sources: DataFrame, as_of_year: int, question: Column | None = None
     """All six parts, the weighted score and its tier; placeholder sources score 0."""
     asked = F.lit("") if question is None else question
     blank = F.lit("")
-    fake = U.placeholder_reason(F.col("url"), [F.col("snippet"), F.col("title"), F.substring("content", 1, 300)], blank).isNotNull()
+    fake = U.placeholder_reason(F.col("url"), [F.col("snippet"), F.col("title"), F.col("content")], blank).isNotNull()
     parts = sources.join(agreement(sources), "source_id").select(
         "source_id", "research_id", "domain", fake.alias("placeholder"), authority(F.col("domain"), F.col("source_type")).alias("authority"),
         year_recency(F.col("published_at"), F.col("source_type"), as_of_year).alias("recency"),

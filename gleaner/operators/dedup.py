@@ -162,13 +162,14 @@ def merge_by_url(df: DataFrame, url: Column, order: str, limit: int | None = Non
     return merged.orderBy(order).limit(limit) if limit is not None else merged
 
 
-def merge_academic(df: DataFrame, group: str, order: str, title: str = "title", doi: str = "doi") -> DataFrame:
+def merge_academic(df: DataFrame, group: str, order: str, title: str = "title", doi: str = "doi", title_chars: int | None = None) -> DataFrame:
     """Drop a paper when its title key or its DOI has been seen on an earlier kept paper of the same group.
 
     "Earlier kept" makes the rule sequential: a paper dropped by title does not reserve its DOI.  It is solved in rounds:
     a paper that is first under both of its keys is kept, everything sharing a key with it goes, repeat on the rest.
     """
-    title_key = F.substring(F.regexp_replace(F.lower(F.col(title)), r"[^\p{L}\p{N}_]", ""), 1, 60)
+    title_key = F.regexp_replace(F.lower(F.col(title)), r"[^\p{L}\p{N}_]", "")
+    title_key = title_key if title_chars is None else F.substring(title_key, 1, title_chars)
     base = df.select(group, order, F.concat(F.lit("t:"), title_key).alias("_t"),
                      F.when(F.coalesce(F.col(doi), F.lit("")) != "", F.concat(F.lit("d:"), F.lower(doi))).alias("_d"))
     open_rows = cut_lineage(base)

@@ -16,9 +16,10 @@ def page_metadata(pages: DataFrame) -> DataFrame:
                         T.page_date(html).alias("published"), T.page_description(html).alias("description"))
 
 
-def page_flags(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("is_paywall", F.substring("html", 1, 10000).rlike(L.PAYWALL_PATTERN)).withColumn(
-        "is_js_required", F.substring("html", 1, 3000).rlike(L.JS_ONLY_PATTERN))
+def page_flags(pages: DataFrame, paywall_chars: int | None = None, script_chars: int | None = None) -> DataFrame:
+    """Wall and script notices anywhere in the page, or only in its first characters."""
+    return pages.withColumn("is_paywall", T.head(F.col("html"), paywall_chars).rlike(L.PAYWALL_PATTERN)).withColumn(
+        "is_js_required", T.head(F.col("html"), script_chars).rlike(L.JS_ONLY_PATTERN))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

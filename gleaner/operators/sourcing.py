@@ -13,7 +13,7 @@ from gleaner.operators.dedup import content_hash, normalized_hash
 
 def source_problem(url: Column, title: Column, snippet: Column, content: Column, query: Column, metadata_only: Column) -> Column:
     """Null for a usable source, else the first rule that rejects it."""
-    placeholder = U.placeholder_reason(url, [snippet, title, F.substring(content, 1, 300)], query)
+    placeholder = U.placeholder_reason(url, [snippet, title, content], query)
     return (F.when(~F.coalesce(url, F.lit("")).rlike("^https?://"), "bad_scheme").when(placeholder.isNotNull(), placeholder)
             .when(metadata_only, "metadata_only").when((strip(snippet) == "") & (strip(content) == ""), "empty"))
 

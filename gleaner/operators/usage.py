@@ -119,16 +119,18 @@ def overall_score(scores: dict[str, Column] | None = None) -> Column:
 
 
 def score_report(results: DataFrame, dimensions: list[str], keys: list[str] | None = None, order: str = "result_id") -> DataFrame:
-    """Mean, exact order statistics, extremes per dimension over results without an error."""
+    """Mean, exact order statistics, extremes per dimension over results without an error.
+
+    Results are counted by distinct score first; only the few distinct scores of a dimension are put in order."""
     keys = keys or []
     stack = ", ".join(f"'{d}', {d}" for d in dimensions)
     long = results.filter("not failed").selectExpr(*keys, order, f"stack({len(dimensions)}, {stack}) as (dimension, score)")
     part = Window.partitionBy(*keys, "dimension")
-    n = F.count(F.lit(1)).over(part)
-    ranked = long.withColumn("_r", F.row_number().over(part.orderBy("score", order)) - 1).withColumn("_n", n)
-    at = lambda i: F.max(F.when(F.col("_r") == i, F.col("score")))
+    counted = long.groupBy(*keys, "dimension", "score").agg(F.count(F.lit(1)).alias("_k"))
+    ranked = counted.withColumn("_upto", F.sum("_k").over(part.orderBy("score"))).withColumn("_n", F.sum("_k").over(part))
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("score")))
     return ranked.groupBy(*keys, "dimension").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), at(F.floor(F.col("_n") * 0.5)).alias("p50"),
+        F.sum("_k").alias("n"), (F.sum(F.col("score") * F.col("_k")) / F.sum("_k")).alias("mean"), at(F.floor(F.col("_n") * 0.5)).alias("p50"),
         at(F.least(F.floor(F.col("_n") * 0.95), F.col("_n") - 1)).alias("p95"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
@@ -151,23 +153,27 @@ def agent_summary(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy(key).agg(F.count(F.lit(1)).alias("runs"), F.sum("duration_ms").alias("total_ms"), failed.alias("failed_agents"))
 
 
-def span_tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """(span_id, depth, root, path, duration, subtree): each round hangs one more level under the known spans.
 
-    spans: span_id, parent_id, name, started, ended.  A level is one join on the span id; lineage is cut per level.
+    spans: span_id, parent_id, name, started, ended.  A level is one join on the span id; lineage is cut per level, and
+    rounds end when a level is empty.  A span whose parent is unknown is a root; spans that hang on a cycle have no root
+    and come last, each for itself, at depth -1.
     """
     from gleaner.session import cut_lineage
     base = spans.select("span_id", "parent_id", "name", (F.col("ended") - F.col("started")).alias("duration"))
-    level = cut_lineage(base.filter("parent_id is null").select("span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root"), F.col("name").alias("path"), "duration",
+    ids = base.select(F.col("span_id").alias("parent_id")).distinct()
+    level = cut_lineage(base.join(ids, "parent_id", "left_anti").select("span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root"), F.col("name").alias("path"), "duration",
                                                                 F.array("span_id").alias("chain")))
-    known = level
-    for depth in range(1, max_depth + 1):
+    known, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
         up = level.select(F.col("span_id").alias("parent_id"), "root", F.col("path").alias("_p"), F.col("chain").alias("_c"))
         level = cut_lineage(base.join(up, "parent_id").select("span_id", F.lit(depth).alias("depth"), "root", F.concat_ws("/", "_p", "name").alias("path"), "duration",
                                                               F.array_append("_c", F.col("span_id")).alias("chain")))
-        if level.isEmpty():
-            break
         known = known.unionByName(level)
+    lost = base.join(known.select("span_id"), "span_id", "left_anti")
+    known = known.unionByName(lost.select("span_id", F.lit(-1).alias("depth"), F.lit(None).cast(base.schema["span_id"].dataType).alias("root"), F.col("name").alias("path"), "duration", F.array("span_id").alias("chain")))
     under = known.select(F.explode("chain").alias("span_id"), F.col("duration").alias("d")).groupBy("span_id").agg(F.sum("d").alias("subtree"))
     return known.drop("chain").join(under, "span_id")
 

@@ -127,7 +127,7 @@ def _(spark, d):
 @query("ded8_merge_papers")
 def _(spark, d):
     docs = documents(spark, d)
-    papers = docs.select("doc_id", "source", F.substring("text", 1, 24).alias("title"),
+    papers = docs.select("doc_id", "source", F.col("text").alias("title"),
                          F.when(F.pmod("doc_id", F.lit(3)) > 0, F.concat(F.lit("10.1/"), (F.col("doc_id") / 7).cast("bigint"))).alias("doi"))
     return D.merge_academic(papers, "source", "doc_id").select("doc_id", "source")
 
@@ -182,7 +182,7 @@ WITH s AS (SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'https://techcrunch.com/
   CASE WHEN page_id % 7 = 6 THEN '' ELSE html END AS content FROM pages)
 SELECT page_id, {case([("NOT regexp_matches(url, '^https?://')", "'bad_scheme'"),
   ("(" + " OR ".join(f"regexp_matches(url, {sql_str(p)})" for p in L.PLACEHOLDER_URLS) + ")", "'placeholder_url'"),
-  ("(" + " OR ".join(f"regexp_matches({t}, {sql_str(p)})" for t in ('snippet', 'left(content, 300)') for p in L.PLACEHOLDER_TEXTS) + ")", "'placeholder_text'"),
+  ("(" + " OR ".join(f"regexp_matches({t}, {sql_str(p)})" for t in ('snippet', 'content') for p in L.PLACEHOLDER_TEXTS) + ")", "'placeholder_text'"),
   ("length(query) > 15 AND (contains(lower(url), '/news/' || left(lower(replace(query, ' ', '-')), 30)) OR contains(lower(url), '/topics/' || left(lower(replace(query, ' ', '-')), 30)))", "'query_slug_in_path'"),
   ("metadata_only", "'metadata_only'"), (f"{STRIP('snippet')} = '' AND {STRIP('content')} = ''", "'empty'")], "NULL")} AS reason FROM s"""
 

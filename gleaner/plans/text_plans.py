@@ -53,8 +53,8 @@ _light = f"trim({RR(DECODE(chain(RR(chain('m', _drop(L.LIGHT_STRIP_TAGS)), '(?i)
 LIGHT_SQL = f"""
 WITH a AS (SELECT page_id, coalesce(nullif({REX('html', r'(?is)<article\b[^>]*>(.*?)</article\s*>', 1)}, ''),
       nullif({REX('html', r'(?is)<main\b[^>]*>(.*?)</main\s*>', 1)}, ''), html) AS m FROM pages),
-b AS (SELECT page_id, substr({_light}, 1, 24000) AS t FROM a)
-SELECT page_id, CASE WHEN regexp_matches(substr(t, 1, 500), {sql_str(L.BLOCKED_PAGE_PATTERN)}) OR length(t) < 80
+b AS (SELECT page_id, {_light} AS t FROM a)
+SELECT page_id, CASE WHEN regexp_matches(t, {sql_str(L.BLOCKED_PAGE_PATTERN)}) OR length(t) < 80
        THEN '' ELSE t END AS page_text FROM b"""
 
 
@@ -75,8 +75,8 @@ def _(spark, d):
 
 
 @query("txt4_page_flags", f"""
-SELECT page_id, regexp_matches(substr(html, 1, 10000), {sql_str(L.PAYWALL_PATTERN)}) AS is_paywall,
-       regexp_matches(substr(html, 1, 3000), {sql_str(L.JS_ONLY_PATTERN)}) AS is_js_required FROM pages""")
+SELECT page_id, regexp_matches(html, {sql_str(L.PAYWALL_PATTERN)}) AS is_paywall,
+       regexp_matches(html, {sql_str(L.JS_ONLY_PATTERN)}) AS is_js_required FROM pages""")
 def _(spark, d):
     return P.page_flags(pages(spark, d)).select("page_id", "is_paywall", "is_js_required")
 
