@@ -78,11 +78,11 @@ def eligible(metadata: Column, status: Column, *texts: Column) -> Column:
     return ok
 
 
-def extract_evidence(sources: DataFrame, passages: DataFrame, topic: Column | None = None, per_passage: int = 3, top_passages: int = 8,
+def extract_evidence(sources: DataFrame, topic: Column | None = None, per_passage: int = 3, top_passages: int = 8,
                      per_source: int = 10) -> DataFrame:
     """(source_id, n, claim, quote, method): best passages first, first three claims of each, distinct, at most ten.
 
-    ``passages`` are (source_id, passages array).  A source without any gets its snippet's claims, then its first three
+    ``sources`` has source_id, content, snippet and an array ``passages``; all work is inside its row.  A source without any gets its snippet's claims, then its first three
     readable sentences.
     """
     def claims_of(block: Column, first: int) -> Column:
@@ -96,7 +96,7 @@ def extract_evidence(sources: DataFrame, passages: DataFrame, topic: Column | No
         passage_score(p, topic).alias("s"), (-i).alias("o"), p.alias("p"))), asc=False), 1, top_passages)
     from_text = F.slice(unique(F.flatten(F.transform(ranked, lambda r: claims_of(r["p"], per_passage)))), 1, per_source)
     plain = F.slice(F.filter(K.simple_sentences(F.col("content")), lambda s: (F.length(s) > 35) & ~T.is_corrupted(s)), 1, 3)
-    base = sources.join(passages, "source_id", "left").withColumn("_t", F.coalesce(from_text, F.array().cast("array<string>")))
+    base = sources.withColumn("_t", F.coalesce(from_text, F.array().cast("array<string>")))
     base = base.withColumn("_s", F.when(F.size("_t") > 0, F.array().cast("array<string>")).otherwise(claims_of(F.col("snippet"), per_passage)))
     chosen = F.when(F.size("_t") > 0, F.col("_t")).when(F.size("_s") > 0, F.col("_s")).otherwise(plain)
     method = F.when(F.size("_t") > 0, "heuristic").when(F.size("_s") > 0, "heuristic_snippet").otherwise("heuristic_sentence")

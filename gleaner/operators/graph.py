@@ -54,11 +54,12 @@ def shortest_paths(edges: DataFrame, queries: DataFrame, max_depth: int = 6) ->
     its lineage.
     """
     text = queries.select("query_id", "target", F.col("source").alias("node"), F.array().cast("array<bigint>").alias("trail"), F.col("source").alias("text"))
+    edges = cut_lineage(edges.select("src", "dst", "relation", "edge_id"))  # read at every hop
     frontier = cut_lineage(text.filter("node <> target"))
     visited = text.select("query_id", "node")
     found = text.filter("node = target").select("query_id", F.lit(0).alias("length"), "trail", "text")
     for depth in range(1, max_depth + 1):
-        step = frontier.withColumnRenamed("node", "src").join(edges.select("src", "dst", "relation", "edge_id"), "src")
+        step = frontier.withColumnRenamed("node", "src").join(edges, "src")
         step = step.select("query_id", "target", F.col("dst").alias("node"), F.array_append("trail", F.col("edge_id")).alias("trail"),
                            F.concat(F.col("text"), F.lit(" ──["), F.col("relation"), F.lit("]──> "), F.col("dst")).alias("text"))
         best = step.groupBy("query_id", "target", "node").agg(F.min(F.struct("trail", "text")).alias("b")).select("query_id", "target", "node", "b.trail", "b.text")

@@ -76,10 +76,8 @@ def _(spark, d):
 
 @query("evd4_source_evidence")
 def _(spark, d):
-    src = I.sources(spark, d)
-    blocks = C.passages(src.select("source_id", "content"), "source_id", "content").groupBy("source_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("passage_no", "passage"))), lambda s: s["passage"]).alias("passages"))
-    return E.extract_evidence(src.select("source_id", "content", "snippet"), blocks)
+    src = I.sources(spark, d).select("source_id", "content", "snippet").withColumn("passages", C.passage_list(F.col("content")))
+    return E.extract_evidence(src)
 
 
 # Passages: conversation turns with their claims' phrases, three claims each.
