@@ -34,7 +34,7 @@ from gleaner.operators.dedup import connected_components
 WIDTH = 4
 PERCENT = 85
 FREQUENT = 64
-SHARD_CHARS = 24_000_000
+SHARD_CHARS = 12_000_000
 EXTRA = np.uint64(40)
 
 
@@ -130,11 +130,17 @@ def shared(posted: DataFrame, homes: int) -> DataFrame:
             tokens.append(high.astype(np.uint64) << np.uint64(32) | low)
         nodes, refs = np.unique(np.concatenate(sets), return_inverse=True)
         tokens = np.concatenate(tokens)
+        order = np.argsort(tokens)
+        same = tokens[order[1:]] == tokens[order[:-1]]
+        several = np.zeros(len(tokens), bool)
+        several[order] = np.append(False, same) | np.append(same, False)
+        totals = np.bincount(refs[~several], minlength=len(nodes))
+        tokens, refs = tokens[several], refs[several]  # few of all; the others are of one set
         order = np.lexsort((refs, tokens))
         tokens, refs = tokens[order], refs[order]
-        fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (refs[1:] != refs[:-1]))  # a set that several tasks met
+        fresh = np.append(True, (tokens[1:] != tokens[:-1]) | (refs[1:] != refs[:-1]))[: len(tokens)]  # a set that several tasks met
         tokens, refs = tokens[fresh], refs[fresh]
-        totals = np.bincount(refs, minlength=len(nodes))
+        totals = totals + np.bincount(refs, minlength=len(nodes))
         runs = _runs(tokens)
         frequency = np.repeat(np.diff(runs), np.diff(runs))
         kept = frequency > 1

@@ -32,7 +32,7 @@ from gleaner.llm.registry import query
 LENGTH = 200
 PRIME = 11
 BLOCKS = 4
-SHARD_CHARS = 24_000_000
+SHARD_CHARS = 12_000_000
 FOUND = "home int, texts binary, positions binary"
 
 
