@@ -1,8 +1,9 @@
-"""Token ids of whole texts by a public tokenizer, with each distinct piece encoded once.
+"""Token ids of whole texts by a public tokenizer, with each distinct word encoded once.
 
 The pre-tokenizers of the supported vocabularies always begin a new word at a single space that is followed by a
-non-space, so a text may be cut there and its parts encoded apart.  Parts repeat; their ids are kept in a bounded
-dictionary.  Unknown parts are encoded together, divided by a separator word of one token.
+non-space, so a text may be cut there and its parts encoded apart.  Most parts are a word, with punctuation and a line
+end and the next line's first word at most; pre-tokenizers divide these too.  What repeats is kept in bounded
+dictionaries; new words are encoded together, and their tokens told apart by the marks of the vocabulary.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import numpy as np
 
 CUT = re.compile(r" (?=\S)")
 ODD = re.compile(r" (?:\s|$)")
-KEEP = 1_000_000
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]*\n?)([A-Za-zÀ-ÖØ-öø-ÿ]*)")
+KEEP = 800_000
 JOINED = 64
-SEPARATOR = "~"
 
 
 def parts(text: str) -> list[str]:
@@ -36,49 +37,66 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 65536 else "<u4")
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        mark = self._ids(f" {SEPARATOR}")
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.inner: dict[str, bytes] = {}  # after a space
+        self.bare: dict[str, bytes] = {"": b""}  # at the beginning of a text, a line or after a word
+        # tokens that begin with the space before a word, or that end a word
+        known = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
+        self.begin = np.zeros(self.vocabulary, bool)
+        self.end = np.zeros(self.vocabulary, bool)
+        for token, number in known:
+            self.begin[number], self.end[number] = token.startswith("\u0120"), token.endswith("</w>")
+        self.spaced = not self.end.any()
 
     def _pack(self, text: str) -> bytes:
-        return np.array(self._ids(text), self.dtype).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _bare(self, text: str) -> bytes:
+        if (known := self.bare.get(text)) is None:
+            known = self.bare[text] = self._pack(text)
+        return known
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words of letters as they stand after a space, many in one text.
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if self.mark is not None and SEPARATOR not in p and p]
+        Each is one piece of the pre-tokenizer, so its first token alone has the space, or its last one alone the end."""
         width = self.dtype.itemsize
-        runs = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
-        joined = ["".join(f" {p} {SEPARATOR}" for p in run) for run in runs]
+        runs = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        joined = ["".join(f" {w}" for w in run) for run in runs]
         for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(encoded.ids, self.dtype)
-            ends = np.flatnonzero(ids == self.mark) * width
-            if len(ends) != len(run):
+            cuts = np.append(np.flatnonzero(self.begin[ids]), len(ids)) if self.spaced else np.append(0, np.flatnonzero(self.end[ids]) + 1)
+            if len(cuts) != len(run) + 1 or cuts[0] or cuts[-1] != len(ids):
+                self.inner.update((w, self._pack(f" {w}")) for w in run)
                 continue
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(run, ends.tolist()):
-                self.inner[p] = data[begin:end]
-                begin = end + width
-        for p in new:
-            if p not in self.inner:
-                self.inner[p] = self._pack(f" {p}")
+            data, cuts = ids.tobytes(), (cuts * width).tolist()
+            self.inner.update((w, data[a:b]) for w, a, b in zip(run, cuts, cuts[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [parts(t) for t in texts]
-        if len(self.inner) > KEEP:
-            self.inner.clear()
-        if len(self.first) > KEEP // 8:
-            self.first.clear()
-        out = []
+        for known in (self.inner, self.bare):
+            if len(known) > KEEP:
+                known.clear()
+        self.bare[""] = b""
         heads = [x.pop(0) for x in split]
-        self._learn(list(set().union(*split) - self.inner.keys()))
-        get = self.inner.__getitem__
+        inner = self.inner
+        words, whole, simple = set(), [], []
+        bare, match = self.bare, SIMPLE.fullmatch
+        for p in set().union(*split) - inner.keys():
+            if p.isalpha():
+                words.add(p)
+            elif (m := match(p)) is not None:
+                simple.append((p, *m.groups()))
+            else:
+                whole.append(p)
+        self._learn(list(words.union(x[1] for x in simple) - inner.keys()))
+        inner.update((p, self._pack(f" {p}")) for p in whole)
+        for p, word, middle, after in simple:
+            inner[p] = inner[word] + (bare.get(middle) or self._bare(middle)) + (bare.get(after) or self._bare(after))
+        out = []
         for head, rest in zip(heads, split):
-            if (known := self.first.get(head)) is None:
-                known = self.first[head] = self._pack(head)
-            out.append(known + b"".join(map(get, rest)))
+            m = SIMPLE.fullmatch(head)
+            first = b"".join(map(self._bare, m.groups())) if m else self._bare(head)
+            out.append(first + b"".join(map(inner.__getitem__, rest)))
         return out
 
 
