@@ -25,19 +25,20 @@ SAMPLES = 64
 TOGETHER = 8  # samples worked out in one row: small enough for generated code to be compiled
 RANGE_ROWS = 256
 MOST_RANGES = 4096
+PART_CHARS = 4_000_000
 WHITE = "[\\x09-\\x0D\\x20]+"
 
 
 def draws(term: Column, k: int) -> tuple[Column, Column, Column]:
     """(r, b, ln c) of sample ``k`` of a 64-bit term."""
-    first, second = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    drawn = F.xxhash64(term, F.lit(k))
 
-    def uniform(bits: Column, shift: int, n: int) -> Column:
-        return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0**-n)
+    def uniform(shift: int, n: int) -> Column:
+        return (F.shiftrightunsigned(drawn, shift).bitwiseAND(F.lit((1 << n) - 1)) + F.lit(0.5)) * F.lit(2.0**-n)
 
-    r = -F.ln(uniform(first, 0, 22) * uniform(first, 22, 22))
-    log_c = F.ln(-F.ln(uniform(second, 0, 31) * uniform(second, 31, 31)))
-    return r, uniform(first, 44, 20), log_c
+    r = -F.ln(uniform(0, 13) * uniform(13, 13))
+    log_c = F.ln(-F.ln(uniform(36, 14) * uniform(50, 14)))
+    return r, uniform(26, 10), log_c
 
 
 def value(r: Column, b: Column, log_c: Column, log_weight: Column) -> Column:
@@ -89,7 +90,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     one the first.  Equal ids are ordered by their texts, null ids come first.  Each range of ids ends with a ``guest``, a
     copy of the next range's first row, so no row has to look beyond its range."""
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"))
-    ranges = max(1, min(MOST_RANGES, docs.count() // RANGE_ROWS))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    ranges = max(1, min(MOST_RANGES, size["n"] // RANGE_ROWS))
     cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("rank", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     number = _range(F.col("rank"), [int(c) for c in cuts])
     placed = docs.withColumn("range", number)
@@ -101,7 +103,9 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     home = F.create_map(*(F.lit(x) for pair in zip((f for _, f in firsts), before) for x in pair))
     guests = docs.where(F.col("rank").isin([f for _, f in firsts])).withColumn("range", F.element_at(home, F.col("rank")))
     guests = guests.groupBy("range").agg(F.min(F.struct("rank", "text", "doc_id")).alias("g")).select("g.doc_id", "g.text", "g.rank", "range")
-    both = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    # words and their samples are many times a text: partitions small enough not to spill
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size["chars"] or 0) // PART_CHARS)
+    both = placed.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True))).repartition(parts, "range")
     order = W.partitionBy("range").orderBy("guest", "rank", "text")
     return both.withColumns({"place": F.row_number().over(order), "next": F.lead("text").over(order)}).drop("rank")
 
