@@ -14,6 +14,8 @@ from gleaner.llm.common import stored
 from gleaner.sources.tables import table
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: workers serve all stages in turn, so none may keep much for itself
+KNOWN_WORDS = 150_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): the places of all tokens in sequences of 4096."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=KNOWN_WORDS)
 
 
 STAGES = [("quality", quality_filter), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings), ("packing", pack)]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from gleaner.llm.common import documents, slices, stored
-from gleaner.llm.pieces import encoder
+from gleaner.llm.pieces import KEEP, encoder
 from gleaner.llm.registry import query
 
 CAPACITY = 4096
@@ -128,12 +128,12 @@ def place(pieces: DataFrame, order: Sequence[str], capacity: int = CAPACITY, len
     return ranked.select(*names, "_size", "_rank").mapInArrow(sweep, f"{fields}, sequence_id long, offset long")
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep_ids: bool = True, known_words: int = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids array<int>]): each document's tokens with ``end_id`` last, cut only
     where they are longer than ``capacity``.  Null texts count as empty (one token), repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, known_words)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
@@ -163,9 +163,10 @@ def sequences(placed: DataFrame) -> DataFrame:
         "sequence_id", F.flatten("p.ids").alias("ids"), F.transform("p", lambda p: F.struct(p.doc_id, p.piece, p.offset, p.length)).alias("docs"))
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with their places; see :func:`cut` and :func:`place`."""
-    return place(stored(cut(docs, tokenizer, end_id, capacity, keep_ids=False), "packing-pieces"), ORDER, capacity)
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, known_words: int = KEEP) -> DataFrame:
+    """Pieces of all documents with their places; see :func:`cut` and :func:`place`.  ``known_words`` bounds the memory that a
+    worker process keeps between its tasks."""
+    return place(stored(cut(docs, tokenizer, end_id, capacity, False, known_words), "packing-pieces"), ORDER, capacity)
 
 
 @query("op3_packing")

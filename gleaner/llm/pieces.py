@@ -29,7 +29,8 @@ def parts(text: str) -> list[str]:
 class PieceEncoder:
     """``encode(texts)`` gives one little-endian byte string of ids per text (``dtype`` wide)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEEP):
+        self.keep = keep
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -74,7 +75,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [parts(t) for t in texts]
         for known in (self.inner, self.bare):
-            if len(known) > KEEP:
+            if len(known) > self.keep:
                 known.clear()
         self.bare[""] = b""
         heads = [x.pop(0) for x in split]
@@ -101,6 +102,6 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and vocabulary file."""
-    return PieceEncoder(path)
+def encoder(path: str, keep: int = KEEP) -> PieceEncoder:
+    """One encoder per worker process and vocabulary file, with at most ``keep`` words and one batch's new ones."""
+    return PieceEncoder(path, keep)
