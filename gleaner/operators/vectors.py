@@ -94,12 +94,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None = 5, min_score:
     """
     base = vectors if where is None else vectors.filter(where)
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("d")).first()
-    if not size["n"]:
-        return base.select(F.lit(0).alias(query_id), vec_id, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     id_type = base.schema[vec_id].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
     schema = f"{query_id} {q_type}, {vec_id} {id_type}, score double"
     best = [F.desc("score"), F.asc(vec_id)]
+    if not size["n"]:
+        return base.sparkSession.createDataFrame([], schema if k is None else f"{schema}, rank int")
     if size["n"] * size["d"] * 4 <= BROADCAST_LIMIT:
         floor = F.col("floor") if "floor" in queries.columns else F.lit(float(min_score))
         rows = queries.select(query_id, column, F.greatest(floor, F.lit(float(min_score)))).collect()
@@ -141,8 +141,10 @@ def _best(vec_ids, vectors, query_ids, matrix, k: int | None, floors) -> pd.Data
     out = []
     for j, query in enumerate(query_ids):
         column = scores[:, j]
-        order = np.lexsort((vec_ids, -column))[:k]
-        order = order[column[order] >= floors[j]]
+        near = np.flatnonzero(column >= floors[j])
+        if k is not None and len(near) > k:  # all that reach the k-th best score, then ties by id
+            near = near[column[near] >= np.partition(column[near], len(near) - k)[len(near) - k]]
+        order = near[np.lexsort((vec_ids[near], -column[near]))][:k]
         out.append(pd.DataFrame({"q": [query] * len(order), "v": vec_ids[order], "s": column[order]}))
     return pd.concat(out)
 
