@@ -164,21 +164,23 @@ def shared(posted: DataFrame, homes: int) -> DataFrame:
     return posted.groupBy("shard").applyInArrow(run, "home int, sets binary, totals binary, tokens binary, frequencies binary, refs binary")
 
 
-def signatures(tokens: np.ndarray, frequency: np.ndarray, size: int, percent: int) -> np.ndarray:
-    """Signatures of a set of ``size`` n-grams whose shared ones are given; empty if it cannot have a partner."""
+def signatures(tokens: np.ndarray, frequency: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of ``size`` n-grams whose shared ones are given, none if it cannot have a partner; and how many
+    shared n-grams come before each in the common order (0 for pairs, whose members may not be the first common ones)."""
     missing = size - -(-percent * size // 100)
     need = missing - (size - len(tokens)) + 1
     if need <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     order = np.lexsort((tokens, frequency))
     tokens, frequency = tokens[order], frequency[order]
     rare = int(np.searchsorted(frequency, FREQUENT, "right"))
-    out = [H.mixed(tokens[: min(rare, need)])]
+    out, places = [H.mixed(tokens[: min(rare, need)])], [np.arange(min(rare, need))]
     if rare < need:
         often = tokens[rare:]
         for classes in {_classes(size * percent / 100, percent), _classes(size, percent)}:
             if not classes:
                 out.append(H.mixed(often[: need - rare]))
+                places.append(rare + np.arange(len(out[-1])))
                 continue
             group = (H.mixed(often * H.BASE) >> np.uint64(20)).astype(np.int64) % classes
             _, first = np.unique(group, return_index=True)
@@ -193,11 +195,13 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, size: int, percent: in
                 members = np.sort(part[by[a:b]])
                 i, j = np.triu_indices(len(members), 1)
                 out.append(H.mixed(members[i] * H.BASE + members[j] + np.uint64(classes)))
-    return np.unique(np.concatenate(out))
+                places.append(np.zeros(len(i), np.int64))
+    found, index = np.unique(np.concatenate(out), return_index=True)
+    return found, np.concatenate(places)[index]
 
 
 def candidates(returned: DataFrame, percent: int) -> DataFrame:
-    """(node, size, weight, tokens array<long>, signatures array<long>) of the sets that can have a partner.
+    """(node, size, weight, tokens, signatures, places) of the sets that can have a partner.
 
     weight, the mean number of sets that an n-gram of the set is in, is largest for the common source of edited copies."""
 
@@ -218,21 +222,23 @@ def candidates(returned: DataFrame, percent: int) -> DataFrame:
         rows = []
         for k, name in enumerate(names.tolist()):
             own = slice(cuts[k], cuts[k + 1])
-            found = signatures(tokens[own], frequency[own], int(sizes[k]), percent)
+            found, places = signatures(tokens[own], frequency[own], int(sizes[k]), percent)
             if len(found):
                 weight = (int(frequency[own].sum()) - int(np.count_nonzero(frequency[own]))) / int(sizes[k])
-                rows.append((name, int(sizes[k]), weight, tokens[own].view(np.int64), found.view(np.int64)))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        columns = zip(*rows) if rows else [[]] * 5
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["node", "size", "weight", "tokens", "signatures"])
+                rows.append((name, int(sizes[k]), weight, tokens[own].view(np.int64), found.view(np.int64), places))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.list_(pa.int64())] * 3]
+        columns = zip(*rows) if rows else [[]] * 6
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["node", "size", "weight", "tokens", "signatures", "places"])
 
-    return returned.groupBy("home").applyInArrow(run, "node long, size long, weight double, tokens array<long>, signatures array<long>")
+    return returned.groupBy("home").applyInArrow(run, "node long, size long, weight double, tokens array<long>, signatures array<long>, places array<long>")
 
 
 def linked(sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of all nodes with a link, or None: the rounds of verification."""
     spark = sets.sparkSession
-    slim = sets.select(F.explode("signatures").alias("sig"), "node", "size", "weight", F.size("tokens").alias("shared"))
+    slim = sets.select(F.explode(F.arrays_zip("signatures", "places")).alias("s"), "node", "size", "weight", F.size("tokens").alias("all"))
+    # where a signature is the first common n-gram, those before it are not common
+    slim = slim.select(F.col("s.signatures").alias("sig"), "node", "size", "weight", (F.col("all") - F.col("s.places")).alias("shared"))
     buckets = stored(slim.withColumn("n", F.count("*").over(W.partitionBy("sig"))).where("n > 1").drop("n"), "op6-buckets")
     edges = tested = components = None
     hubs = 1
