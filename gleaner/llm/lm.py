@@ -4,7 +4,7 @@ Documents are dealt to homes by a hash of their ids.  Each home counts its disti
 most frequent of them cost one row per home.  Words go to shards that add up the training counts and return them; pairs go
 to shards by a hash of both words (no context is hot), where they become a trie of three Elias-Fano lists: the contexts,
 the monotone pointers to their successors, and the successors relative to their context.  Counts are quantised to one
-byte.  The same shard answers the homes' pairs by successor search, and the homes add up
+byte, which has no ceiling: the few too large for it are kept exactly behind the bytes.  The same shard answers the homes' pairs by successor search, and the homes add up
 
     p(w | v) = (1 - l) c(v, w) / c(v) + l p(w),    p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
@@ -82,15 +82,39 @@ class EliasFano:
         return a
 
 
+LARGE = 255
+
+
 def quantise(counts: np.ndarray) -> np.ndarray:
-    """One byte for a count: exact below 128, then eight steps to a doubling."""
+    """One byte for a count: exact below 128, then eight steps to a doubling; from about 7.4 million on ``LARGE``, which
+    says that the count itself is kept elsewhere."""
     large = 128 + np.round(8 * np.log2(np.maximum(counts, 128) / 128))
-    return np.where(counts < 128, counts, np.minimum(large, 255)).astype(np.uint8)
+    return np.where(counts < 128, counts, np.minimum(large, LARGE)).astype(np.uint8)
 
 
 CODES = np.where(np.arange(256) < 128, np.arange(256), 128 * 2.0 ** ((np.arange(256) - 128) / 8))
 
 
+def coded(counts: np.ndarray) -> bytes:
+    """The code of each count, and after them the counts that are ``LARGE``, in their order."""
+    codes = quantise(counts)
+    return codes.tobytes() + counts[codes == LARGE].astype("<i8").tobytes()
+
+
+def parted(data, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n codes of ``coded`` and the large counts behind them."""
+    codes = np.frombuffer(data, np.uint8)
+    return codes[:n], codes[n:].view("<i8") if len(codes) > n else np.zeros(0, "<i8")
+
+
+def decoded(data, n: int) -> np.ndarray:
+    """The n counts of ``coded``."""
+    codes, large = parted(data, n)
+    counts = CODES[codes]
+    counts[codes == LARGE] = large
+    return counts
+
+
 class Trie:
     """Counts of (context, word) pairs of 24-bit ids."""
 
@@ -102,17 +126,17 @@ class Trie:
         rank = np.repeat(np.arange(len(begins), dtype=np.uint64), np.diff(np.append(begins, len(pairs))))
         relative = rank << np.uint64(ID_BITS) | pairs & np.uint64((1 << ID_BITS) - 1)
         pointers = np.append(begins, len(pairs)).astype(np.uint64)
-        return [EliasFano.pack(contexts[begins]), EliasFano.pack(pointers), EliasFano.pack(relative), quantise(counts).tobytes()]
+        return [EliasFano.pack(contexts[begins]), EliasFano.pack(pointers), EliasFano.pack(relative), coded(counts)]
 
     def __init__(self, levels):
         self.contexts, self.pointers, self.words = (EliasFano(x) for x in levels[:3])
-        self.codes = np.frombuffer(levels[3], np.uint8)
+        self.codes, self.large = parted(levels[3], self.words.n)
+        self.large_at = np.flatnonzero(self.codes == LARGE)
 
-    def find(self, pairs: np.ndarray) -> np.ndarray:
-        """The count's code of each pair; 0 for one that never occurred."""
-        out = np.zeros(len(pairs), np.uint8)
+    def places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs occurred, and their places among the successors."""
         if not self.contexts.n:
-            return out
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         context = pairs >> np.uint64(ID_BITS)
         at = self.contexts.successor(context)
         known = np.flatnonzero(at < self.contexts.n)
@@ -122,9 +146,23 @@ class Trie:
         end = self.pointers.get(at[known] + 1).astype(np.int64)
         inside = np.flatnonzero(place < end)
         inside = inside[self.words.get(place[inside]) == relative[inside]]
-        out[known[inside]] = self.codes[place[inside]]
+        return known[inside], place[inside]
+
+    def find(self, pairs: np.ndarray) -> np.ndarray:
+        """The count's code of each pair; 0 for one that never occurred."""
+        out = np.zeros(len(pairs), np.uint8)
+        known, place = self.places(pairs)
+        out[known] = self.codes[place]
         return out
 
+    def answer(self, pairs: np.ndarray) -> bytes:
+        """The pairs' counts as ``decoded`` reads them."""
+        out = np.zeros(len(pairs), np.uint8)
+        known, place = self.places(pairs)
+        out[known] = self.codes[place]
+        large = self.large[np.searchsorted(self.large_at, place[self.codes[place] == LARGE])]
+        return out.tobytes() + large.tobytes()
+
 
 class Home:
     """The documents of one home as arrays that do not depend on the order of its rows."""
@@ -248,7 +286,7 @@ def pair_counts(placed: DataFrame, words: DataFrame, shards: int, documents_: in
         level[where] = levels
         seen = total > 0
         trie = Trie(Trie.pack(names[seen], total[seen]))
-        rows = [(home, shard, b"", trie.find(own).tobytes()) for home, own in zip(table.column("home").to_pylist(), pairs)]
+        rows = [(home, shard, b"", trie.answer(own)) for home, own in zip(table.column("home").to_pylist(), pairs)]
         sums = np.concatenate([np.bincount(level[seen], minlength=LEVELS), np.bincount(level, total, LEVELS)]).astype("<i8")
         rows.append((-1 - shard, shard, sums.tobytes(), b""))
         return _table(rows, ["home", "shard", "words", "codes"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
@@ -295,14 +333,14 @@ def scores(docs: DataFrame, folds: int = FOLDS, id_col: str = "doc_id", text_col
             return _table([], names, kinds)
         home, n = Home(table), table.num_rows
         own = _returned(home, answers, homes)
-        codes = np.zeros(len(home.pairs), np.uint8)
+        seen = np.zeros(len(home.pairs))
         parts = {s: c for s, w, c in zip(answers.column("shard").to_pylist(), answers.column("words"), answers.column("codes")) if not len(w.as_buffer())}
         for k, index in _split(_pair_shard(home.pairs, homes), homes):
-            codes[index] = np.frombuffer(parts[k].as_buffer(), np.uint8)
+            seen[index] = decoded(parts[k].as_buffer(), len(index))
         base = (own[home.word] + 0.1) / (total + 0.1 * (distinct + 1))
         before = np.append(own, trained)[home.context]
         loose = np.where(before > 0, share[_level(before)], 1.0)
-        mixed = (1 - loose) * np.minimum(1.0, CODES[codes][home.pair] / np.maximum(before, 1)) + loose * base
+        mixed = (1 - loose) * np.minimum(1.0, seen[home.pair] / np.maximum(before, 1)) + loose * base
         sums = [np.bincount(home.doc, x, n) for x in (own[home.word] > 0, np.log10(base), np.log10(mixed))]
         columns = [table.column("doc_id"), table.column("held_out"), home.sizes, sums[0].astype(np.int64), np.full(n, total, np.int64), sums[1], sums[2]]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)

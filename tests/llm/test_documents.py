@@ -194,6 +194,19 @@ def test_trie_of_mapped_files(tmp_path):
         assert isclose(value, known.get(pair, 0), rel_tol=0.06)
 
 
+def test_trie_counts_have_no_ceiling():
+    counts = np.array([5, 127, 128, 9, 2**22, 2**23, 2**23 + 12345, 7, 2**31, 2**40])
+    pairs = np.arange(len(counts), dtype=np.uint64) * np.uint64(3) + (np.uint64(7) << np.uint64(24))
+    trie = lm.Trie([np.frombuffer(level, np.uint8) for level in lm.Trie.pack(pairs, counts)])
+    order = np.array([9, 0, 6, 6, 8, 3, 5, 4, 1, 2, 7])
+    asked = np.insert(pairs[order], 4, pairs[0] + np.uint64(1))
+    want = np.insert(counts[order], 4, 0)
+    got = lm.decoded(trie.answer(asked), len(asked))
+    assert all(isclose(g, w, rel_tol=0.05) for g, w in zip(got.tolist(), want.tolist()))
+    assert got[want >= 2**23].tolist() == want[want >= 2**23].tolist()
+    assert lm.decoded(lm.Trie(lm.Trie.pack(pairs[:0], counts[:0])).answer(pairs), len(pairs)).tolist() == [0] * len(pairs)
+
+
 def test_lm_scores(docs, nothing, corpus):
     tokens = [(i, i is None or zlib.crc32(str(i).encode()) % 10 == 0, [*split(t), None]) for i, t in corpus]
     count = Counter(w for _, held, ws in tokens if not held for w in ws)
