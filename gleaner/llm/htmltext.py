@@ -151,11 +151,6 @@ def main_text(page: str) -> str:
         if clean[k] and not content[k] and in_links[k] <= LINKS * total[k] and path[:-1] in holders:
             inside = any(x.split(".")[0] in ("article", "main") for x in path)
             content[k] = inside or path[-1].split(".")[0] in HEADINGS
-    # a clean article element is the content, its paths stand or fall together
-    if any(content[k] and any(x.split(".")[0] == "article" for x in paths[k][0]) for k in range(len(paths))):
-        for k, (path, _) in enumerate(paths):
-            inside = any(x.split(".")[0] == "article" for x in path)
-            content[k] = clean[k] and (content[k] if not inside else in_links[k] <= LINKS * total[k]) and inside
     return " ".join(t for (_, _, t, _), k in zip(found, index) if content[k])
 
 

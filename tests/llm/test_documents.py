@@ -156,6 +156,21 @@ def test_main_text(spark):
     assert htmltext.extract(frame).count() == 5 and htmltext.extract(frame.limit(0)).count() == 0
 
 
+def test_main_text_beside_teaser_articles():
+    body = [f"Paragraph {k} of the story, which is long; it goes on, and on, with signs, clauses, and detail enough. It ends here, at last." for k in range(6)]
+    teasers = [f"Teaser {k}, of another story, in one line. Read on, there." for k in range(3)]
+    cards = "".join(f"<article><p>{t}</p></article>" for t in teasers)
+    for tag in ('div class="post"', "main", "section"):
+        story = f"<{tag}>" + "".join(f"<p>{t}</p>" for t in body) + f"</{tag.split()[0]}>"
+        for page in (f"<html><body>{story}{cards}</body></html>", f"<html><body>{cards}{story}</body></html>"):
+            text = htmltext.main_text(page)
+            assert all(t in text for t in body)
+    # a short line of the article stays, a list of links in it does not
+    links = "<ul>" + "".join(f'<li><a href="/{k}">Another headline, number {k}</a></li>' for k in range(5)) + "</ul>"
+    page = "<html><body><article>" + "".join(f"<p>{t}</p>" for t in [*body, "Short."]) + links + "</article></body></html>"
+    assert htmltext.main_text(page) == " ".join([*body, "Short."])
+
+
 def test_quality(spark, docs, nothing, corpus):
     rows = [(k, "good words in a row, and more of them here" if k % 2 else "BAD!! BAD!! THING!! HERE!! " * 3, k % 2) for k in range(200)] + [(900, None, None), (901, "", None)]
     own = spark.createDataFrame(rows, "doc_id long, text string, quality int")
