@@ -81,20 +81,23 @@ def _partners(blocks: DataFrame, probes: DataFrame) -> DataFrame:
     return others.groupBy("source_id").agg(F.min("h.source_id").alias("low"), F.max("h.source_id").alias("high"))
 
 
-def agreement(sources: DataFrame, quick_words: int = 8, max_chars: int = 500) -> DataFrame:
+def agreement(sources: DataFrame, quick_words: int = 8, max_chars: int | None = None) -> DataFrame:
     """(source_id, partners, agreement) where partners is 0, 1 or 2 for "two or more".
 
     Sharing two words means sharing a word pair, so pairs are the blocking key.  A first pass lists only the pairs among
     the few words with the smallest hashes and settles most sources; only the others are probed with all of their pairs,
-    against the blocks they name.
+    against the blocks they name; of any text only the words that an open source of its run has can count there.
     """
-    words = F.array_sort(F.array_distinct(K.tokens(F.concat_ws(" ", "title", F.substring("content", 1, max_chars)), L.CREDIBILITY_STOP, 4)))
+    words = F.array_sort(F.array_distinct(K.tokens(F.concat_ws(" ", "title", T.head(F.col("content"), max_chars)), L.CREDIBILITY_STOP, 4)))
     base = sources.select("source_id", "research_id", "url", F.lower("source_type").alias("kind"), words.alias("words"))
     few = F.array_sort(F.transform(F.slice(F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, quick_words),
                                    lambda s: s["w"]))
     quick = base.select("source_id", "research_id", "url", F.explode(_pairs(few)).alias("block"))
     settled = _partners(quick, quick).filter("low <> high")
-    full = base.select("source_id", "research_id", "url", F.explode(_pairs(F.col("words"))).alias("block"))
+    each = base.select("source_id", "research_id", "url", F.explode("words").alias("word"))
+    asked = each.join(settled.select("source_id"), "source_id", "left_anti").select("research_id", "word").distinct()
+    common = each.join(asked, ["research_id", "word"], "left_semi").groupBy("source_id", "research_id", "url").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    full = common.select("source_id", "research_id", "url", F.explode(_pairs(F.col("words"))).alias("block"))
     probes = full.join(settled.select("source_id"), "source_id", "left_anti")
     named = full.join(probes.select("research_id", "block").distinct(), ["research_id", "block"], "left_semi")
     found = settled.unionByName(_partners(named, probes))

@@ -141,6 +141,16 @@ def test_agreement_counts(spark):
         assert {r["source_id"]: r["partners"] for r in CR.agreement(df, quick_words=quick).collect()} == want
 
 
+def test_agreement_reads_whole_texts(spark):
+    texts = ["alpha gamma", "delta omega", "alpha gamma delta", "sigma alpha gamma", "omega delta kappa", ""]
+    rows = [(i, "r", f"u{i}", "", f"w{i:04d} " + f"fill{i} " * 120 + t, "news") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "source_id bigint, research_id string, url string, title string, content string, source_type string")
+    want = {a[0]: min(2, sum(b[0] != a[0] and len(set(a[4].split()) & set(b[4].split())) >= 2 for b in rows)) for a in rows}
+    assert set(want.values()) == {0, 1, 2}
+    for quick in (1, 8):
+        assert {r["source_id"]: r["partners"] for r in CR.agreement(df, quick_words=quick).collect()} == want
+
+
 def test_contradictions_equal_the_pair_loop(spark):
     rng = random.Random(11)
     parts = ["sales in india", "sales in canada", "market share of cars", "market share of buses", "growth"]
