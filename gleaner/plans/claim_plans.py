@@ -216,7 +216,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY left_id, ri
 @query("clm2_contradictions", CONTRA_SQL + f"""
 SELECT r.research_id, left_id, right_id, {CAUSE} AS cause, CAST(rank AS INTEGER) AS rank FROM r JOIN f a ON a.claim_id = left_id JOIN f b ON b.claim_id = right_id WHERE rank <= 5""")
 def _(spark, d):
-    return CL.contradictions(features(spark, d))
+    return CL.merged_contradictions(features(spark, d))
 
 
 @query("clm3_claim_contradictions", f"""WITH f AS MATERIALIZED (SELECT * FROM {FEATURES} WHERE metric IS NOT NULL),

@@ -261,7 +261,7 @@ def _(spark, d):
 def _(spark, d):
     claims, f = I.claims(spark, d), CP.features(spark, d)
     themes = E.theme_claims(claims, "research_id", "claim_id")
-    found = CL.contradictions(f)
+    found = CL.merged_contradictions(f)
     findings = E._ranked(claims.groupBy("research_id", "claim").agg(F.min("claim_id").alias("claim_id")), ["research_id"], ["claim_id"], 6)
     out = V.outline(themes, findings, found, "research_id")
     return out.select("research_id", F.array_join("findings", " | ").alias("findings"), F.to_json("themes").alias("themes"), F.array_join("contradictions", " | ").alias("contradictions"))

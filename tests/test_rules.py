@@ -181,6 +181,30 @@ def test_contradictions_equal_the_pair_loop(spark):
     assert every == set(pairs)
 
 
+def test_repeated_text_pairs_hide_no_contradiction(spark):
+    rng = random.Random(5)
+    texts = [f"Sales in India {m} by {n} percent" for m in ("increased", "decreased") for n in range(4)]
+    said = [texts[0], texts[4]] * 6 + [rng.choice(texts) for _ in range(30)] + texts
+    rows = [(i, "r", t, "disputed" if i % 19 == 18 else "verified") for i, t in enumerate(said)]
+    df = CL.claim_features(spark.createDataFrame(rows, "claim_id bigint, research_id string, claim string, status string"))
+    disputed = lambda i: rows[i][3] == "disputed"
+    clash = lambda i, j: said[i] != said[j] and said[i].split()[3] != said[j].split()[3]
+    first, own = {}, {}
+    for i in range(len(said)):
+        for j in range(len(said)):
+            if i < j and said[i] != said[j] and (clash(i, j) or disputed(i) or disputed(j)):
+                first.setdefault(frozenset((said[i], said[j])), (i, j))
+            if said[i] != said[j] and (clash(i, j) or disputed(j)):
+                own.setdefault((i, said[j]), (i, j))
+    got = CL.merged_contradictions(df).orderBy("rank").collect()
+    assert [(r.left_id, r.right_id) for r in got] == sorted(first.values()) and len(got) > 8
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
+    assert [(r.left_id, r.right_id) for r in CL.merged_contradictions(df, top=5).orderBy("rank").collect()] == sorted(first.values())[:5]
+    assert {(r.left_id, r.right_id) for r in CL.claim_contradictions(df, df).collect()} == set(own.values())
+    signals = CL.conflict_signals(df.select("research_id", "claim_id", "claim"), df, "research_id", "claim_id").filter("signal = 'pair'").collect()
+    assert {(r.left_id, r.right_id) for r in signals} == set(first.values())
+
+
 def test_overlap_joins_miss_nothing(spark):
     rng = random.Random(2)
     words = [f"t{i}" for i in range(30)]
