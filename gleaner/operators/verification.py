@@ -38,14 +38,15 @@ def _scored_pairs(claims: DataFrame, evidence: DataFrame, run: str, share: float
     return scored.filter(F.col("exact") | (F.round("match", 9) >= share)).join(facts, "right_id")
 
 
-def supporting_evidence(claims: DataFrame, evidence: DataFrame, run: str = "research_id", share: float = 0.45, k: int = 5) -> DataFrame:
-    """(claim_id, evidence_id, score, rank): matching evidence of the run, an equal claim counts 1.0, best k."""
+def supporting_evidence(claims: DataFrame, evidence: DataFrame, run: str = "research_id", share: float = 0.45, k: int | None = None) -> DataFrame:
+    """(claim_id, evidence_id, score, rank): matching evidence of the run, an equal claim counts 1.0; with ``k`` the best k."""
     scored = _scored_pairs(claims, evidence, run, share, 0.15, 0.20)
     score = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.col("match"))
     kept = scored.select(run, F.col("left_id").alias("claim_id"), F.col("right_id").alias("evidence_id"), F.round(score, 9).alias("score"),
                          "confidence", "status", "source_id").filter(F.col("score") >= share)
     rank = Window.partitionBy("claim_id").orderBy(F.desc("score"), "evidence_id")
-    return kept.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    ranked = kept.withColumn("rank", F.row_number().over(rank))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def compare_sources(support: DataFrame, sources: DataFrame) -> DataFrame:

@@ -48,13 +48,13 @@ SUPPORT_SQL = f"""{_pairs_sql('0.15::DOUBLE', '0.20::DOUBLE')},
 s AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, evidence_id) AS rank FROM (SELECT *, round(CASE WHEN exact THEN 1.0 ELSE raw END, 9) AS score FROM m) WHERE score >= 0.45 QUALIFY rank <= 5)"""
 
 
-def support(spark, d):
-    return V.supporting_evidence(I.claims(spark, d), pool(spark, d))
+def support(spark, d, k=None):
+    return V.supporting_evidence(I.claims(spark, d), pool(spark, d), k=k)
 
 
 @query("clm5_supporting_evidence", f"WITH {SUPPORT_SQL} SELECT claim_id, evidence_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM s")
 def _(spark, d):
-    return support(spark, d).select("claim_id", "evidence_id", F.round("score", 6).alias("score"), "rank")
+    return support(spark, d, 5).select("claim_id", "evidence_id", F.round("score", 6).alias("score"), "rank")
 
 
 def claim_sources(spark, d):

@@ -218,6 +218,22 @@ def test_overlap_joins_miss_nothing(spark):
     assert {(x[0], y[0]) for x in left for y in right if len(set(x[2]) & set(y[2])) / min(len(x[2]), len(y[2])) >= 0.55} <= near
 
 
+def test_all_matching_evidence_counts(spark):
+    claims = spark.createDataFrame([(1, "r", "sales of cars rose strongly")], "claim_id bigint, research_id string, claim string")
+    # five copies of one source, then another source, then a disputed item
+    rows = [("r", i, c, c, [], [], 0.8, "disputed" if i == 7 else "verified", s)
+            for i, s, c in [(i, 1, "sales of cars rose strongly") for i in range(1, 6)] + [(6, 2, "sales of cars rose"), (7, 3, "cars rose strongly")]]
+    pool = spark.createDataFrame(rows, "research_id string, evidence_id bigint, body string, evidence_claim string, entities array<string>, metrics array<string>, "
+                                       "confidence double, status string, source_id bigint")
+    sources = spark.createDataFrame([(i, f"u{i}", 0.5) for i in (1, 2, 3)], "source_id bigint, url string, credibility_score double")
+    support = V.supporting_evidence(claims, pool)
+    compared = V.compare_sources(support, sources)
+    none = spark.createDataFrame([], "left_id bigint")
+    fact = V.claim_facts(claims, support, compared, none).first()
+    assert (fact["supporting"], fact["distinct_sources"], fact["flagged"], fact["contradictions"]) == (7, 3, 1, 1)
+    assert [r["evidence_id"] for r in V.supporting_evidence(claims, pool, k=5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_repair_of_reports(spark):
     reports = spark.createDataFrame([(1, "# T\nSales grew. All is lost here.\n- Weak claim [2] stays.")], "report_id bigint, body string")
     rows = spark.createDataFrame([(1, "All is lost here.", False, 0.1), (1, "Weak claim [2] stays.", False, 0.3), (1, "Sales grew.", True, 0.9)],
