@@ -265,11 +265,11 @@ def sanitize_html(c: Column) -> Column:
     return remove_all(c, [*L.DANGEROUS_HTML, L.EVENT_HANDLER, L.SCRIPT_URI])
 
 
-def clean_query(c: Column, max_chars: int = 1000) -> Column:
-    return strip(F.substring(F.replace(c, F.lit("\x00"), F.lit("")), 1, max_chars))
+def clean_query(c: Column, max_chars: int | None = None) -> Column:
+    return strip(head(F.replace(c, F.lit("\x00"), F.lit("")), max_chars))
 
 
-def query_problem(c: Column, min_chars: int = 2, max_chars: int = 1000) -> Column:
+def query_problem(c: Column, min_chars: int = 2, max_chars: int | None = None) -> Column:
     """Null for a usable query, else why not."""
     q = clean_query(F.coalesce(c, F.lit("")), max_chars)
     return (F.when(F.coalesce(c, F.lit("")) == "", "empty").when(F.length(q) < min_chars, "too_short")

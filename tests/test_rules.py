@@ -234,6 +234,19 @@ def test_all_matching_evidence_counts(spark):
     assert [r["evidence_id"] for r in V.supporting_evidence(claims, pool, k=5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_queries_blocks_and_gaps_are_whole(spark):
+    long = "how do markets move " * 80 + "<script>alert(1)</script>"
+    assert one(spark, T.query_problem(F.lit(long))) == "forbidden_markup" and one(spark, T.query_problem(F.lit(long), max_chars=1000)) is None
+    assert one(spark, T.clean_query(F.lit(long))) == long
+    pages = spark.createDataFrame([(1, 1, "Results", "word " * 900 + "end")], "doc_id bigint, page int, section string, text string")
+    assert C.high_value_blocks(pages, "doc_id").first()["text"] == "word " * 900 + "end"
+    assert len(C.high_value_blocks(pages, "doc_id", max_chars=2000).first()["text"]) == 2000
+    claims = spark.createDataFrame([(i, "r", "the effect of one and the same thing " * 4 + f"in case {i} is unclear") for i in range(3)], "claim_id bigint, research_id string, claim string")
+    planned = spark.createDataFrame([], "research_id string, query string")
+    gaps = CL.information_gaps(claims, planned, "research_id", "claim_id").collect()
+    assert len(gaps) == 3 and all(f"in case {r['claim_id']}" in r["follow_up"] for r in gaps)
+
+
 def test_repair_of_reports(spark):
     reports = spark.createDataFrame([(1, "# T\nSales grew. All is lost here.\n- Weak claim [2] stays.")], "report_id bigint, body string")
     rows = spark.createDataFrame([(1, "All is lost here.", False, 0.1), (1, "Weak claim [2] stays.", False, 0.3), (1, "Sales grew.", True, 0.9)],
