@@ -6,7 +6,7 @@ import importlib
 
 from gleaner.llm.registry import ORACLES, QUERIES
 
-MODULES = ("suffixes", "tokenids", "packing", "bpe", "media", "ngramjoin", "htmltext", "quality", "lm", "fingerprints", "simhash", "dialogues")
+MODULES = ("suffixes", "tokenids", "packing", "bpe", "media", "ngramjoin", "htmltext", "quality", "lm", "fingerprints", "simhash", "dialogues", "collocations")
 
 
 def load() -> tuple[dict, dict]:
