@@ -223,7 +223,7 @@ counts AS (
 sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
 found AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE k > 1 AND f >= 30),
 cuts AS (
-  SELECT c.lang, c.phrase, c.a, k, head.f AS l, tail.f AS r, ((2000000::HUGEINT * c.a) // (head.f + tail.f))::BIGINT AS score
+  SELECT c.lang, c.phrase, c.a, c.k, head.f AS l, tail.f AS r, ((2000000::HUGEINT * c.a) // (head.f + tail.f))::BIGINT AS score
   FROM (SELECT *, unnest(range(1, size)) AS k FROM found) c
   JOIN counts head ON head.lang = c.lang AND head.phrase = array_to_string(c.w[1:c.k], ' ')
   JOIN counts tail ON tail.lang = c.lang AND tail.phrase = array_to_string(c.w[c.k + 1:], ' ')),
