@@ -9,6 +9,7 @@ from gleaner import lexicons as L
 from gleaner.functions import text as T
 from gleaner.functions import tokens as K
 from gleaner.functions import urls as U
+from gleaner.session import cut_lineage
 
 
 def authority(domain: Column, kind: Column) -> Column:
@@ -58,56 +59,84 @@ def specificity(text: Column) -> Column:
     return (F.when(n >= 3, 0.95).when(n == 2, 0.85).when(n == 1, 0.70).when(F.length(T.strip(text)) > 100, 0.50).otherwise(0.30))
 
 
-def _pairs(words: Column) -> Column:
-    """Hashes of all unordered pairs of a sorted word list."""
-    return T.let(words, lambda ws: F.flatten(F.transform(ws, lambda a, i: F.transform(
-        F.slice(ws, i + 2, F.size(ws)), lambda b: F.xxhash64(a, b)))))
-
-
-def _partners(blocks: DataFrame, probes: DataFrame) -> DataFrame:
-    """(source_id, low, high): least and greatest other source that shares a block and has another URL.
-
-    Two different partners exist exactly when low <> high, so two aggregates that combine before the shuffle replace the
-    list of partners.  A block keeps at most three URLs with two sources each: enough to show any member its first two
-    partners, however large the block is.
-    """
-    per_url = Window.partitionBy("research_id", "block", "url").orderBy("source_id")
-    per_block = Window.partitionBy("research_id", "block").orderBy("url")
-    heads = (blocks.withColumn("_n", F.row_number().over(per_url)).filter("_n <= 2")
-             .withColumn("_u", F.dense_rank().over(per_block)).filter("_u <= 3")
-             .groupBy("research_id", "block").agg(F.collect_list(F.struct("source_id", "url")).alias("heads")))
-    seen = probes.join(heads, ["research_id", "block"]).select("source_id", "url", F.explode("heads").alias("h"))
-    others = seen.filter((F.col("h.source_id") != F.col("source_id")) & (F.col("h.url") != F.col("url")))
-    return others.groupBy("source_id").agg(F.min("h.source_id").alias("low"), F.max("h.source_id").alias("high"))
-
-
-def agreement(sources: DataFrame, quick_words: int = 8, max_chars: int | None = None) -> DataFrame:
-    """(source_id, partners, agreement) where partners is 0, 1 or 2 for "two or more".
-
-    Sharing two words means sharing a word pair, so pairs are the blocking key.  A first pass lists only the pairs among
-    the few words with the smallest hashes and settles most sources; only the others are probed with all of their pairs,
-    against the blocks they name; of any text only the words that an open source of its run has can count there.
+def _counted(base: DataFrame, each: DataFrame, often: DataFrame) -> DataFrame:
+    """(source_id, research_id, url, settled) of the sources with two words that others have; settled ones are shown to have
+    two partners by counts alone.
+
+    Let a source share c words with others, whose postings have S members in all, in a run with T sources of other URLs.  If
+    one of these at most shared two words with it, S could not pass T - 1 + c.  Long texts pass it by far, so almost all of
+    them are settled by two aggregates."""
+    runs = base.groupBy("research_id").agg(F.count(F.lit(1)).alias("batch"))
+    urls = base.groupBy("research_id", "url").agg(F.count(F.lit(1)).alias("own"))
+    load = each.join(often, ["research_id", "word"]).groupBy("source_id", "research_id", "url").agg(F.sum("often").alias("members"), F.count(F.lit(1)).alias("common"))
+    rows = load.join(runs, "research_id").join(urls, ["research_id", "url"])
+    return rows.filter("common > 1").selectExpr("source_id", "research_id", "url", "members - common * own > batch - own - 1 + common AS settled")
+
+
+def _shared_light(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(source_id, url, other, other_url, light): light words shared by an open source with each other source."""
+    other = postings.select("research_id", "word", F.col("source_id").alias("other"), F.col("url").alias("other_url"))
+    seen = asked.join(other, ["research_id", "word"]).filter((F.col("other") != F.col("source_id")) & (F.col("other_url") != F.col("url")))
+    return seen.groupBy("source_id", "url", "other", "other_url").agg(F.count(F.lit(1)).alias("light"))
+
+
+def _partners(each: DataFrame, often: DataFrame, rest: DataFrame, heavy: int) -> DataFrame:
+    """(source_id, low, high): least and greatest partner of each open source that has one; two partners if they differ.
+
+    Two shared words are two light ones, a light and a heavy one, or two heavy ones.  Light words list at most ``heavy``
+    sources each.  Pairs of heavy words are asked for by name, and an answer keeps three URLs with two sources each: enough
+    to show any asker its first two partners, however many there are."""
+    words = each.join(rest.select("source_id"), "source_id", "left_semi").join(often, ["research_id", "word"])
+    words = cut_lineage(words.select("source_id", "research_id", "url", "word", "often"))
+    asked = words.select("research_id", "word", "often").distinct()
+    postings = cut_lineage(each.join(asked, ["research_id", "word"]).select("source_id", "research_id", "url", "word", (F.col("often") > heavy).alias("heavy")))
+    is_heavy = F.col("often") > heavy
+    light = _shared_light(words.filter(~is_heavy), postings.filter("not heavy"))
+    heavy_words = postings.filter("heavy").groupBy("source_id", "research_id", "url").agg(F.collect_list("word").alias("words"))
+    sets = heavy_words.select("source_id", "words")
+    one = light.filter("light = 1").join(sets.withColumnRenamed("words", "mine"), "source_id").join(sets.select(F.col("source_id").alias("other"), "words"), "other")
+    found = (light.filter("light > 1").select("source_id", "other")
+             .unionByName(one.filter(F.arrays_overlap("mine", "words")).select("source_id", "other")))
+    mine = words.filter(is_heavy).select("source_id", "research_id", "url", "word", "often")
+    right = mine.select("source_id", F.col("word").alias("second"), F.col("often").alias("often_2"))
+    pairs = mine.withColumnRenamed("word", "first").join(right, "source_id").filter("struct(often, first) < struct(often_2, second)")
+    pairs = pairs.select("source_id", "research_id", "url", "first", "second")
+    named = pairs.select("research_id", "first", "second").distinct()
+    holders = (postings.filter("heavy").select("source_id", "research_id", "url", F.col("word").alias("first"))
+               .join(named, ["research_id", "first"]).join(sets, "source_id").filter(F.array_contains("words", F.col("second"))))
+    per_url = Window.partitionBy("research_id", "first", "second", "url").orderBy("source_id")
+    per_pair = Window.partitionBy("research_id", "first", "second").orderBy("url", "source_id")
+    # two sources of each URL, and of those the first six: three URLs at least, or all of them
+    heads = (holders.withColumn("_n", F.row_number().over(per_url)).filter("_n <= 2")
+             .withColumn("_k", F.row_number().over(per_pair)).filter("_k <= 6")
+             .select("research_id", "first", "second", F.col("source_id").alias("other"), F.col("url").alias("other_url")))
+    both = pairs.join(heads, ["research_id", "first", "second"]).filter((F.col("other") != F.col("source_id")) & (F.col("other_url") != F.col("url")))
+    return found.unionByName(both.select("source_id", "other")).groupBy("source_id").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+
+
+def agreement(sources: DataFrame, max_chars: int | None = None, heavy: int = 256) -> DataFrame:
+    """(source_id, partners, agreement) where partners is 0, 1 or 2 for "two or more": sources of the run with another URL
+    that share two words with this one.
+
+    Word counts of a run settle nearly all sources (``_counted``); only for the others partners are looked up, through
+    words in at most ``heavy`` sources and through named pairs of more frequent ones (``_partners``).  No source ever lists
+    the pairs of its text; the work is that of the distinct words of all texts, and of what the open sources ask for.
     """
-    words = F.array_sort(F.array_distinct(K.tokens(F.concat_ws(" ", "title", T.head(F.col("content"), max_chars)), L.CREDIBILITY_STOP, 4)))
+    words = F.array_distinct(K.tokens(F.concat_ws(" ", "title", T.head(F.col("content"), max_chars)), L.CREDIBILITY_STOP, 4))
     base = sources.select("source_id", "research_id", "url", F.lower("source_type").alias("kind"), words.alias("words"))
-    few = F.array_sort(F.transform(F.slice(F.array_sort(F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, quick_words),
-                                   lambda s: s["w"]))
-    quick = base.select("source_id", "research_id", "url", F.explode(_pairs(few)).alias("block"))
-    settled = _partners(quick, quick).filter("low <> high")
     each = base.select("source_id", "research_id", "url", F.explode("words").alias("word"))
-    asked = each.join(settled.select("source_id"), "source_id", "left_anti").select("research_id", "word").distinct()
-    common = each.join(asked, ["research_id", "word"], "left_semi").groupBy("source_id", "research_id", "url").agg(F.array_sort(F.collect_set("word")).alias("words"))
-    full = common.select("source_id", "research_id", "url", F.explode(_pairs(F.col("words"))).alias("block"))
-    probes = full.join(settled.select("source_id"), "source_id", "left_anti")
-    named = full.join(probes.select("research_id", "block").distinct(), ["research_id", "block"], "left_semi")
-    found = settled.unionByName(_partners(named, probes))
-    batch = base.groupBy("research_id").agg(F.count(F.lit(1)).alias("batch"))
-    partners = F.when(F.col("low").isNull(), 0).when(F.col("low") == F.col("high"), 1).otherwise(2)
+    slim = base.select("source_id", "research_id", "url")
+    often = cut_lineage(each.groupBy("research_id", "word").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    counted = cut_lineage(_counted(slim, each, often))
+    found = _partners(each, often, counted.filter("not settled"), heavy)
+    batch = slim.groupBy("research_id").agg(F.count(F.lit(1)).alias("batch"))
+    rows = base.select("source_id", "research_id", "kind", F.size("words").alias("n")).join(batch, "research_id")
+    rows = rows.join(counted.select("source_id", "settled"), "source_id", "left").join(found, "source_id", "left")
+    partners = F.when(F.col("settled"), 2).when(F.col("low").isNull(), 0).when(F.col("low") == F.col("high"), 1).otherwise(2)
     weak = F.col("kind").isin("forum", "social")
-    score = (F.when((F.col("batch") <= 1) | (F.size("words") == 0), F.when(weak, 0.40).otherwise(0.75)).when(F.col("partners") == 2, 0.95)
+    score = (F.when((F.col("batch") <= 1) | (F.col("n") == 0), F.when(weak, 0.40).otherwise(0.75)).when(F.col("partners") == 2, 0.95)
              .when(F.col("partners") == 1, 0.85).otherwise(F.when(weak, 0.35).otherwise(0.60)))
-    return (base.join(batch, "research_id").join(found, "source_id", "left").withColumn("partners", partners)
-            .select("source_id", "partners", score.alias("agreement")))
+    return rows.withColumn("partners", partners).select("source_id", "partners", score.alias("agreement"))
 
 
 def tier(score: Column) -> Column:

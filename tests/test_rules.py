@@ -129,26 +129,47 @@ def test_components(spark):
     assert got == {n: find(n) for n in parent}
 
 
+def _agreeing(rows):
+    """Sources of the run with another URL that share two words, by all pairs; two stands for more."""
+    words = {r[0]: {w for w in f"{r[3]} {r[4]}".split() if len(w) >= 4} for r in rows}
+    return {a[0]: min(2, sum(b[1] == a[1] and b[2] != a[2] and len(words[a[0]] & words[b[0]]) >= 2 for b in rows)) for a in rows}
+
+
+SOURCE_ROW = "source_id bigint, research_id string, url string, title string, content string, source_type string"
+
+
 def test_agreement_counts(spark):
     rng = random.Random(9)
     words = ["alpha", "gamma", "delta", "omega", "sigma", "theta", "kappa", "lambda", "zeta1", "iota2", "rho33", "tau44"]
     rows = [(i, f"r{i % 2}", f"u{rng.randrange(25)}", "", " ".join(rng.sample(words, rng.randrange(0, 4))), "news") for i in range(40)]
-    df = spark.createDataFrame(rows, "source_id bigint, research_id string, url string, title string, content string, source_type string")
-    want = {}
-    for a in rows:
-        want[a[0]] = min(2, sum(b[0] != a[0] and b[1] == a[1] and b[2] != a[2] and len(set(a[4].split()) & set(b[4].split())) >= 2 for b in rows))
-    for quick in (1, 3, 8):
-        assert {r["source_id"]: r["partners"] for r in CR.agreement(df, quick_words=quick).collect()} == want
+    df = spark.createDataFrame(rows, SOURCE_ROW)
+    for heavy in (1, 4, 256):
+        assert {r["source_id"]: r["partners"] for r in CR.agreement(df, heavy=heavy).collect()} == _agreeing(rows)
+
+
+def test_agreement_with_frequent_words_and_few_partners(spark):
+    rng = random.Random(10)
+    rare = iter(range(10_000))
+    mixed = lambda *ws: " ".join(rng.sample([*ws, *(f"rare{next(rare)}" for _ in range(3))], len(ws) + 3))
+    # words that very many sources have, pairs of them that one, two, three or many have
+    texts = [mixed("frequent") for _ in range(40)] + [mixed("common") for _ in range(40)] + [mixed(f"some{i % 5}", f"other{i % 7}") for i in range(50)]
+    texts += [mixed("frequent", "common") for _ in range(3)] + [mixed("frequent", "some1"), mixed("common", "other2", "some3"), mixed("lonely", "frequent"), mixed("lonely", "common")]
+    texts += [mixed("frequent", "common", "some0", "other0"), mixed("seldom", "frequent", "other4"), mixed("seldom", "frequent", "other5"), "", "one"]
+    rows = [(i, "r" if i % 11 else "q", f"u{i % 90}" if i % 4 else f"u{i % 3}", "", t, "news") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SOURCE_ROW).repartition(3)
+    want = _agreeing(rows)
+    assert set(want.values()) == {0, 1, 2}
+    for heavy in (1, 3, 8, 256):
+        assert {r["source_id"]: r["partners"] for r in CR.agreement(df, heavy=heavy).collect()} == want
 
 
 def test_agreement_reads_whole_texts(spark):
     texts = ["alpha gamma", "delta omega", "alpha gamma delta", "sigma alpha gamma", "omega delta kappa", ""]
     rows = [(i, "r", f"u{i}", "", f"w{i:04d} " + f"fill{i} " * 120 + t, "news") for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "source_id bigint, research_id string, url string, title string, content string, source_type string")
-    want = {a[0]: min(2, sum(b[0] != a[0] and len(set(a[4].split()) & set(b[4].split())) >= 2 for b in rows)) for a in rows}
+    df = spark.createDataFrame(rows, SOURCE_ROW)
+    want = _agreeing(rows)
     assert set(want.values()) == {0, 1, 2}
-    for quick in (1, 8):
-        assert {r["source_id"]: r["partners"] for r in CR.agreement(df, quick_words=quick).collect()} == want
+    assert {r["source_id"]: r["partners"] for r in CR.agreement(df).collect()} == want
 
 
 def test_contradictions_equal_the_pair_loop(spark):
