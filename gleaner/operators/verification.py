@@ -68,11 +68,11 @@ def claim_confidence(best: Column, credibility: Column, sources: Column, conflic
 def claim_facts(claims: DataFrame, support: DataFrame, compared: DataFrame, conflicts: DataFrame) -> DataFrame:
     """One row per claim: supporting count, sources, credibility, contradictions, confidence.
 
-    A contradiction is a conflicting pool claim or a supporting item that is itself disputed.
+    A contradiction is a conflicting pool claim (``conflicts``: claim_id, links) or a supporting item that is itself disputed.
     """
     per = support.groupBy("claim_id").agg(F.count(F.lit(1)).alias("supporting"), F.max("confidence").alias("best"),
                                           F.countDistinct(F.when(F.col("status").isin(*L.DISPUTED_STATUSES), F.concat_ws(":", "source_id", "status"))).alias("flagged"))
-    against = conflicts.groupBy(F.col("left_id").alias("claim_id")).agg(F.count(F.lit(1)).alias("conflicting"))
+    against = conflicts.select("claim_id", F.col("links").alias("conflicting"))
     rows = claims.select("claim_id").join(per, "claim_id", "left").join(compared, "claim_id", "left").join(against, "claim_id", "left")
     rows = rows.fillna(0, ["supporting", "flagged", "conflicting", "distinct_sources"]).withColumn("contradictions", F.col("flagged") + F.col("conflicting"))
     return rows.withColumn("confidence", claim_confidence(F.col("best"), F.col("avg_credibility"), F.col("distinct_sources"), F.col("contradictions")))

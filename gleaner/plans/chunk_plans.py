@@ -143,7 +143,7 @@ def _(spark, d):
     return carried(spark, d).select("doc_id", "page", "section")
 
 
-@query("txt20_high_value_blocks", f"""SELECT doc_id, page, section, substr(text, 1, 2000) AS text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
+@query("txt20_high_value_blocks", f"""SELECT doc_id, page, section, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY
   CASE WHEN section IN ('Abstract', 'Results', 'Discussion', 'Conclusion', 'Findings') THEN 0 ELSE 1 END, page) AS INTEGER) AS rank FROM {CARRY_SQL}
   WHERE section NOT IN ('References', 'Bibliography', 'Acknowledgments', 'Appendix') AND {COUNT('text', chr(92) + 'S+')} >= 40""")
 def _(spark, d):

@@ -6,6 +6,7 @@ from gleaner import lexicons as L
 from gleaner.functions import text as T
 from gleaner.operators import chunks as C
 from gleaner.operators import claims as CL
+from gleaner.operators import conflicts as CF
 from gleaner.operators import evidence as E
 from gleaner.plans import inputs as I
 from gleaner.plans.chunk_plans import TOKENS
@@ -205,27 +206,30 @@ CAUSE = f"""coalesce(nullif(array_to_string(list_filter([CASE WHEN len(a.years)
 _cmp = """a.research_id = b.research_id AND a.metric = b.metric AND (a.region IS NULL OR b.region IS NULL OR a.region = b.region) AND a.claim_key <> b.claim_key
   AND NOT (a.forecast AND b.historical) AND NOT (b.forecast AND a.historical) AND (a.segment IS NULL OR b.segment IS NULL OR a.segment = b.segment) AND len(list_intersect(a.tokens, b.tokens)) >= 2"""
 _opp = "(a.polarity <> '' AND b.polarity <> '' AND a.polarity <> b.polarity)"
+_group = "research_id, metric, region, segment, forecast, historical, polarity, status = 'disputed', claim_key"
+
+
+def links_sql(right, clash, name):
+    """(name) one row per text group: its first claim, its claims, the claims against it, the first of these."""
+    return f"""{name}_p AS (SELECT a.claim_id, count(*) AS links, min(b.claim_id) AS first_id FROM f a JOIN {right} b ON {_cmp} WHERE {clash} GROUP BY 1),
+{name} AS (SELECT research_id, min(claim_id) AS claim_id, count(*) AS claims, min(links) AS links, min(first_id) AS first_id FROM f JOIN {name}_p USING (claim_id) GROUP BY {_group})"""
+
+
 CONTRA_SQL = f"""WITH f AS MATERIALIZED (SELECT * FROM {FEATURES} WHERE metric IS NOT NULL),
-p AS (SELECT a.research_id, a.claim_id AS left_id, b.claim_id AS right_id, a.claim_key AS lk, b.claim_key AS rk FROM f a JOIN f b ON {_cmp} AND a.claim_id < b.claim_id
-  WHERE {_opp} OR a.status = 'disputed' OR b.status = 'disputed'),
-h AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY research_id ORDER BY left_id, right_id) <= 8),
-u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY research_id, least(lk, rk), greatest(lk, rk) ORDER BY left_id, right_id) = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY research_id ORDER BY left_id, right_id) AS rank FROM u)"""
+{links_sql('f', f"{_opp} OR a.status = 'disputed' OR b.status = 'disputed'", 'r')}"""
+_LINKS = f"SELECT r.research_id, r.claim_id, claims, links, first_id, {CAUSE} AS cause FROM r JOIN f a ON a.claim_id = r.claim_id JOIN f b ON b.claim_id = first_id"
 
 
-@query("clm2_contradictions", CONTRA_SQL + f"""
-SELECT r.research_id, left_id, right_id, {CAUSE} AS cause, CAST(rank AS INTEGER) AS rank FROM r JOIN f a ON a.claim_id = left_id JOIN f b ON b.claim_id = right_id WHERE rank <= 5""")
+@query("clm2_contradictions", f"{CONTRA_SQL} {_LINKS}")
 def _(spark, d):
-    return CL.merged_contradictions(features(spark, d))
+    return CF.contradictions(features(spark, d))
 
 
 @query("clm3_claim_contradictions", f"""WITH f AS MATERIALIZED (SELECT * FROM {FEATURES} WHERE metric IS NOT NULL),
-p AS (SELECT a.research_id, a.claim_id AS left_id, b.claim_id AS right_id, b.claim_key AS rk FROM f a JOIN f b ON {_cmp} AND a.claim_id <> b.claim_id WHERE {_opp} OR b.status = 'disputed'
-  QUALIFY row_number() OVER (PARTITION BY a.claim_id ORDER BY b.claim_id) <= 5)
-SELECT p.research_id, left_id, right_id, {CAUSE} AS cause FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY left_id, rk ORDER BY right_id) = 1) p JOIN f a ON a.claim_id = left_id JOIN f b ON b.claim_id = right_id""")
+{links_sql('f', f"{_opp} OR b.status = 'disputed'", 'r')} {_LINKS}""")
 def _(spark, d):
     f = features(spark, d)
-    return CL.claim_contradictions(f, f)
+    return CF.against(f, f)
 
 
 @query("clm4_causes", f"""WITH f AS (SELECT * FROM {FEATURES}) SELECT a.claim_id, {CAUSE} AS cause FROM f a JOIN f b ON b.source_id = a.source_id AND b.claim_id = a.claim_id + 1""")
@@ -240,7 +244,7 @@ def _gap_sql(x):
     x = STRIP(x)
     for p in L.GAP_PHRASES:
         x = STRIP(RR(x, f"(?i){p}"))
-    return RR(f"substr({x}, 1, 120)", r"^[ .,;]+|[ .,;]+$")
+    return RR(x, r"^[ .,;]+|[ .,;]+$")
 
 
 _GAPTEXT = "claim || CASE claim_id % 4 WHEN 0 THEN '; more studies needed' WHEN 1 THEN ' is UNCLEAR' WHEN 2 THEN ' conflicts with a report' ELSE '' END"
@@ -265,21 +269,21 @@ def _(spark, d):
 
 
 @query("clm22_conflict_signals", CONTRA_SQL + f""", k AS (SELECT research_id, claim_id FROM (SELECT research_id, claim_id, {_GAPTEXT} AS claim FROM {I.CLAIMS}) WHERE regexp_matches({ASCII_WORDS('claim')}, {sql_str(L.CONFLICT_PATTERN)}))
-SELECT research_id, 'keyword' AS signal, claim_id AS left_id, CAST(NULL AS BIGINT) AS right_id FROM k UNION ALL SELECT research_id, 'pair', left_id, right_id FROM r WHERE rank <= 5""")
+SELECT research_id, 'keyword' AS signal, claim_id AS left_id, CAST(NULL AS BIGINT) AS right_id FROM k UNION ALL SELECT research_id, 'pair', claim_id, first_id FROM r""")
 def _(spark, d):
-    return CL.conflict_signals(gap_claims(spark, d), features(spark, d), "research_id", "claim_id")
+    return CL.conflict_signals(gap_claims(spark, d), CF.contradictions(features(spark, d)), "research_id", "claim_id")
 
 
 @query("clm23_adaptive_tasks", CONTRA_SQL + f""", k AS (SELECT research_id, claim_id, claim FROM (SELECT research_id, claim_id, {_GAPTEXT} AS claim FROM {I.CLAIMS}) WHERE regexp_matches({ASCII_WORDS('claim')}, {sql_str(L.CONFLICT_PATTERN)})),
-n AS (SELECT research_id, 1 AS p, claim_id AS o, 'gap' AS kind, follow_up AS query FROM {GAPS_SQL} UNION ALL
+n AS (SELECT research_id, 1 AS priority, claim_id AS position, 'gap' AS kind, follow_up AS query FROM {GAPS_SQL} UNION ALL
  SELECT research_id, 2, claim_id, 'verify', 'Verify and resolve conflicting information about: ' || claim || ' — run ' || research_id FROM k UNION ALL
- SELECT research_id, 2, left_id, 'verify', 'Verify and resolve conflicting information about:  — run ' || research_id FROM r WHERE rank <= 5 UNION ALL
+ SELECT research_id, 2, claim_id, 'verify', 'Verify and resolve conflicting information about:  — run ' || research_id FROM r UNION ALL
  SELECT DISTINCT research_id, 3, 0::BIGINT, 'diversity', 'Academic research and peer-reviewed studies on: run ' || research_id FROM {I.CLAIMS} WHERE research_id <> 'user')
-SELECT research_id, CAST(row_number() OVER (PARTITION BY research_id ORDER BY p, o, query) AS INTEGER) AS rank, kind, query FROM n QUALIFY row_number() OVER (PARTITION BY research_id ORDER BY p, o, query) <= 5""")
+SELECT research_id, priority, position, kind, query FROM n""")
 def _(spark, d):
     claims = gap_claims(spark, d)
     gaps = CL.information_gaps(claims, planned(spark, d), "research_id", "claim_id")
-    conflicts = CL.conflict_signals(claims, features(spark, d), "research_id", "claim_id")
+    conflicts = CL.conflict_signals(claims, CF.contradictions(features(spark, d)), "research_id", "claim_id")
     named = conflicts.join(claims.select(F.col("claim_id").alias("left_id"), "claim"), "left_id", "left").withColumn(
         "claim", F.when(F.col("signal") == "keyword", F.col("claim")))
     runs = claims.select("research_id").distinct().withColumn("run_query", F.concat(F.lit("run "), F.col("research_id")))

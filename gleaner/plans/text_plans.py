@@ -176,7 +176,7 @@ def _(spark, d):
 
 
 @query("txt13_query_check", f"""
-WITH q AS (SELECT conv_id, turn, text, {STRIP("substr(text, 1, 1000)")} AS c FROM conversations)
+WITH q AS (SELECT conv_id, turn, text, {STRIP("text")} AS c FROM conversations)
 SELECT conv_id, turn, c AS query, {case([("text IS NULL OR text = ''", "'empty'"), ("length(c) < 2", "'too_short'"),
   (f"regexp_matches(c, {sql_str(L.QUERY_FORBIDDEN)})", "'forbidden_markup'")], "NULL")} AS problem FROM q""")
 def _(spark, d):

@@ -7,6 +7,7 @@ from gleaner.functions import tokens as K
 from gleaner.functions import urls as U
 from gleaner.operators import citations as CI
 from gleaner.operators import claims as CL
+from gleaner.operators import conflicts as CF
 from gleaner.operators import evidence as E
 from gleaner.operators import quality as Q
 from gleaner.operators import verification as V
@@ -14,6 +15,7 @@ from gleaner.plans import claim_plans as CP
 from gleaner.plans import inputs as I
 from gleaner.plans.registry import query
 from gleaner.plans.sqlkit import COUNT, RR, STRIP, any_contains, case, sql_list, sql_str
+from gleaner.session import cut_lineage
 from gleaner.sources.tables import spread, table
 
 ROTATE = "CASE research_id WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'user' ELSE research_id END"
@@ -45,14 +47,15 @@ m AS (SELECT c.research_id, claim_id, evidence_id, source_id, e.confidence, stat
 
 
 SUPPORT_SQL = f"""{_pairs_sql('0.15::DOUBLE', '0.20::DOUBLE')},
-s AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, evidence_id) AS rank FROM (SELECT *, round(CASE WHEN exact THEN 1.0 ELSE raw END, 9) AS score FROM m) WHERE score >= 0.45 QUALIFY rank <= 5)"""
+s AS (SELECT * FROM (SELECT *, round(CASE WHEN exact THEN 1.0 ELSE raw END, 9) AS score FROM m) WHERE score >= 0.45)"""
 
 
 def support(spark, d, k=None):
     return V.supporting_evidence(I.claims(spark, d), pool(spark, d), k=k)
 
 
-@query("clm5_supporting_evidence", f"WITH {SUPPORT_SQL} SELECT claim_id, evidence_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM s")
+@query("clm5_supporting_evidence", f"""WITH {SUPPORT_SQL} SELECT claim_id, evidence_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, evidence_id) AS rank FROM s) WHERE rank <= 5""")
 def _(spark, d):
     return support(spark, d, 5).select("claim_id", "evidence_id", F.round("score", 6).alias("score"), "rank")
 
@@ -73,25 +76,26 @@ def _(spark, d):
     return V.compare_sources(support(spark, d), claim_sources(spark, d)).select("claim_id", "distinct_sources", F.round("avg_credibility", 6).alias("avg_credibility"))
 
 
-# Contradicting items of the same pool: stand-in counts by claim, so that the verdict rules are checked by themselves.
 def conflicts(spark, d):
-    n = F.pmod(F.col("claim_id"), F.lit(17))
-    return I.claims(spark, d).filter(n < 3).select(F.col("claim_id").alias("left_id"), F.explode(F.sequence(F.lit(0), n.cast("int"))).alias("k"))
+    """(claim_id, links): for each claim, the claims of the other speaker that contradict it."""
+    own = CP.features(spark, d)
+    other = F.when(F.col("research_id") == "user", "assistant").when(F.col("research_id") == "assistant", "user").otherwise(F.col("research_id"))
+    return CF.per_claim(own, CF.against(own, own.withColumn("research_id", other)))
 
 
-FACT_SQL = f"""{COMPARE_SQL}, g AS (SELECT claim_id, count(*) AS supporting, max(confidence) AS best, count(DISTINCT CASE WHEN status = 'disputed' THEN source_id END) AS flagged FROM s GROUP BY 1),
-f AS (SELECT claim_id, coalesce(supporting, 0) AS supporting, coalesce(flagged, 0) + CASE WHEN claim_id % 17 < 3 THEN claim_id % 17 + 1 ELSE 0 END AS contradictions, best, coalesce(distinct_sources, 0) AS ds, avg_credibility FROM c LEFT JOIN g USING (claim_id) LEFT JOIN k USING (claim_id)),
+FACT_SQL = f"""{COMPARE_SQL}, cf AS MATERIALIZED (SELECT * FROM {CP.FEATURES} WHERE metric IS NOT NULL), cp AS MATERIALIZED (SELECT * REPLACE ({ROTATE} AS research_id) FROM cf),
+x AS (SELECT a.claim_id, count(*) AS links FROM cf a JOIN cp b ON {CP._cmp} WHERE {CP._opp} OR b.status = 'disputed' GROUP BY 1), g AS (SELECT claim_id, count(*) AS supporting, max(confidence) AS best, count(DISTINCT CASE WHEN status = 'disputed' THEN source_id END) AS flagged FROM s GROUP BY 1),
+f AS (SELECT claim_id, coalesce(supporting, 0) AS supporting, coalesce(flagged, 0) + coalesce(links, 0) AS contradictions, best, coalesce(distinct_sources, 0) AS ds, avg_credibility FROM c LEFT JOIN g USING (claim_id) LEFT JOIN k USING (claim_id) LEFT JOIN x USING (claim_id)),
 v AS (SELECT claim_id, supporting, contradictions, CASE WHEN ds = 0 THEN 0.30::DOUBLE ELSE greatest(0, least(1, best * 0.7::DOUBLE + avg_credibility * 0.3::DOUBLE + CASE WHEN ds >= 3 THEN 0.08::DOUBLE WHEN ds = 2 THEN 0.04::DOUBLE ELSE 0 END - least(0.5::DOUBLE, contradictions * 0.25::DOUBLE))) END AS conf FROM f)"""
 
 
-def facts(spark, d):
-    claims, s = I.claims(spark, d), support(spark, d)
-    return V.claim_facts(claims, s, V.compare_sources(s, claim_sources(spark, d)), conflicts(spark, d))
+def facts(spark, d, s):
+    return V.claim_facts(I.claims(spark, d), s, V.compare_sources(s, claim_sources(spark, d)), conflicts(spark, d))
 
 
 @query("clm7_confidence", f"WITH {FACT_SQL} SELECT claim_id, supporting, contradictions, round(conf + 1e-9, 2) AS confidence FROM v")
 def _(spark, d):
-    return facts(spark, d).select("claim_id", "supporting", "contradictions", "confidence")
+    return facts(spark, d, cut_lineage(support(spark, d))).select("claim_id", "supporting", "contradictions", "confidence")
 
 
 ASSESS_SQL = f"""{FACT_SQL}, l AS (SELECT claim_id, avg(s.confidence) AS st, avg(credibility_score) AS ql, avg(CASE WHEN yr IS NOT NULL THEN greatest(0.4::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (2026 - yr) * 0.1::DOUBLE)) END) AS rc, count(DISTINCT source_id) AS n FROM s LEFT JOIN {_SRC} USING (source_id) GROUP BY 1),
@@ -101,8 +105,9 @@ w AS (SELECT claim_id, v.supporting, v.contradictions, round(conf + 1e-9, 2) AS
 @query("clm8_verdicts", f"""WITH {ASSESS_SQL}, z AS (SELECT *, CASE WHEN contradictions > 0 THEN least(conf, asm) ELSE greatest(conf, asm) END AS fin FROM w)
 SELECT claim_id, supporting > 0 AND fin >= 0.60 AND contradictions = 0 AS supported, CASE WHEN supporting > 0 AND fin >= 0.60 AND contradictions = 0 THEN 'verified' WHEN contradictions > 0 THEN 'disputed' ELSE 'unverified' END AS status FROM z""")
 def _(spark, d):
-    f = facts(spark, d)
-    links = support(spark, d).join(claim_sources(spark, d), "source_id", "left").join(f.select("claim_id", "contradictions"), "claim_id")
+    s = cut_lineage(support(spark, d))
+    f = cut_lineage(facts(spark, d, s))
+    links = s.join(claim_sources(spark, d), "source_id", "left").join(f.select("claim_id", "contradictions"), "claim_id")
     assessed = Q.assess_confidence(links, "claim_id", 2026, F.col("contradictions"))
     return V.verdicts(f, assessed).select("claim_id", "supported", "status")
 
@@ -261,7 +266,7 @@ def _(spark, d):
 def _(spark, d):
     claims, f = I.claims(spark, d), CP.features(spark, d)
     themes = E.theme_claims(claims, "research_id", "claim_id")
-    found = CL.merged_contradictions(f)
+    found = CL.first_contradictions(f, 3)
     findings = E._ranked(claims.groupBy("research_id", "claim").agg(F.min("claim_id").alias("claim_id")), ["research_id"], ["claim_id"], 6)
     out = V.outline(themes, findings, found, "research_id")
     return out.select("research_id", F.array_join("findings", " | ").alias("findings"), F.to_json("themes").alias("themes"), F.array_join("contradictions", " | ").alias("contradictions"))

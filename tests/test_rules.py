@@ -9,6 +9,7 @@ from gleaner.functions import tokens as K
 from gleaner.functions import urls as U
 from gleaner.operators import chunks as C
 from gleaner.operators import claims as CL
+from gleaner.operators import conflicts as CF
 from gleaner.operators import credibility as CR
 from gleaner.operators import dedup as D
 from gleaner.operators import graph as G
@@ -172,23 +173,32 @@ def test_agreement_reads_whole_texts(spark):
     assert {r["source_id"]: r["partners"] for r in CR.agreement(df).collect()} == want
 
 
-def test_contradictions_equal_the_pair_loop(spark):
-    rng = random.Random(11)
-    parts = ["sales in india", "sales in canada", "market share of cars", "market share of buses", "growth"]
-    moves = ["increased", "decreased", "rose", "fell", "changed", "is forecast"]
-    rows = [(i, "r", f"{rng.choice(parts)} {rng.choice(moves)} {rng.randrange(3)}", rng.choice(["verified"] * 6 + ["disputed"])) for i in range(70)]
-    df = CL.claim_features(spark.createDataFrame(rows, "claim_id bigint, research_id string, claim string, status string"))
-    f = {r["claim_id"]: r for r in df.collect()}
+def _clash(a, b):
+    if a["claim_key"] == b["claim_key"] or a["metric"] is None or a["metric"] != b["metric"]:
+        return False
+    if a["region"] and b["region"] and a["region"] != b["region"] or a["segment"] and b["segment"] and a["segment"] != b["segment"]:
+        return False
+    if a["forecast"] and b["historical"] or b["forecast"] and a["historical"] or len(set(a["tokens"]) & set(b["tokens"])) < 2:
+        return False
+    return True
+
+
+def _opposed(a, b):
+    return bool(a["polarity"] and b["polarity"] and a["polarity"] != b["polarity"])
+
+
+def _random_claims(spark, seed, n, runs="r"):
+    rng = random.Random(seed)
+    parts = ["sales in india", "sales in canada", "market share of cars", "market share of buses", "growth", "Sales of two-wheeler fleets"]
+    moves = ["increased", "decreased", "rose", "fell", "changed", "is forecast", "will fall", "declined in 2020"]
+    rows = [(i, rng.choice(runs), f"{rng.choice(parts)} {rng.choice(moves)} {rng.randrange(3)}", rng.choice(["verified"] * 6 + ["disputed"])) for i in range(n)]
+    return CL.claim_features(spark.createDataFrame(rows, "claim_id bigint, research_id string, claim string, status string")).cache()
 
-    def clash(a, b):
-        if a["claim_key"] == b["claim_key"] or a["metric"] is None or a["metric"] != b["metric"]:
-            return False
-        if a["region"] and b["region"] and a["region"] != b["region"] or a["segment"] and b["segment"] and a["segment"] != b["segment"]:
-            return False
-        if a["forecast"] and b["historical"] or b["forecast"] and a["historical"] or len(set(a["tokens"]) & set(b["tokens"])) < 2:
-            return False
-        return bool(a["polarity"] and b["polarity"] and a["polarity"] != b["polarity"]) or "disputed" in (a["status"], b["status"])
 
+def test_contradictions_equal_the_pair_loop(spark):
+    df = _random_claims(spark, 11, 70)
+    f = {r["claim_id"]: r for r in df.collect()}
+    clash = lambda a, b: _clash(a, b) and (_opposed(a, b) or "disputed" in (a["status"], b["status"]))
     pairs = [(i, j) for i in range(70) for j in range(i + 1, 70) if clash(f[i], f[j])]
     seen, want = set(), []
     for i, j in pairs[:8]:
@@ -200,30 +210,30 @@ def test_contradictions_equal_the_pair_loop(spark):
     assert got == want[:5]
     every = {(r["left_id"], r["right_id"]) for r in CL.contradictions(df, found=None).collect()}
     assert every == set(pairs)
-
-
-def test_repeated_text_pairs_hide_no_contradiction(spark):
-    rng = random.Random(5)
-    texts = [f"Sales in India {m} by {n} percent" for m in ("increased", "decreased") for n in range(4)]
-    said = [texts[0], texts[4]] * 6 + [rng.choice(texts) for _ in range(30)] + texts
-    rows = [(i, "r", t, "disputed" if i % 19 == 18 else "verified") for i, t in enumerate(said)]
-    df = CL.claim_features(spark.createDataFrame(rows, "claim_id bigint, research_id string, claim string, status string"))
-    disputed = lambda i: rows[i][3] == "disputed"
-    clash = lambda i, j: said[i] != said[j] and said[i].split()[3] != said[j].split()[3]
-    first, own = {}, {}
-    for i in range(len(said)):
-        for j in range(len(said)):
-            if i < j and said[i] != said[j] and (clash(i, j) or disputed(i) or disputed(j)):
-                first.setdefault(frozenset((said[i], said[j])), (i, j))
-            if said[i] != said[j] and (clash(i, j) or disputed(j)):
-                own.setdefault((i, said[j]), (i, j))
-    got = CL.merged_contradictions(df).orderBy("rank").collect()
-    assert [(r.left_id, r.right_id) for r in got] == sorted(first.values()) and len(got) > 8
-    assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
-    assert [(r.left_id, r.right_id) for r in CL.merged_contradictions(df, top=5).orderBy("rank").collect()] == sorted(first.values())[:5]
-    assert {(r.left_id, r.right_id) for r in CL.claim_contradictions(df, df).collect()} == set(own.values())
-    signals = CL.conflict_signals(df.select("research_id", "claim_id", "claim"), df, "research_id", "claim_id").filter("signal = 'pair'").collect()
-    assert {(r.left_id, r.right_id) for r in signals} == set(first.values())
+    first = {}
+    for i, j in pairs:
+        first.setdefault(frozenset((f[i]["claim_key"], f[j]["claim_key"])), (i, j))
+    for top in (1, 3, 12):
+        assert [(r.left_id, r.right_id) for r in CL.first_contradictions(df, top).orderBy("rank").collect()] == sorted(first.values())[:top]
+
+
+def test_contradiction_links_equal_the_pair_loop(spark):
+    for seed, runs, block in ((1, "r", 4096), (2, "rrrq", 3), (3, "rq", 1)):
+        df, pool = _random_claims(spark, seed, 90, runs), _random_claims(spark, seed + 50, 60, runs)
+        f, p = ({r["claim_id"]: r for r in x.collect()} for x in (df, pool))
+        own = {i: [j for j in f if f[i]["research_id"] == f[j]["research_id"] and _clash(f[i], f[j]) and (_opposed(f[i], f[j]) or "disputed" in (f[i]["status"], f[j]["status"]))] for i in f}
+        other = {i: [j for j in p if f[i]["research_id"] == p[j]["research_id"] and _clash(f[i], p[j]) and (_opposed(f[i], p[j]) or p[j]["status"] == "disputed")] for i in f}
+        like = lambda i: (f[i]["research_id"], f[i]["claim_key"], f[i]["segment"], f[i]["status"])
+        for found, want in ((CF.contradictions(df, rows=block), own), (CF.against(df, pool, rows=block), other)):
+            groups = {}
+            for i in f:
+                if want[i]:
+                    groups.setdefault(like(i), []).append(i)
+            assert {(r.claim_id, r.claims, r.links, r.first_id) for r in found.collect()} == {(g[0], len(g), len(want[g[0]]), min(want[g[0]])) for g in groups.values()}
+            assert {(r.claim_id, r.links) for r in CF.per_claim(df, found).collect()} == {(i, len(w)) for i, w in want.items() if w}
+        signals = CL.conflict_signals(df.select("research_id", "claim_id", "claim"), CF.contradictions(df), "research_id", "claim_id")
+        assert signals.filter("signal = 'pair'").count() == len({like(i) for i in f if own[i]})
+    assert CF.contradictions(df.limit(0)).count() == 0
 
 
 def test_overlap_joins_miss_nothing(spark):
@@ -249,7 +259,7 @@ def test_all_matching_evidence_counts(spark):
     sources = spark.createDataFrame([(i, f"u{i}", 0.5) for i in (1, 2, 3)], "source_id bigint, url string, credibility_score double")
     support = V.supporting_evidence(claims, pool)
     compared = V.compare_sources(support, sources)
-    none = spark.createDataFrame([], "left_id bigint")
+    none = spark.createDataFrame([], "claim_id bigint, links bigint")
     fact = V.claim_facts(claims, support, compared, none).first()
     assert (fact["supporting"], fact["distinct_sources"], fact["flagged"], fact["contradictions"]) == (7, 3, 1, 1)
     assert [r["evidence_id"] for r in V.supporting_evidence(claims, pool, k=5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
