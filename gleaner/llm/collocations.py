@@ -34,7 +34,7 @@ from gleaner.sources.tables import table
 LEAST, BEST, COVER_PERCENT, SCALE, WORDS = 30, 2000, 80, 2_000_000, 4
 SEGMENTS = 16
 FEWEST_BITS, MOST_BITS, BLOCK = 20, 28, 20
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 16_000_000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]+")
 STRIPE = "lang string, prefix string, segment int, nexts array<string>, counts array<long>"
