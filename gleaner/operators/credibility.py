@@ -123,7 +123,8 @@ def agreement(sources: DataFrame, max_chars: int | None = None, heavy: int = 256
     the pairs of its text; the work is that of the distinct words of all texts, and of what the open sources ask for.
     """
     words = F.array_distinct(K.tokens(F.concat_ws(" ", "title", T.head(F.col("content"), max_chars)), L.CREDIBILITY_STOP, 4))
-    base = sources.select("source_id", "research_id", "url", F.lower("source_type").alias("kind"), words.alias("words"))
+    # word sets are read five times, so texts are cut into words once
+    base = cut_lineage(sources.select("source_id", "research_id", "url", F.lower("source_type").alias("kind"), words.alias("words")))
     each = base.select("source_id", "research_id", "url", F.explode("words").alias("word"))
     slim = base.select("source_id", "research_id", "url")
     often = cut_lineage(each.groupBy("research_id", "word").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
