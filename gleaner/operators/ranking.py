@@ -36,7 +36,8 @@ def token_counts(docs: DataFrame, doc: str, text: str = "text", wanted: DataFram
 
 
 def lexical_scores(docs: DataFrame, queries: DataFrame, doc: str, query_id: str, text: str = "text") -> DataFrame:
-    """(query_id, doc, lexical) for pairs with a shared token; all others score 0.
+    """(query_id, doc, lexical) for all pairs with a shared token, where all are asked for; the best ones are
+    ``postings.top_documents``, which makes no pairs.
 
     Term saturation without IDF.  Only query tokens survive the explode, counts combine before the shuffle, and the
     query side stays a plain equi-join whose strategy follows its measured size.
@@ -49,18 +50,6 @@ def lexical_scores(docs: DataFrame, queries: DataFrame, doc: str, query_id: str,
     return pairs.select(query_id, doc, F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("lexical"))
 
 
-def corpus_bm25(docs: DataFrame, queries: DataFrame, doc: str, query_id: str, text: str = "text") -> DataFrame:
-    """BM25 with inverse document frequency and the corpus' own average length."""
-    weights = query_weights(queries, query_id)
-    lengths = docs.select(F.size(K.rerank_tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("avg_len"))
-    counts = token_counts(docs, doc, text, weights)
-    frequency = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rated = frequency.join(lengths).select(
-        "token", "avg_len", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    gain = F.sum(F.col("weight") * F.col("idf") * saturation(F.col("tf"), F.col("doc_length"), F.col("avg_len")))
-    return counts.join(weights.join(rated, "token"), "token").groupBy(query_id, doc).agg(gain.alias("bm25"))
-
-
 def lexical_column(query_tokens: Column, doc_tokens: Column) -> Column:
     """The lexical score of one row's query against the same row's text (candidate lists are short)."""
     def score(q: Column, d: Column) -> Column:

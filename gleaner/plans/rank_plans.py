@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from gleaner import lexicons as L
 from gleaner.functions import text as T
 from gleaner.operators import dedup as D
+from gleaner.operators import postings as P
 from gleaner.operators import ranking as R
 from gleaner.operators import vectors as V
 from gleaner.plans import inputs as I
@@ -36,8 +37,8 @@ def LEXICAL(docs, where=""):
 @query("rnk1_lexical_top10", f"""SELECT query_id, doc_id, round(lexical, 6) AS lexical, CAST(rank AS INTEGER) AS rank FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, doc_id) AS rank FROM {LEXICAL('documents')}) WHERE rank <= 10""")
 def _(spark, d):
-    scores = R.lexical_scores(I.documents(spark, d), items(spark, d), "doc_id", "query_id")
-    return V.top_k(scores, "query_id", [F.desc(F.round("lexical", 9)), F.asc("doc_id")], 10).withColumn("lexical", F.round("lexical", 6))
+    best = P.top_documents(I.documents(spark, d), items(spark, d), "doc_id", "query_id", 10)
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("lexical"), "rank")
 
 
 _DEDUPED = f"""(SELECT doc_id, {WS('text')} AS text FROM documents QUALIFY row_number() OVER (PARTITION BY lower({COLLAPSE('text')}) ORDER BY doc_id) = 1)"""
@@ -49,8 +50,8 @@ def _(spark, d):
     """Clean, drop copies, then rank: the five best documents for every benchmark passage."""
     docs = I.documents(spark, d).select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
     unique = D.keep_first(docs, D.normalized_hash(F.col("text")), "doc_id")
-    scores = R.lexical_scores(unique, items(spark, d), "doc_id", "query_id")
-    return V.top_k(scores, "query_id", [F.desc(F.round("lexical", 9)), F.asc("doc_id")], 5).withColumn("lexical", F.round("lexical", 6))
+    best = P.top_documents(unique, items(spark, d), "doc_id", "query_id", 5)
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("lexical"), "rank")
 
 
 _QUALITY = case([("source_type IN ('academic', 'paper', 'journal')", "1.0"),
@@ -81,21 +82,27 @@ def _(spark, d):
     return I.claims(spark, d).select("claim_id", F.round(score, 6).alias("context"))
 
 
+_EMB = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings"
+
+
 @query("rnk6_hybrid", f"""
-WITH l AS (SELECT query_id, doc_id, lexical FROM {LEXICAL('documents')}),
-s AS (SELECT l.*, CAST({_QUALITY} AS DOUBLE) AS quality, CASE WHEN published_at IS NULL THEN 0.5::DOUBLE ELSE
+WITH l AS (SELECT query_id, doc_id, lexical FROM {LEXICAL('documents')}), e AS MATERIALIZED ({_EMB}),
+s AS (SELECT b.item_id AS query_id, source_id AS doc_id, coalesce(lexical, 0) AS lexical, CAST({_QUALITY} AS DOUBLE) AS quality, CASE WHEN published_at IS NULL THEN 0.5::DOUBLE ELSE
    least(greatest(exp(-ln(2) / 730 * greatest(date_diff('second', CAST(published_at || '-01-01' AS TIMESTAMP), TIMESTAMP '2026-01-01') / 86400.0, 0)), 0.05), 1) END AS recency,
-   ((query_id * 31 + doc_id * 17) % 100)::DOUBLE / 100 AS semantic FROM l JOIN {I.SOURCES} x ON x.source_id = l.doc_id),
+   CASE WHEN v.e IS NULL OR w.e IS NULL THEN 0 ELSE greatest(0, least(1, list_dot_product(v.e, w.e) / sqrt(list_dot_product(v.e, v.e) * list_dot_product(w.e, w.e)))) END AS semantic
+   FROM benchmark b CROSS JOIN {I.SOURCES} x LEFT JOIN l ON l.query_id = b.item_id AND l.doc_id = x.source_id LEFT JOIN e v ON v.vec_id = x.source_id LEFT JOIN e w ON w.vec_id = b.item_id),
 h AS (SELECT query_id, doc_id, round(semantic * 0.40::DOUBLE + lexical * 0.25::DOUBLE + quality * 0.15::DOUBLE + recency * 0.10::DOUBLE + 0.05::DOUBLE, 4) AS hybrid FROM s)
 SELECT query_id, doc_id, round(hybrid, 3) AS hybrid FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, doc_id) <= 5""")
 def _(spark, d):
-    scores = R.lexical_scores(I.documents(spark, d), items(spark, d), "doc_id", "query_id")
-    rows = scores.join(I.sources(spark, d).withColumnRenamed("source_id", "doc_id"), "doc_id")
-    semantic = F.pmod(F.col("query_id") * 31 + F.col("doc_id") * 17, F.lit(100)) / 100
+    """All documents for every benchmark passage; the vector of a text is the embedding with its id, where there is one."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     recent = R.recency(T.parse_date(F.col("published_at")), F.lit("2026-01-01").cast("timestamp"))
-    scored = rows.select("query_id", "doc_id", R.hybrid(semantic, F.col("lexical"), R.source_quality(
-        F.col("url"), F.col("domain"), F.col("source_type")), recent, F.lit(0.5)).alias("hybrid"))
-    return V.top_k(scored, "query_id", [F.desc("hybrid"), F.asc("doc_id")], 5).select("query_id", "doc_id", F.round("hybrid", 3).alias("hybrid"))
+    rest = 0.15 * R.source_quality(F.col("url"), F.col("domain"), F.col("source_type")) + 0.10 * recent + 0.05
+    docs = I.sources(spark, d).select(F.col("source_id").alias("doc_id"), F.col("content").alias("text"), rest.alias("rest"))
+    docs = docs.join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    queries = items(spark, d).join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id", "left")
+    best = P.top_documents(docs, queries, "doc_id", "query_id", 5, 4, "hybrid", vector="embedding", static="rest")
+    return best.select("query_id", "doc_id", F.round(F.round("score", 4), 3).alias("hybrid"))
 
 
 def embedded_documents(spark, d):
@@ -217,8 +224,8 @@ s AS (SELECT query_id, doc_id, round(sum(w * ln(1 + (n - df + 0.5::DOUBLE) / (df
       FROM c JOIN q USING (token) JOIN f USING (token), st GROUP BY 1, 2)
 SELECT query_id, doc_id, bm25 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) <= 10""")
 def _(spark, d):
-    scores = R.corpus_bm25(I.documents(spark, d), items(spark, d), "doc_id", "query_id").withColumn("bm25", F.round("bm25", 6))
-    return V.top_k(scores, "query_id", [F.desc("bm25"), F.asc("doc_id")], 10).select("query_id", "doc_id", "bm25")
+    best = P.top_documents(I.documents(spark, d), items(spark, d), "doc_id", "query_id", 10, 6, "bm25")
+    return best.select("query_id", "doc_id", F.round("score", 6).alias("bm25"))
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from gleaner.operators import credibility as CR
 from gleaner.operators import dedup as D
 from gleaner.operators import graph as G
 from gleaner.operators import overlap as O
+from gleaner.operators import postings as P
 from gleaner.operators import ranking as R
 from gleaner.operators import verification as V
 from gleaner.streaming import streams as S
@@ -320,6 +321,42 @@ def test_lexical_score_is_independent_of_partitions(spark):
     assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 12
 
 
+def test_posting_blocks_equal_all_scores(spark):
+    rng = random.Random(8)
+    words = [f"term{k}" for k in range(30)] + ["growth", "markets", "batteries"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 60))) for _ in range(150)] + [None, "", "the of"]
+    texts += [texts[3]] * 7 + ["term1 " * 5000]
+    rest = [rng.random() / 5 for _ in texts]
+    vec = [[rng.gauss(0, 1) for _ in range(4)] if i % 5 else None for i in range(len(texts))]
+    asked = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(25)] + ["", "unknownword", None]
+    qvec = [[rng.gauss(0, 1) for _ in range(4)] if i % 4 else None for i in range(len(asked))]
+    docs = spark.createDataFrame([(1000 - i, t, v, r) for i, (t, v, r) in enumerate(zip(texts, vec, rest))], "doc_id bigint, text string, v array<double>, rest double").repartition(5)
+    queries = spark.createDataFrame(list(zip(range(len(asked)), asked, qvec)), "query_id bigint, text string, v array<double>")
+    pairs = docs.crossJoin(queries.select("query_id", F.col("text").alias("q"), F.col("v").alias("w")))
+    toks = lambda c: F.coalesce(K.rerank_tokens(F.col(c)), F.array().cast("array<string>"))
+    rows = pairs.select("query_id", "doc_id", "rest", "v", "w", R.lexical_column(toks("q"), toks("text")).alias("lexical")).collect()
+
+    def cosine(v, w):
+        if v is None or w is None:
+            return 0.0
+        return max(0.0, sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) * sum(b * b for b in w)) ** 0.5)
+
+    def best(score, digits, k, every=False):
+        out = {}
+        for r in rows:
+            if every or r.lexical > 0:
+                out.setdefault(r.query_id, []).append((-round(score(r), digits), r.doc_id))
+        return {(q, d) for q, own in out.items() for _, d in sorted(own)[:k]}
+
+    for size, tokens in ((4096, 2_000_000), (7, 40)):
+        got = P.top_documents(docs, queries, "doc_id", "query_id", 6, rows=size, block_tokens=tokens)
+        assert {(r.query_id, r.doc_id) for r in got.collect()} == best(lambda r: r.lexical, 9, 6)
+        got = P.top_documents(docs, queries, "doc_id", "query_id", 6, 4, "hybrid", vector="v", static="rest", rows=size, block_tokens=tokens)
+        assert {(r.query_id, r.doc_id) for r in got.collect()} == best(lambda r: 0.4 * cosine(r.v, r.w) + 0.25 * r.lexical + r.rest, 4, 6, True)
+        assert P.top_documents(docs.limit(0), queries, "doc_id", "query_id", 6, rule="bm25").count() == 0
+        assert P.top_documents(docs, queries.limit(0), "doc_id", "query_id", 6).count() == 0
+
+
 def test_ipv6_literals(spark):
     from gleaner.functions import urls as U
 
