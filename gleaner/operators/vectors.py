@@ -155,21 +155,3 @@ def embed_missing(texts: DataFrame, cache: DataFrame, text: str = "text", dim: i
     missing = keyed.select("md5", text).join(cache.select("md5"), "md5", "left_anti").groupBy("md5").agg(F.first(text).alias(text))
     fresh = missing.select("md5", hashed_embedding(F.col(text), dim).alias("embedding"))
     return keyed.join(cache.unionByName(fresh), "md5", "left"), fresh
-
-
-def approximate_search(vectors: DataFrame, queries: DataFrame, k: int, radius: float, vec_id: str = "vec_id",
-                       query_id: str = "query_id", column: str = "embedding", tables: int = 6, width: float = 0.5) -> DataFrame:
-    """Neighbours by bucketed random projection on unit vectors, then exact scores.  Recall depends on ``tables``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        v = normalize(F.col(column))
-        return df.select(key, v.alias("_v")).select(key, "_v", array_to_vector("_v").alias("_x"))
-
-    left, right = unit(vectors, vec_id), unit(queries, query_id)
-    model = BucketedRandomProjectionLSH(inputCol="_x", outputCol="_h", bucketLength=width, numHashTables=tables, seed=7).fit(left)
-    pairs = model.approxSimilarityJoin(left, right, radius, distCol="_d")
-    scored = pairs.select(F.col(f"datasetB.{query_id}").alias(query_id), F.col(f"datasetA.{vec_id}").alias(vec_id),
-                          dot(F.col("datasetA._v"), F.col("datasetB._v")).alias("score"))
-    return top_k(scored, query_id, [F.desc("score"), F.asc(vec_id)], k)

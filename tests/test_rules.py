@@ -16,6 +16,8 @@ from gleaner.operators import graph as G
 from gleaner.operators import overlap as O
 from gleaner.operators import postings as P
 from gleaner.operators import ranking as R
+from gleaner.operators import vectorindex as VI
+from gleaner.operators import vectors as VE
 from gleaner.operators import verification as V
 from gleaner.streaming import streams as S
 
@@ -357,6 +359,28 @@ def test_posting_blocks_equal_all_scores(spark):
         assert P.top_documents(docs, queries.limit(0), "doc_id", "query_id", 6).count() == 0
 
 
+def test_vector_index_recall_and_proof(spark):
+    rng = random.Random(12)
+    centres = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(9)]
+    near = lambda c, w: [x + rng.gauss(0, w) for x in c]
+    rows = [(i, near(centres[0] if i % 3 == 0 else rng.choice(centres), 0.6)) for i in range(1500)] + [(2000 + i, [0.0] * 12) for i in range(3)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, near(rng.choice(centres), 0.8)) for i in range(40)] + [(99, [0.0] * 12)], "query_id bigint, embedding array<double>")
+    want = {}
+    for r in VE.search(vectors, queries, 10, -1.0).collect():
+        want.setdefault(r.query_id, {})[r.vec_id] = r.score
+    index = VI.build(vectors, cells=40, sample=600, part_rows=60)
+    assert index.parts.max() > 1
+    hits = sum(r.vec_id in want[r.query_id] for r in VI.search(index, queries, 10, probes=12).collect() if r.query_id != 99)
+    assert hits / 400 >= 0.9
+    exact = VI.search(index, queries, 10, probes=1, exact=True).collect()
+    assert {(r.query_id, r.vec_id) for r in exact} == {(q, v) for q, own in want.items() for v in own}
+    assert all(abs(r.score - want[r.query_id][r.vec_id]) < 1e-9 for r in exact)
+    few = VI.build(vectors.limit(4), cells=3)
+    assert VI.search(few, queries, 10, exact=True).filter("query_id = 1").count() == 4
+    assert VI.search(VI.build(vectors.limit(0)), queries, 10).count() == 0
+
+
 def test_ipv6_literals(spark):
     from gleaner.functions import urls as U
 
