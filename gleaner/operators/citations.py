@@ -15,7 +15,7 @@ def url_key(c: Column) -> Column:
     return F.regexp_replace(T.strip(F.coalesce(c, F.lit(""))), "/+$", "")
 
 
-def build_citations(sources: DataFrame, evidence: DataFrame, report: str = "report_id", order: str = "ord") -> DataFrame:
+def build_citations(sources: DataFrame, evidence: DataFrame, report: str = "report_id", order: str = "ord", quote_chars: int | None = None) -> DataFrame:
     """Sequential index per report over sources that are new by URL and by id; the source's first evidence is quoted.
 
     "New" is sequential (a source dropped by its URL does not reserve its id).  When an id always has one URL, as in a
@@ -27,7 +27,7 @@ def build_citations(sources: DataFrame, evidence: DataFrame, report: str = "repo
     by_url = s1.groupBy(report, "_u").agg(F.min(order).alias(order))
     kept = s1.join(by_url, [report, "_u", order], "left_semi")
     first = evidence.groupBy(report, "source_id").agg(F.min_by(F.struct("quote", "claim", "confidence"), "evidence_id").alias("e"))
-    clean = lambda c: T.strip(F.substring(F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", ""), 1, 220))
+    clean = lambda c: T.strip(T.head(F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", ""), quote_chars))
     quote = F.coalesce(F.nullif(clean(F.col("e.quote")), F.lit("")), clean(F.coalesce("snippet", F.lit(""))))
     index = F.row_number().over(Window.partitionBy(report).orderBy(order))
     rows = kept.join(first, [report, "source_id"], "left").withColumn("index", index)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators.evidence import leading
 
 # fixed values
 CHANGE_TERMS = (
@@ -55,13 +56,14 @@ def changed_estimate(before: Column, after: Column) -> Column:
     return F.when(differs & after.rlike(ESTIMATE_PATTERN), "numbers").when(differs, "classes")
 
 
-def change_reports(runs: DataFrame, schedule: str, order: str) -> DataFrame:
-    """Every run against the previous one of its schedule: new findings (first three when none), deltas, baseline flag."""
+def change_reports(runs: DataFrame, schedule: str, order: str, baseline: int | None = None, unchanged: int | None = None) -> DataFrame:
+    """Every run against the previous one of its schedule: new findings (all of them for a first run and where none is
+    new; the first ``baseline`` or ``unchanged`` ones if these are given), deltas, baseline flag."""
     window = Window.partitionBy(schedule).orderBy(order)
     before = F.lag("findings").over(window)
     rows = runs.withColumn("_before", before).withColumn("_ps", F.lag("sources").over(window)).withColumn("_pc", F.lag("confidence").over(window))
     fresh = F.filter("findings", lambda x: ~F.array_contains(F.col("_before"), x))
-    new = (F.when(F.col("_before").isNull(), F.slice("findings", 1, 5)).when(F.size(fresh) == 0, F.slice("findings", 1, 3)).otherwise(fresh))
+    new = (F.when(F.col("_before").isNull(), leading(F.col("findings"), baseline)).when(F.size(fresh) == 0, leading(F.col("findings"), unchanged)).otherwise(fresh))
     return rows.select(schedule, order, F.col("_before").isNull().alias("baseline"), new.alias("new_findings"),
                        (F.col("sources") - F.coalesce("_ps", F.lit(0))).alias("source_delta"), (F.col("confidence") - F.coalesce("_pc", F.lit(0.0))).alias("confidence_delta"))
 

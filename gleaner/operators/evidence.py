@@ -12,14 +12,19 @@ from gleaner.functions import tokens as K
 from gleaner.operators.chunks import passage_score
 
 
-def metrics(c: Column, first: int = 6) -> Column:
+def leading(c: Column, first: int | None) -> Column:
+    """The first elements of an array, or all of them."""
+    return c if first is None else F.slice(c, 1, first)
+
+
+def metrics(c: Column, first: int | None = None) -> Column:
     found = F.regexp_extract_all(c, F.lit(L.EVIDENCE_METRIC), F.lit(1))
-    return F.transform(F.slice(found, 1, first), T.strip)
+    return F.transform(leading(found, first), T.strip)
 
 
-def entities(c: Column, first: int = 5) -> Column:
+def entities(c: Column, first: int | None = None) -> Column:
     runs = F.regexp_extract_all(c, F.lit(L.ENTITY_PATTERN), F.lit(1))
-    return F.slice(F.filter(runs, lambda e: ~e.isin(*L.ENTITY_STOP) & (F.length(e) > 2)), 1, first)
+    return leading(F.filter(runs, lambda e: ~e.isin(*L.ENTITY_STOP) & (F.length(e) > 2)), first)
 
 
 def is_evidence(s: Column) -> Column:
@@ -78,24 +83,24 @@ def eligible(metadata: Column, status: Column, *texts: Column) -> Column:
     return ok
 
 
-def extract_evidence(sources: DataFrame, topic: Column | None = None, per_passage: int = 3, top_passages: int = 8,
-                     per_source: int = 10) -> DataFrame:
-    """(source_id, n, claim, quote, method): best passages first, first three claims of each, distinct, at most ten.
+def extract_evidence(sources: DataFrame, topic: Column | None = None, per_passage: int | None = None, top_passages: int | None = None,
+                     per_source: int | None = None, plain_sentences: int | None = None) -> DataFrame:
+    """(source_id, n, claim, quote, method): distinct claims, those of the best passages first.
 
-    ``sources`` has source_id, content, snippet and an array ``passages``; all work is inside its row.  A source without any gets its snippet's claims, then its first three
-    readable sentences.
+    ``sources`` has source_id, content, snippet and an array ``passages``; all work is inside its row.  A source without any
+    gets its snippet's claims, else its readable sentences.  Each number limits what it names, to the first ones.
     """
-    def claims_of(block: Column, first: int) -> Column:
-        return F.slice(F.filter(K.simple_sentences(block), is_evidence), 1, first)
+    def claims_of(block: Column, first: int | None) -> Column:
+        return leading(F.filter(K.simple_sentences(block), is_evidence), first)
 
     def unique(found: Column) -> Column:
         return T.let(found, lambda xs: T.let(F.transform(xs, F.lower), lambda low: F.filter(
             xs, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)))
 
-    ranked = F.slice(F.sort_array(F.transform("passages", lambda p, i: F.struct(
-        passage_score(p, topic).alias("s"), (-i).alias("o"), p.alias("p"))), asc=False), 1, top_passages)
-    from_text = F.slice(unique(F.flatten(F.transform(ranked, lambda r: claims_of(r["p"], per_passage)))), 1, per_source)
-    plain = F.slice(F.filter(K.simple_sentences(F.col("content")), lambda s: (F.length(s) > 35) & ~T.is_corrupted(s)), 1, 3)
+    ranked = leading(F.sort_array(F.transform("passages", lambda p, i: F.struct(
+        passage_score(p, topic).alias("s"), (-i).alias("o"), p.alias("p"))), asc=False), top_passages)
+    from_text = leading(unique(F.flatten(F.transform(ranked, lambda r: claims_of(r["p"], per_passage)))), per_source)
+    plain = leading(F.filter(K.simple_sentences(F.col("content")), lambda s: (F.length(s) > 35) & ~T.is_corrupted(s)), plain_sentences)
     base = sources.withColumn("_t", F.coalesce(from_text, F.array().cast("array<string>")))
     base = base.withColumn("_s", F.when(F.size("_t") > 0, F.array().cast("array<string>")).otherwise(claims_of(F.col("snippet"), per_passage)))
     chosen = F.when(F.size("_t") > 0, F.col("_t")).when(F.size("_s") > 0, F.col("_s")).otherwise(plain)
@@ -104,15 +109,15 @@ def extract_evidence(sources: DataFrame, topic: Column | None = None, per_passag
         "source_id", "n", F.regexp_replace("quote", r"\.$", "").alias("claim"), "quote", "method")
 
 
-def passage_evidence(passage: Column, per_passage: int = 3) -> Column:
-    return F.slice(F.filter(K.simple_sentences(passage), is_evidence), 1, per_passage)
+def passage_evidence(passage: Column, per_passage: int | None = None) -> Column:
+    return leading(F.filter(K.simple_sentences(passage), is_evidence), per_passage)
 
 
-def source_sentences(sources: DataFrame, key: str, first: int = 3, min_chars: int = 35) -> DataFrame:
-    """Second extraction rule: first three longer sentences of the content, else of the snippet."""
+def source_sentences(sources: DataFrame, key: str, first: int | None = None, min_chars: int = 35) -> DataFrame:
+    """Second extraction rule: longer sentences of the content, else of the snippet."""
     long_ones = lambda c: F.filter(K.simple_sentences(F.coalesce(c, F.lit(""))), lambda s: F.length(s) >= min_chars)
     body, snippet = long_ones(F.col("content")), long_ones(F.col("snippet"))
-    chosen = F.slice(F.when(F.size(body) > 0, body).otherwise(snippet), 1, first)
+    chosen = leading(F.when(F.size(body) > 0, body).otherwise(snippet), first)
     bonus = (F.when(F.col("extraction_status") == "fetched", 0.25)
              .when(F.col("extraction_status").isin("metadata", "fixture", "abstract", "snippet"), 0.2).otherwise(0.12))
     confidence = F.round(F.least(F.lit(0.96), F.greatest(F.lit(0.45), F.coalesce("relevance_score", F.lit(0.6)) * 0.65 + bonus)), 3)
@@ -122,8 +127,8 @@ def source_sentences(sources: DataFrame, key: str, first: int = 3, min_chars: in
                        F.size(found).alias("metrics"), F.when(F.size(found) > 0, "quantitative").otherwise("contextual").alias("evidence_type"))
 
 
-def theme_claims(evidence: DataFrame, run: str, order: str, first: int = 5, themes=L.THEMES) -> DataFrame:
-    """(run, theme, rank, claim): distinct claims per theme, first five by order.
+def theme_claims(evidence: DataFrame, run: str, order: str, first: int | None = None, themes=L.THEMES) -> DataFrame:
+    """(run, theme, claim, order): distinct claims per theme with their first place; with ``first`` so many, and their rank.
 
     A run without market claims gets its first claims as the market theme.
     """
@@ -133,7 +138,7 @@ def theme_claims(evidence: DataFrame, run: str, order: str, first: int = 5, them
     has_market = tagged.filter("theme = 'market'").select(run).distinct()
     fallback = evidence.join(has_market, run, "left_anti").select(run, order, "claim", F.lit("market").alias("theme"))
     distinct = tagged.unionByName(fallback).groupBy(run, "theme", "claim").agg(F.min(order).alias(order))
-    return _ranked(distinct, [run, "theme"], [order], first)
+    return distinct if first is None else _ranked(distinct, [run, "theme"], [order], first)
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[str], first: int) -> DataFrame:

@@ -114,10 +114,12 @@ def normal_categories(categories: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(categories, lambda c: F.try_element_at(names, F.lower(F.trim(c)))), lambda c: c.isNotNull()))
 
 
-def fallback_tasks(questions: DataFrame, key: str, categories: tuple[str, ...]) -> DataFrame:
-    """(key, task_no, category, question, query): categories in turn, templates changing with every full turn."""
+def fallback_tasks(questions: DataFrame, key: str, categories: tuple[str, ...], most: int | None = None) -> DataFrame:
+    """(key, task_no, category, question, query): categories in turn, templates changing with every full turn; as many as the
+    breadth asks for, ``most`` at most if given, each category once at least."""
     m = len(categories)
-    count = F.greatest(F.lit(m), F.least(F.lit(8), F.greatest(F.coalesce("breadth", F.lit(1)), F.lit(1))))
+    asked = F.coalesce("breadth", F.lit(1))
+    count = F.greatest(F.lit(m), asked if most is None else F.least(F.lit(most), asked))
     rows = questions.select(key, F.col("query").alias("_q"), F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
     pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(t[0]).alias("question"), F.lit(t[1]).alias("query"))
                       for turn in (0, 1) for c in categories for t in (TASK_TEMPLATES[c][turn],)])

@@ -14,7 +14,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from gleaner import lexicons as L
 from gleaner.functions import tokens as K
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
+#: numbers of query vectors that go out at once
+QUERY_NUMBERS = 4_000_000
 
 
 def norm(v: Column) -> Column:
@@ -88,47 +89,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int | None = 5, min_score:
            vec_id: str = "vec_id", query_id: str = "query_id", column: str = "embedding") -> DataFrame:
     """Exact cosine top-k: (query_id, vec_id, score, rank).
 
-    The filter comes first.  When the queries are proven small they travel as one broadcast matrix and every Arrow batch
-    of vectors keeps its own k best per query; beyond that size the queries are cut into blocks and joined by block.
+    The filter comes first.  Queries travel in blocks of ``QUERY_NUMBERS`` numbers, measured first; each block is one pass over
+    the vectors, of which every Arrow batch keeps its own k best per query.
     ``k=None`` returns every pair at or above ``min_score`` and above the query's own ``floor`` column, if it has one.
     """
     base = vectors if where is None else vectors.filter(where)
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(column)).alias("d")).first()
+    size = queries.agg(F.sum(F.size(column)).alias("numbers")).first()["numbers"]
     id_type = base.schema[vec_id].dataType.simpleString()
     q_type = queries.schema[query_id].dataType.simpleString()
     schema = f"{query_id} {q_type}, {vec_id} {id_type}, score double"
-    best = [F.desc("score"), F.asc(vec_id)]
-    if not size["n"]:
+    if not size:
         return base.sparkSession.createDataFrame([], schema if k is None else f"{schema}, rank int")
-    if size["n"] * size["d"] * 4 <= BROADCAST_LIMIT:
-        floor = F.col("floor") if "floor" in queries.columns else F.lit(float(min_score))
-        rows = queries.select(query_id, column, F.greatest(floor, F.lit(float(min_score)))).collect()
-        packed = base.sparkSession.sparkContext.broadcast(
-            ([r[0] for r in rows], _unit(np.asarray([r[1] for r in rows], dtype=np.float64)), [r[2] for r in rows]))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix, floors = packed.value
-            for batch in batches:
-                if len(batch):
-                    yield _best(batch[vec_id].to_numpy(), np.stack(batch[column].to_numpy()), ids, matrix, k, floors).set_axis([query_id, vec_id, "score"], axis=1)
-
-        scored = base.select(vec_id, column).mapInPandas(score, schema)
-    else:
-        blocks = int(size["n"] * size["d"] * 4 // (BROADCAST_LIMIT // 16)) + 1
-        block_of = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-        left = base.select(vec_id, column).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        right = queries.select(query_id, F.col(column).alias("_q"), block_of.alias("_b"))
-        cosine = dot(F.col(column), F.col("_q")) / F.greatest(norm(F.col(column)) * norm(F.col("_q")), F.lit(1e-12))
-        # (block, salt) keys: every vector meets every block once, spread over salts so that no block is one task
-        salts = 64
-        left = left.withColumn("_s", F.pmod(F.xxhash64(vec_id), F.lit(salts)))
-        right = right.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        scored = left.join(right, ["_b", "_s"]).select(query_id, vec_id, cosine.alias("score")).filter(F.col("score") >= min_score)
-        if "floor" in queries.columns:
-            scored = scored.join(queries.select(query_id, "floor"), query_id).filter("score >= floor").drop("floor")
-    if k is None:
-        return scored
-    return top_k(scored, query_id, best, k)
+    floor = F.greatest(F.col("floor") if "floor" in queries.columns else F.lit(float(min_score)), F.lit(float(min_score)))
+    asked = queries.select(F.col(query_id), F.col(column).cast("array<double>"), floor)
+    blocks = -(-size // QUERY_NUMBERS)
+    scored = None
+    for n in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n).collect()
+        if rows:
+            own = base.select(vec_id, column).mapInPandas(_scorer(base.sparkSession, rows, k, vec_id, query_id, column), schema)
+            scored = own if scored is None else scored.unionByName(own)
+    return scored if k is None else top_k(scored, query_id, [F.desc("score"), F.asc(vec_id)], k)
+
+
+def _scorer(spark, rows: list, k: int | None, vec_id: str, query_id: str, column: str):
+    packed = spark.sparkContext.broadcast(([r[0] for r in rows], _unit(np.array([r[1] for r in rows], np.float64)), [r[2] for r in rows]))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, matrix, floors = packed.value
+        for batch in batches:
+            if len(batch):
+                yield _best(batch[vec_id].to_numpy(), np.stack(batch[column].to_numpy()), ids, matrix, k, floors).set_axis([query_id, vec_id, "score"], axis=1)
+
+    return score
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

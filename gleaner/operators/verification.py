@@ -150,16 +150,19 @@ def independent_checks(claims: DataFrame, passages: DataFrame, run: str) -> Data
                        F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.35), score)), 3).alias("confidence"))
 
 
-def first_claims(claims: DataFrame, run: str, first: int = 8) -> DataFrame:
-    """The claims worth an independent check: best confidence first."""
+def first_claims(claims: DataFrame, run: str, first: int | None = None) -> DataFrame:
+    """The claims worth an independent check; with ``first`` so many of each run, best confidence first."""
+    if first is None:
+        return claims.filter("status <> 'unverified'")
     rank = Window.partitionBy(run).orderBy(F.desc("confidence"), "claim_id")
     return claims.filter("status <> 'unverified'").withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= first).drop("_r")
 
 
-def verification_query(claim: Column, question: Column) -> Column:
+def verification_query(claim: Column, question: Column, max_chars: int | None = None) -> Column:
+    """The first words of the claim and of the question."""
     head = lambda c, n: F.array_join(F.slice(F.split(c, r"\s+"), 1, n), " ")
     flat = F.regexp_replace(claim, r"[\r\n]+", " ")
-    return F.substring(F.concat(head(flat, 14), F.lit(" "), head(question, 6)), 1, 190)
+    return T.head(F.concat(head(flat, 14), F.lit(" "), head(question, 6)), max_chars)
 
 
 # --- report claims ----------------------------------------------------------------------------------------------------------
@@ -223,17 +226,19 @@ def repaired_text(reports: DataFrame, grounded: DataFrame, report: str, body: st
     return joined.select(report, T.strip(tidy).alias("text"))
 
 
-def remediation_query(claim: Column) -> Column:
+def remediation_query(claim: Column, max_chars: int | None = None) -> Column:
     clean = T.strip(F.regexp_replace(claim, r"[^\p{L}\p{N}_\s]", " "))
     words = F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*L.REMEDIATION_STOP))
     return (F.when(F.size(words) >= 2, F.concat(F.array_join(F.slice(words, 1, 7), " "), F.lit(" empirical data evidence")))
-            .when(clean != "", F.concat(F.substring(clean, 1, 60), F.lit(" statistics sources"))))
+            .when(clean != "", F.concat(T.head(clean, max_chars), F.lit(" statistics sources"))))
 
 
-def remediation_queries(grounded: DataFrame, report: str, order: str, first: int = 5) -> DataFrame:
-    rank = Window.partitionBy(report).orderBy(order)
-    weak = grounded.filter(~F.col("grounded")).withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= first)
-    return weak.select(report, "n", remediation_query(F.col("claim")).alias("query")).filter("query is not null")
+def remediation_queries(grounded: DataFrame, report: str, order: str, first: int | None = None) -> DataFrame:
+    """(report, order, query) of all claims without grounds; with ``first`` those of the first so many of a report."""
+    weak = grounded.filter(~F.col("grounded"))
+    if first is not None:
+        weak = weak.withColumn("_n", F.row_number().over(Window.partitionBy(report).orderBy(order))).filter(F.col("_n") <= first)
+    return weak.select(report, order, remediation_query(F.col("claim")).alias("query")).filter("query is not null")
 
 
 def word_key(t: Column) -> Column:
@@ -258,11 +263,10 @@ def grounded_reports(reports: DataFrame, evidence: DataFrame, run: str, report:
     return joined.withColumn("grounded", F.col("grounded_lines") >= F.greatest(F.lit(1), F.floor(F.col("lines") * 0.6)))
 
 
-def outline(themes: DataFrame, findings: DataFrame, conflicts: DataFrame, run: str) -> DataFrame:
-    """Per run: first six findings, claims by theme, first three contradictions."""
-    ordered = lambda c, n: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda s: s[c]), 1, n)
-    f = findings.filter("rank <= 6").groupBy(run).agg(ordered("claim", 6).alias("findings"))
-    t = themes.filter("rank <= 5").groupBy(run, "theme").agg(ordered("claim", 5).alias("claims")).groupBy(run).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("theme", "claims")))).alias("themes"))
-    c = conflicts.filter("rank <= 3").groupBy(run).agg(ordered("cause", 3).alias("contradictions"))
-    return f.join(t, run, "full").join(c, run, "full")
+def outline(themes: DataFrame, findings: DataFrame, conflicts: DataFrame, run: str, order: str = "claim_id") -> DataFrame:
+    """(run, section, theme, order, text): the rows of a run's outline, whose order is that of the column ``order`` in each
+    section: distinct findings, claims by theme, and the likely causes of contradictions."""
+    part = lambda df, section, theme, text: df.select(run, F.lit(section).alias("section"), theme.alias("theme"), order, F.col(text).alias("text"))
+    none = F.lit(None).cast("string")
+    first = findings.groupBy(run, "claim").agg(F.min(order).alias(order))
+    return part(first, "finding", none, "claim").unionByName(part(themes, "theme", F.col("theme"), "claim")).unionByName(part(conflicts, "contradiction", none, "cause"))

@@ -34,11 +34,11 @@ def CORRUPT(x):
 
 
 def METRICS(x):
-    return f"list_transform({REXALL(ASCII_WORDS(x), L.EVIDENCE_METRIC, 1)}[1:6], lambda m: {STRIP('m')})"
+    return f"list_transform({REXALL(ASCII_WORDS(x), L.EVIDENCE_METRIC, 1)}, lambda m: {STRIP('m')})"
 
 
 def ENTITIES(x):
-    return f"list_filter({REXALL(ASCII_WORDS(x), L.ENTITY_PATTERN, 1)}, lambda e: e NOT IN ({sql_list(L.ENTITY_STOP)}) AND length(e) > 2)[1:5]"
+    return f"list_filter({REXALL(ASCII_WORDS(x), L.ENTITY_PATTERN, 1)}, lambda e: e NOT IN ({sql_list(L.ENTITY_STOP)}) AND length(e) > 2)"
 
 
 def IS_EVIDENCE(x):
@@ -81,13 +81,12 @@ def _(spark, d):
     return E.extract_evidence(src)
 
 
-# Passages: conversation turns with their claims' phrases, three claims each.
+# Passages: conversation turns with their claims' phrases.
 @query("evd4_passage_evidence", f"""
 WITH p AS (SELECT source_id, claim_id // 1000 AS turn_key, string_agg(claim, '. ' ORDER BY claim_id) AS passage FROM {I.CLAIMS} GROUP BY 1, 2),
 s AS (SELECT turn_key, unnest(list_filter(list_transform(string_split({RR('passage', r'([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(1))}, chr(1)), lambda x: {STRIP('x')}), lambda x: x <> '')) AS quote,
   generate_subscripts(list_filter(list_transform(string_split({RR('passage', r'([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(1))}, chr(1)), lambda x: {STRIP('x')}), lambda x: x <> ''), 1) AS i FROM p)
-SELECT turn_key, CAST(row_number() OVER (PARTITION BY turn_key ORDER BY i) - 1 AS INTEGER) AS n, quote FROM s WHERE {IS_EVIDENCE('quote')}
-QUALIFY row_number() OVER (PARTITION BY turn_key ORDER BY i) <= 3""")
+SELECT turn_key, CAST(row_number() OVER (PARTITION BY turn_key ORDER BY i) - 1 AS INTEGER) AS n, quote FROM s WHERE {IS_EVIDENCE('quote')}""")
 def _(spark, d):
     ordered = F.array_sort(F.collect_list(F.struct("claim_id", "claim")))
     turns = I.claims(spark, d).groupBy(F.expr("claim_id div 1000").alias("turn_key")).agg(F.array_join(F.transform(ordered, lambda x: x["claim"]), ". ").alias("passage"))
@@ -138,7 +137,7 @@ _long = "list_filter(list_transform(string_split({m}, chr(1)), lambda s: {s}), l
 
 
 @query("evd8_source_sentences", f"""
-WITH s AS (SELECT source_id, relevance_score, {_long.format(m=RR('content', r'([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(1)), s=STRIP('s'))}[1:3] AS ss, {I.sql_pick(_STATUS, 'source_id')} AS st FROM {I.SOURCES}),
+WITH s AS (SELECT source_id, relevance_score, {_long.format(m=RR('content', r'([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(1)), s=STRIP('s'))} AS ss, {I.sql_pick(_STATUS, 'source_id')} AS st FROM {I.SOURCES}),
 x AS (SELECT source_id, relevance_score, st, unnest(ss) AS quote, generate_subscripts(ss, 1) - 1 AS n FROM s)
 SELECT source_id, CAST(n AS INTEGER) AS n, regexp_replace(quote, '[.!?]+$', '') AS claim, round(least(0.96::DOUBLE, greatest(0.45::DOUBLE, relevance_score * 0.65 + CASE st WHEN 'fetched' THEN 0.25 WHEN 'snippet' THEN 0.2 ELSE 0.12 END)), 3) AS confidence,
  CASE WHEN regexp_matches(quote, {sql_str(L.JS_NUMBER)}) THEN 'quantitative' ELSE 'contextual' END AS evidence_type FROM x""")
@@ -154,9 +153,9 @@ _themes = ", ".join(f"CASE WHEN {any_contains('lower(claim)', ws)} THEN '{n}' EN
 WITH t AS (SELECT source_id AS run, claim_id, claim, unnest(list_filter([{_themes}], lambda x: x IS NOT NULL)) AS theme FROM {I.CLAIMS}),
 a AS (SELECT * FROM t UNION ALL SELECT source_id, claim_id, claim, 'market' FROM {I.CLAIMS} WHERE source_id NOT IN (SELECT run FROM t WHERE theme = 'market')),
 g AS (SELECT run, theme, claim, min(claim_id) AS claim_id FROM a GROUP BY 1, 2, 3)
-SELECT run AS source_id, theme, claim, CAST(row_number() OVER (PARTITION BY run, theme ORDER BY claim_id) AS INTEGER) AS rank FROM g QUALIFY row_number() OVER (PARTITION BY run, theme ORDER BY claim_id) <= 5""")
+SELECT run AS source_id, theme, claim, claim_id FROM g""")
 def _(spark, d):
-    return E.theme_claims(I.claims(spark, d), "source_id", "claim_id").select("source_id", "theme", "claim", "rank")
+    return E.theme_claims(I.claims(spark, d), "source_id", "claim_id").select("source_id", "theme", "claim", "claim_id")
 
 
 @query("evd10_category_analysis", f"""

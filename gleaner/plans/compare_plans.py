@@ -70,7 +70,7 @@ _RUNS = f"(SELECT conv_id, turn, {RR('text', '[.!?]+' + chr(92) + 's*$')} AS t,
 
 @query("set5_change_reports", """WITH r AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda w: TRUE) AS findings, length(text) AS sources, (turn % 5) / 10 AS conf FROM conversations),
 l AS (SELECT *, lag(findings) OVER w AS before, lag(sources) OVER w AS ps, lag(conf) OVER w AS pc FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, before IS NULL AS baseline, array_to_string(CASE WHEN before IS NULL THEN findings[1:5] WHEN len(list_filter(findings, lambda x: NOT list_contains(before, x))) = 0 THEN findings[1:3]
+SELECT conv_id, turn, before IS NULL AS baseline, array_to_string(CASE WHEN before IS NULL THEN findings WHEN len(list_filter(findings, lambda x: NOT list_contains(before, x))) = 0 THEN findings
  ELSE list_filter(findings, lambda x: NOT list_contains(before, x)) END, ' ') AS new_findings, CAST(sources - coalesce(ps, 0) AS INTEGER) AS source_delta, round(conf - coalesce(pc, 0), 6) AS confidence_delta FROM l""")
 def _(spark, d):
     runs = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("findings"), F.length("text").alias("sources"),

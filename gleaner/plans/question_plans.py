@@ -96,7 +96,7 @@ def _(spark, d):
 _pairs = [(c, *Q.TASK_TEMPLATES[c][turn]) for turn in (0, 1) for c in ("web", "academic", "market")]
 
 
-@query("qry7_plan_tasks", f"""WITH q AS (SELECT qid, question, unnest(range(greatest(3, least(8, turn % 9 + 1)))) AS i FROM {QUESTIONS})
+@query("qry7_plan_tasks", f"""WITH q AS (SELECT qid, question, unnest(range(greatest(3, turn % 9 + 1))) AS i FROM {QUESTIONS})
 SELECT qid, CAST(i + 1 AS INTEGER) AS task_no, ([{sql_list(p[0] for p in _pairs)}])[i % 6 + 1] AS category, replace(([{sql_list(p[1] for p in _pairs)}])[i % 6 + 1], '{{query}}', question) AS question,
  replace(([{sql_list(p[2] for p in _pairs)}])[i % 6 + 1], '{{query}}', question) AS query FROM q""")
 def _(spark, d):

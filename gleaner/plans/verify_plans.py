@@ -160,7 +160,7 @@ def _(spark, d):
 
 @query("clm12_independent_verdicts", f"""WITH {_CHK} SELECT claim_id, CASE WHEN supporting > 0 THEN 'verified' WHEN contradicting > 0 THEN 'contradicted' ELSE 'unverified' END AS status,
  round(least(0.98::DOUBLE, greatest(0.35::DOUBLE, base + supporting * 0.1::DOUBLE - contradicting * 0.12::DOUBLE)), 3) AS confidence FROM r
- WHERE claim_id IN (SELECT claim_id FROM {I.CLAIMS} QUALIFY row_number() OVER (PARTITION BY research_id ORDER BY confidence DESC, claim_id) <= 8)""")
+ WHERE claim_id IN (SELECT claim_id FROM {I.CLAIMS} WHERE status <> 'unverified')""")
 def _(spark, d):
     best = V.first_claims(I.claims(spark, d), "research_id").select("claim_id")
     return _checks(spark, d).join(best, "claim_id", "left_semi").select("claim_id", "status", "confidence")
@@ -170,7 +170,7 @@ def _headsql(x, n):
     return f"array_to_string(string_split({RR(x, chr(92) + 's+', ' ')}, ' ')[1:{n}], ' ')"
 
 
-@query("clm13_verification_query", f"SELECT claim_id, substr({_headsql('claim', 14)} || ' ' || {_headsql(I.sql_pick(I.PHRASES, 'source_id'), 6)}, 1, 190) AS query FROM {I.CLAIMS}")
+@query("clm13_verification_query", f"SELECT claim_id, {_headsql('claim', 14)} || ' ' || {_headsql(I.sql_pick(I.PHRASES, 'source_id'), 6)} AS query FROM {I.CLAIMS}")
 def _(spark, d):
     return I.claims(spark, d).select("claim_id", V.verification_query(F.col("claim"), I.pick(I.PHRASES, F.col("source_id"))).alias("query"))
 
@@ -240,8 +240,8 @@ _rc = STRIP(RR("claim", r"[^\p{L}\p{N}_\s]", " "))
 _rw = f"list_filter(string_split({RR(_rc, chr(92) + 's+', ' ')}, ' '), lambda w: length(w) > 3 AND lower(w) NOT IN ({sql_list(L.REMEDIATION_STOP)}))"
 
 
-@query("clm19_remediation_queries", f"""WITH {GROUND_SQL}, u AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY claim_id) AS n FROM q WHERE NOT grounded QUALIFY n <= 5)
-SELECT report_id, CAST(n AS INTEGER) AS n, CASE WHEN len({_rw}) >= 2 THEN array_to_string(({_rw})[1:7], ' ') || ' empirical data evidence' ELSE substr({_rc}, 1, 60) || ' statistics sources' END AS query FROM u WHERE {_rc} <> ''""")
+@query("clm19_remediation_queries", f"""WITH {GROUND_SQL}, u AS (SELECT * FROM q WHERE NOT grounded)
+SELECT report_id, claim_id, CASE WHEN len({_rw}) >= 2 THEN array_to_string(({_rw})[1:7], ' ') || ' empirical data evidence' ELSE {_rc} || ' statistics sources' END AS query FROM u WHERE {_rc} <> ''""")
 def _(spark, d):
     return V.remediation_queries(grounded(spark, d), "report_id", "claim_id")
 
@@ -262,14 +262,14 @@ def _(spark, d):
     return V.grounded_reports(reports(spark, d), known, "research_id", "report_id")
 
 
-@query("clm24_outline")
+@query("clm24_outline", CP.CONTRA_SQL + f""", t AS (SELECT research_id, claim_id, claim, unnest(list_filter([{CP._themes}], lambda x: x IS NOT NULL)) AS theme FROM {I.CLAIMS}),
+a AS (SELECT * FROM t UNION ALL SELECT research_id, claim_id, claim, 'market' FROM {I.CLAIMS} WHERE research_id NOT IN (SELECT research_id FROM t WHERE theme = 'market'))
+SELECT research_id, 'finding' AS section, NULL::VARCHAR AS theme, min(claim_id) AS claim_id, claim AS text FROM {I.CLAIMS} GROUP BY research_id, claim
+UNION ALL SELECT research_id, 'theme', theme, min(claim_id), claim FROM a GROUP BY research_id, theme, claim
+UNION ALL SELECT research_id, 'contradiction', NULL, claim_id, cause FROM ({CP._LINKS})""")
 def _(spark, d):
-    claims, f = I.claims(spark, d), CP.features(spark, d)
-    themes = E.theme_claims(claims, "research_id", "claim_id")
-    found = CL.first_contradictions(f, 3)
-    findings = E._ranked(claims.groupBy("research_id", "claim").agg(F.min("claim_id").alias("claim_id")), ["research_id"], ["claim_id"], 6)
-    out = V.outline(themes, findings, found, "research_id")
-    return out.select("research_id", F.array_join("findings", " | ").alias("findings"), F.to_json("themes").alias("themes"), F.array_join("contradictions", " | ").alias("contradictions"))
+    claims = I.claims(spark, d)
+    return V.outline(E.theme_claims(claims, "research_id", "claim_id"), claims, CF.contradictions(CP.features(spark, d)), "research_id")
 
 
 # --- citations: one report per conversation role, sources are the conversations ----------------------------------------------
@@ -289,11 +289,11 @@ def citation_evidence(spark, d):
 
 
 CEVID = f"(SELECT source AS report_id, doc_id * 100000 + pos AS evidence_id, doc_id AS source_id, sentence AS quote, sentence AS claim, 0.5::DOUBLE + pos % 5 / 10 AS confidence FROM {I.SENTENCES})"
-_c220 = lambda x: STRIP(f"substr({RR(x, '[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B-' + chr(92) + 'x1F' + chr(92) + 'x7F]')}, 1, 220)")
+_clean_quote = lambda x: STRIP(f"{RR(x, '[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B-' + chr(92) + 'x1F' + chr(92) + 'x7F]')}")
 CITES = f"""(WITH s AS (SELECT *, rtrim(url, '/') AS u FROM {CSOURCES}), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY report_id, u ORDER BY ord) = 1),
  f AS (SELECT report_id, source_id, arg_min(quote, evidence_id) AS q, arg_min(claim, evidence_id) AS c, arg_min(confidence, evidence_id) AS cf FROM {CEVID} GROUP BY 1, 2),
  i AS (SELECT k.*, q, c, cf, CAST(row_number() OVER (PARTITION BY report_id ORDER BY ord) AS INTEGER) AS idx FROM k LEFT JOIN f USING (report_id, source_id))
- SELECT report_id, idx AS index, source_id, url, coalesce(nullif({STRIP('title')}, ''), 'Source ' || idx) AS title, coalesce(nullif({_c220('q')}, ''), {_c220('snippet')}) AS quote, c AS claim, coalesce(cf, credibility_score) AS confidence FROM i)"""
+ SELECT report_id, idx AS index, source_id, url, coalesce(nullif({STRIP('title')}, ''), 'Source ' || idx) AS title, coalesce(nullif({_clean_quote('q')}, ''), {_clean_quote('snippet')}) AS quote, c AS claim, coalesce(cf, credibility_score) AS confidence FROM i)"""
 
 
 def cites(spark, d):

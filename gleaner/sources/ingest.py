@@ -62,12 +62,12 @@ def news_items(entries: DataFrame) -> DataFrame:
                           ).filter("title <> '' and url <> ''")
 
 
-def arxiv_papers(entries: DataFrame) -> DataFrame:
+def arxiv_papers(entries: DataFrame, snippet_chars: int | None = None) -> DataFrame:
     pdf = F.get(F.filter("link", lambda x: x["_title"] == "pdf"), F.lit(0))["_href"]
     abstract = collapse(F.col("summary"))
     return entries.select(collapse(F.col("title")).alias("title"), F.replace(strip(F.col("id")), F.lit("/pdf/"), F.lit("/abs/")).alias("url"), pdf.alias("pdf_url"),
                           F.transform("author", lambda a: a["name"]).alias("authors"), "doi", F.substring("published", 1, 4).alias("year"), abstract.alias("abstract"),
-                          F.substring(abstract, 1, 600).alias("snippet"), F.lit("arxiv").alias("source"))
+                          (abstract if snippet_chars is None else F.substring(abstract, 1, snippet_chars)).alias("snippet"), F.lit("arxiv").alias("source"))
 
 
 def scholar_papers(bodies: DataFrame) -> DataFrame:
