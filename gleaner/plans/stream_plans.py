@@ -47,7 +47,13 @@ def _(spark, d):
     return S.recent_requests(events(spark, d), seconds=60)
 
 
-@query("str2_sliding_requests")
+def _mark(seconds):
+    """Where a stream over all events ends: the last event's millisecond less the delay."""
+    return f"(SELECT (max(epoch_us(ts)) // 1000) * 1000 - {seconds} * 1000000 FROM events)"
+
+
+@query("str2_sliding_requests", f"""WITH w AS (SELECT user_id, unnest(list_transform(range(6), lambda i: (epoch_us(ts) // 10000000 - i) * 10000000)) AS us FROM events)
+SELECT user_id, make_timestamp(us) AS start, count(*) AS requests FROM w WHERE us + 60000000 <= {_mark(120)} GROUP BY 1, 2""")
 def _(spark, d):
     out = drained(spark, S.sliding_requests(event_stream(spark, d)), "append")
     return out.select("user_id", F.col("window.start").alias("start"), "requests")
@@ -83,6 +89,30 @@ def _(spark, d):
     return S.bad_moves(statuses(spark, d), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "before", "status", "problem")
 
 
+_IDLE = 6 * 3600
+REPORTS_SQL = f"""WITH h AS (SELECT user_id, event_id, epoch_us(ts) AS us, {_st} AS status FROM events),
+b AS (SELECT * FROM h WHERE us < {_mark(600)}),
+m AS (SELECT user_id, event_id, status, lag(status) OVER w AS before, sum((status = 'retrying')::INT) OVER w AS r FROM b WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+q AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS later FROM h)
+SELECT * FROM (SELECT user_id, event_id, status, CASE WHEN before IN ('completed', 'cancelled') THEN 'terminal' WHEN NOT ({_ok}) THEN 'forbidden' WHEN status = 'retrying' AND r > 3 THEN 'too_many_retries' END AS report FROM m WHERE before IS NOT NULL) WHERE report IS NOT NULL
+UNION ALL SELECT user_id, event_id, status, 'silent' FROM q WHERE status IN ('pending', 'running', 'retrying') AND us + {_IDLE}::BIGINT * 1000000 < {_mark(600)} AND (later IS NULL OR later >= us + {_IDLE}::BIGINT * 1000000)"""
+
+
+@query("str5_job_machine", REPORTS_SQL)
+def _(spark, d):
+    """STR-5 and STR-7 as a stream: forbidden moves and silent jobs, each from its job's machine."""
+    names = F.create_map(*[F.lit(x) for kv in _TASK.items() for x in kv])
+    stream = event_stream(spark, d).select("user_id", "event_id", "ts", F.element_at(names, F.col("event_type")).alias("status"))
+    return drained(spark, S.job_machine(stream, "user_id", _IDLE), "append")
+
+
+@query("str7_job_reports", REPORTS_SQL)
+def _(spark, d):
+    h = statuses(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = h.agg(F.floor(F.max(F.unix_micros("ts")) / 1000).alias("ms")).first()["ms"]
+    return S.job_reports(h, "user_id", _IDLE, F.timestamp_millis(F.lit(int(last) - 600_000)))
+
+
 _RUN = {"view": "queued", "click": "searching", "error": "failed", "purchase": "completed", "signup": "Quality_Check"}
 _pr = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {S.RUN_PROGRESS[v.lower()]}" for k, v in _RUN.items()) + " END"
 
@@ -104,9 +134,17 @@ def _(spark, d):
     return rows.select("user_id", "status")
 
 
-@query("str10_first_seen")
+@query("str10_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def _(spark, d):
+    """All events lie within the delay, so each pair is seen once; which of its events comes first is the stream's order."""
+    return drained(spark, S.first_seen(event_stream(spark, d), ["user_id", "event_type"], "40 days").select("user_id", "event_type"), "append")
+
+
+@query("str11_driven_metrics", f"""SELECT date_trunc('minute', ts) AS minute, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_value FROM events
+WHERE epoch_us(date_trunc('minute', ts)) + 60000000 <= {_mark(120)} GROUP BY 1""")
 def _(spark, d):
-    return drained(spark, S.first_seen(event_stream(spark, d), ["user_id", "event_type"], "40 days").select("event_id", "user_id", "event_type"), "append")
+    """The same plan as a stream: minutes that the watermark has closed."""
+    return drained(spark, S.tumbling_metrics(event_stream(spark, d)), "append").withColumn("mean_value", F.round("mean_value", 6))
 
 
 @query("str11_tumbling_metrics", "SELECT date_trunc('minute', ts) AS minute, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,66 @@ def bad_moves(history: DataFrame, key: str, order: list[str], status: str = "sta
     return rows.filter("before is not null").withColumn("problem", problem).filter("problem is not null")
 
 
+IN_FLIGHT = ("pending", "running", "retrying")
+
+
+def job_reports(history: DataFrame, key: str, idle_seconds: int, until: Column, max_retries: int = 3) -> DataFrame:
+    """Batch: (key, event_id, status, report) of all rows before ``until``: moves as in ``bad_moves``, and ``silent`` for a state
+    in flight that nothing follows for ``idle_seconds``, if that time was over before ``until``."""
+    moves = bad_moves(history.filter(F.col("ts") < until), key, ["ts", "event_id"], max_retries=max_retries).select(key, "event_id", "status", F.col("problem").alias("report"))
+    following = F.lead("ts").over(Window.partitionBy(key).orderBy("ts", "event_id"))
+    idle = F.make_dt_interval(secs=F.lit(idle_seconds))
+    quiet = history.withColumn("_n", following).filter(F.col("status").isin(*IN_FLIGHT) & (F.col("ts") + idle < until) & (F.col("_n").isNull() | (F.col("_n") >= F.col("ts") + idle)))
+    return moves.unionByName(quiet.select(key, "event_id", "status", F.lit("silent").alias("report")))
+
+
+def job_machine(events: DataFrame, key: str, idle_seconds: int, late: str = "10 minutes", max_retries: int = 3) -> DataFrame:
+    """Stream: the rows of ``job_reports``, each as soon as the watermark proves it.
+
+    A machine a job holds its status, its retries, the time of its last event and the events the watermark has not passed.
+    Events leave that buffer in order of (ts, event_id), so the reports do not depend on how rows arrive in micro-batches;
+    rows behind the watermark are late and do not count.  A timer is set to the first buffered event or to the end of the
+    allowed silence, whichever is first, so a job that sends nothing more is reported too."""
+    name, kind = key, events.schema[key].dataType.simpleString()
+    idle, moves = idle_seconds * 1_000_000, {k: set(v) for k, v in TASK_MOVES.items()}
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, last_id, last, retries, told, times, ids, names = state.get if state.exists else (None, None, 0, 0, True, [], [], [])
+        waiting = list(zip(times, ids, names))
+        for batch in batches:
+            waiting += zip((batch["us"].to_numpy()).tolist(), batch["event_id"].tolist(), batch["status"].tolist())
+        mark = state.getCurrentWatermarkMs() * 1000
+        out = []
+
+        def silence(upto: int, strict: bool) -> None:
+            nonlocal told
+            if not told and (last + idle < upto or not strict and last + idle == upto):
+                out.append((group[0], last_id, status, "silent"))
+                told = True
+
+        waiting.sort()
+        ready = [w for w in waiting if w[0] < mark]
+        for at, number, new in ready:
+            silence(at, False)
+            retries += new == "retrying"
+            if status is not None:
+                report = "terminal" if status in ("completed", "cancelled") else "forbidden" if new not in moves.get(status, ()) else "too_many_retries" if new == "retrying" and retries > max_retries else None
+                if report:
+                    out.append((group[0], number, new, report))
+            status, last_id, last, told = new, number, at, new not in IN_FLIGHT
+        silence(mark, True)
+        waiting = waiting[len(ready) :]
+        state.update((status, last_id, last, retries, told, *([list(c) for c in zip(*waiting)] if waiting else ([], [], []))))
+        due = [w[0] for w in waiting[:1]] + ([] if told else [last + idle])
+        if due:
+            state.setTimeoutTimestamp(max(min(due) // 1000, state.getCurrentWatermarkMs() + 1, 1))
+        yield pd.DataFrame(out, columns=[name, "event_id", "status", "report"])
+
+    rows = events.withWatermark("ts", late).select(key, "event_id", "ts", "status", F.unix_micros("ts").alias("us"))
+    held = "status string, last_id long, last long, retries int, told boolean, times array<long>, ids array<long>, names array<string>"
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, status string, report string", held, "append", "EventTimeTimeout")
+
+
 def progress(status: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in RUN_PROGRESS.items() for x in kv])
     return F.coalesce(F.try_element_at(table, F.lower(status)), F.lit(0))

@@ -316,6 +316,27 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, df.select("user_id", "event_type").distinct().collect()))
 
 
+def test_job_machine_equals_batch_in_any_micro_batches(spark, tmp_path):
+    from gleaner.plans.stream_plans import drained
+    rng = random.Random(6)
+    names, minute, rows = list(S.TASK_MOVES), 60_000_000, []
+    for i in range(300):
+        rows.append((i, 1_700_000_000_000_000 + i * minute * 2 + rng.randrange(3) * 1000, rng.choice([1, 2, 3]), rng.choice(names)))
+    rows += [(900, 1_700_000_000_000_000 + 5_000 * minute, 4, "running"), (901, 1_700_000_000_000_000 + 9_000 * minute, 9, "pending")]
+    order = sorted(rows, key=lambda r: r[1] + rng.randrange(8 * minute))  # out of order by less than the delay
+    schema = "event_id bigint, us bigint, user_id bigint, status string"
+    parts = [order[k : k + 60] for k in range(0, len(order), 60)]
+    late = [(999, rows[0][1], 1, "cancelled")]  # far behind the watermark by then
+    for k, part in enumerate([*parts, late]):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("us")).drop("us").coalesce(1).write.parquet(str(tmp_path / f"in/{k:03d}"))
+    frame = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("us")).drop("us")
+    until = F.timestamp_micros(F.lit(max(r[1] for r in rows) - 10 * minute))
+    want = sorted(map(tuple, S.job_reports(frame, "user_id", 1800, until).select("user_id", "event_id", "status", "report").collect()))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = sorted(map(tuple, drained(spark, S.job_machine(stream, "user_id", 1800), "append").select("user_id", "event_id", "status", "report").collect()))
+    assert got == want and {r[3] for r in want} == {"terminal", "forbidden", "silent", "too_many_retries"}
+
+
 def test_lexical_score_is_independent_of_partitions(spark):
     docs = spark.createDataFrame([(i, f"growth of market {i} and batteries " * (i + 1)) for i in range(12)], "doc_id bigint, text string")
     q = spark.createDataFrame([(1, "battery market growth growth")], "query_id bigint, text string")
