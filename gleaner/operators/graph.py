@@ -46,8 +46,12 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-def shortest_paths(edges: DataFrame, queries: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(query_id, length, path, text): shortest directed path, the first by insertion order.
+def shortest_paths(edges: DataFrame, queries: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(query_id, length, trail, text): shortest directed path, the first by insertion order; a row for every query, with
+    nulls where the target is not reached (within ``max_depth`` hops, if given).
+
+    A query ends when its target is found or its frontier is empty.  Before the walk, targets that no edge leads to and
+    sources that none leaves settle theirs at once.
 
     All queries advance together, one join per hop.  Breadth-first order is the order of the edge-id lists, so of several
     ways into a node the smallest list is kept; visited nodes leave through an anti join.  A hop's frontier is cut from
@@ -55,10 +59,13 @@ def shortest_paths(edges: DataFrame, queries: DataFrame, max_depth: int = 6) ->
     """
     text = queries.select("query_id", "target", F.col("source").alias("node"), F.array().cast("array<bigint>").alias("trail"), F.col("source").alias("text"))
     edges = cut_lineage(edges.select("src", "dst", "relation", "edge_id"))  # read at every hop
-    frontier = cut_lineage(text.filter("node <> target"))
+    started = text.filter("node <> target").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    frontier = cut_lineage(started.join(edges.select(F.col("dst").alias("target")).distinct(), "target", "left_semi").select(*text.columns))
     visited = text.select("query_id", "node")
     found = text.filter("node = target").select("query_id", F.lit(0).alias("length"), "trail", "text")
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
+        depth += 1
         step = frontier.withColumnRenamed("node", "src").join(edges, "src")
         step = step.select("query_id", "target", F.col("dst").alias("node"), F.array_append("trail", F.col("edge_id")).alias("trail"),
                            F.concat(F.col("text"), F.lit(" ──["), F.col("relation"), F.lit("]──> "), F.col("dst")).alias("text"))
@@ -67,10 +74,8 @@ def shortest_paths(edges: DataFrame, queries: DataFrame, max_depth: int = 6) ->
         hit = fresh.filter("node = target").select("query_id", F.lit(depth).alias("length"), "trail", "text")
         found = found.unionByName(hit)
         frontier = cut_lineage(fresh.join(hit.select("query_id"), "query_id", "left_anti"))
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier.select("query_id", "node"))
-    return found
+        visited = cut_lineage(visited.unionByName(frontier.select("query_id", "node")))
+    return queries.select("query_id").join(found, "query_id", "left")
 
 
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int = 2, relations: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

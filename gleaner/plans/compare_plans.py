@@ -188,12 +188,13 @@ def _(spark, d):
     return edges(spark, d).select("src", "dst", "relation", "edge_id", "weight", F.size("evidence_ids").cast("bigint").alias("evidence"))
 
 
-@query("grf3_shortest_paths", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, edge_id FROM {EDGES}), q AS (SELECT n_nationkey AS query_id, 'n' || n_nationkey AS source, 's' || (n_nationkey * 2 + 1) AS target FROM nation),
-b AS (SELECT query_id, target, source AS node, 0 AS length FROM q UNION SELECT query_id, target, dst, length + 1 FROM b JOIN e ON e.src = b.node WHERE length < 6)
-SELECT query_id, CAST(min(length) AS INTEGER) AS length FROM b WHERE node = target GROUP BY 1""")
+@query("grf3_shortest_paths", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, edge_id FROM {EDGES}), q AS (SELECT n_nationkey AS query_id, 'n' || n_nationkey AS source, CASE WHEN n_nationkey % 5 = 0 THEN 'nowhere' ELSE 's' || (n_nationkey * 2 + 1) END AS target FROM nation),
+b USING KEY (query_id, node) AS (SELECT query_id, source AS node, 0 AS length FROM q UNION
+ SELECT b.query_id, e.dst, min(b.length) + 1 FROM b JOIN e ON e.src = b.node WHERE NOT EXISTS (SELECT 1 FROM recurring.b r WHERE r.query_id = b.query_id AND r.node = e.dst) GROUP BY 1, 2)
+SELECT q.query_id, CAST(length AS INTEGER) AS length FROM q LEFT JOIN b ON b.query_id = q.query_id AND b.node = q.target""")
 def _(spark, d):
     e = edges(spark, d)
-    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("s"), (F.col("n_nationkey") * 2 + 1).cast("string")).alias("target"))
+    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source"), F.when(F.col("n_nationkey") % 5 == 0, "nowhere").otherwise(F.concat(F.lit("s"), (F.col("n_nationkey") * 2 + 1).cast("string"))).alias("target"))
     return G.shortest_paths(e, q).select("query_id", "length")
 
 

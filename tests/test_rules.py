@@ -293,7 +293,11 @@ def test_shortest_path_prefers_insertion_order(spark):
     e = spark.createDataFrame([("a", "b", "x", 1), ("a", "c", "y", 2), ("c", "d", "z", 3), ("b", "d", "w", 4), ("d", "a", "v", 5)], "src string, dst string, relation string, edge_id bigint")
     q = spark.createDataFrame([(1, "a", "d"), (2, "a", "a"), (3, "d", "zz")], "query_id int, source string, target string")
     got = {r["query_id"]: (r["length"], r["trail"], r["text"]) for r in G.shortest_paths(e, q).collect()}
-    assert got == {1: (2, [1, 4], "a ──[x]──> b ──[w]──> d"), 2: (0, [], "a")}
+    assert got == {1: (2, [1, 4], "a ──[x]──> b ──[w]──> d"), 2: (0, [], "a"), 3: (None, None, None)}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "next", i) for i in range(11)] + [("n5", "n0", "back", 99), ("x", "y", "r", 100)], "src string, dst string, relation string, edge_id bigint")
+    far = spark.createDataFrame([(1, "n0", "n11"), (2, "n11", "n0"), (3, "n0", "y"), (4, "n6", "n5")], "query_id int, source string, target string")
+    assert {r["query_id"]: r["length"] for r in G.shortest_paths(chain, far).collect()} == {1: 11, 2: None, 3: None, 4: None}
+    assert {r["query_id"]: r["length"] for r in G.shortest_paths(chain, far, max_depth=6).collect()} == {1: None, 2: None, 3: None, 4: None}
 
 
 def _events(spark):
