@@ -7,6 +7,9 @@ and no pair is missed.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,94 @@ def coefficient_pairs(left: DataFrame, right: DataFrame, groups: list[str], shar
     return a.unionByName(b).distinct()
 
 
+def mentioned(texts: DataFrame, mentions: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, id, mentions array<long>): for each text the hashes of the mentions that are in it as substrings.
+
+    texts: groups, id, text; mentions: groups, mention (three letters or more).  Distinct mentions are found through their
+    first three letters, then verified; who owns them does not matter here."""
+    wanted = mentions.filter(F.length("mention") >= 3).select(*groups, F.lower("mention").alias("mention")).distinct().withColumn("gram", F.substring("mention", 1, 3))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3)))
+    rows = texts.select(*groups, "id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
+    hits = rows.join(wanted, [*groups, "gram"]).filter(F.col("text").contains(F.col("mention")))
+    return hits.groupBy(*groups, "id").agg(F.collect_set(F.xxhash64("mention")).alias("mentions"))
+
+
+def best_matches(left: DataFrame, right: DataFrame, run: str, share: float, k: int, exact: float, rows: int = 4096) -> DataFrame:
+    """(left_id, right_id, value): the ``k`` best of the right rows of the run for each left row, by value and then by id.
+
+    left: run, id, tokens, key, mentions; right: run, id, tokens, key, mentions, weights, factor.  A match is the share of the
+    left tokens that the right row has, plus the weights of its mentions that the left text holds; it counts from ``share``
+    on, or if the keys are equal.  The value is the match times the right row's factor, or ``exact`` for equal keys.
+
+    Rows of a run are dealt to blocks of about ``rows``; a task compares a left and a right block through postings of tokens
+    and mentions and keeps k rows per left one.  So no candidate pair is listed, however frequent its words are, and a run
+    with a third of all rows is many tasks of two blocks each."""
+    def dealt(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
+        return df.join(sizes, run).withColumn("block", F.pmod(F.xxhash64("id"), F.expr(f"cast(ceil(_n / {rows}) as bigint)"))).drop("_n")
+
+    a, b = dealt(left), dealt(right)
+    named = lambda df: df.select(run, F.col("block").alias("other")).distinct()
+    columns = [run, "id", "tokens", "key", "mentions", "weights", "factor"]
+    a = a.withColumns({"weights": F.array().cast("array<double>"), "factor": F.lit(1.0)}).join(named(b), run).select(*columns, F.lit(0).alias("side"), F.col("block").alias("x"), F.col("other").alias("y"))
+    b = b.join(named(a.select(run, F.col("x").alias("block"))), run).select(*columns, F.lit(1).alias("side"), F.col("other").alias("x"), F.col("block").alias("y"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        one, two = (table.filter(pc.equal(table.column("side"), side)) for side in (0, 1))
+        tokens, mentions = Postings(two.column("tokens")), Postings(two.column("mentions"), two.column("weights"))
+        asked, named_in = tokens.asked(one.column("tokens")), mentions.asked(one.column("mentions"))
+        sizes = np.maximum(1, pc.fill_null(pc.list_value_length(one.column("tokens")), 0).to_numpy())
+        ids, keys, factor = (two.column(c).to_numpy() for c in ("id", "key", "factor"))
+        out = []
+        for n, (own, key) in enumerate(zip(one.column("id").to_pylist(), one.column("key").to_pylist())):
+            match = tokens.summed(asked[n], len(ids)) / sizes[n] + mentions.summed(named_in[n], len(ids))
+            same = keys == key
+            good = np.flatnonzero(same | (np.round(match, 9) >= share))
+            if len(good):
+                value = np.round(np.where(same[good], exact, match[good] * factor[good]), 9)
+                kept = np.lexsort((ids[good], -value))[:k]
+                out.append((np.full(len(kept), own), ids[good][kept], value[kept]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(c) for c in columns], names=["left_id", "right_id", "value"])
+
+    found = a.unionByName(b).groupBy(run, "x", "y").applyInArrow(compare, "left_id long, right_id long, value double")
+    order = Window.partitionBy("left_id").orderBy(F.desc("value"), "right_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+class Postings:
+    """Rows of a list column by value, with a weight for each entry."""
+
+    def __init__(self, lists: pa.ChunkedArray, weights: pa.ChunkedArray | None = None):
+        values, rows = self._entries(lists)
+        self.known, number = np.unique(values, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        self.rows, self.cuts = rows[order], np.searchsorted(number[order], np.arange(len(self.known) + 1))
+        self.weights = np.ones(len(rows)) if weights is None else self._entries(weights)[0][order]
+
+    @staticmethod
+    def _entries(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        lists = lists.combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lengths)), lengths)
+
+    def asked(self, lists: pa.ChunkedArray) -> list[np.ndarray]:
+        """For each list the places of those of its values that are known."""
+        values, owner = self._entries(lists)
+        at = np.searchsorted(self.known, values)
+        hit = at < len(self.known)
+        hit[hit] = self.known[at[hit]] == values[hit]
+        at, owner = at[hit], owner[hit]
+        return np.split(at, np.searchsorted(owner, np.arange(1, len(lists)))) if len(lists) else []
+
+    def summed(self, places: np.ndarray, n: int) -> np.ndarray:
+        """The sum of the weights of each row under these places."""
+        if not len(places):
+            return np.zeros(n)
+        spans = [slice(self.cuts[p], self.cuts[p + 1]) for p in places]
+        return np.bincount(np.concatenate([self.rows[x] for x in spans]), np.concatenate([self.weights[x] for x in spans]), n)
+
+
 def mention_weights(texts: DataFrame, mentions: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, left_id, right_id, bonus): texts that contain mentions as substrings, weights summed per pair.
 

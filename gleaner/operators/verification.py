@@ -38,15 +38,32 @@ def _scored_pairs(claims: DataFrame, evidence: DataFrame, run: str, share: float
     return scored.filter(F.col("exact") | (F.round("match", 9) >= share)).join(facts, "right_id")
 
 
+def _best(claims: DataFrame, evidence: DataFrame, run: str, share: float, per_entity: float, per_metric: float, k: int, exact: float, factor: Column) -> DataFrame:
+    """(left_id, right_id, value, rank): the k best pieces of evidence of each claim, by ``overlap.best_matches``."""
+    key = lambda c: F.xxhash64(F.lower(T.strip(F.col(c))))
+    texts = claims.select(run, F.col("claim_id").alias("id"), claim_text(F.col("claim")).alias("text"))
+    names = evidence.select(run, F.explode(F.concat("entities", "metrics")).alias("mention"))
+    left = claims.select(run, F.col("claim_id").alias("id"), O.hashed(K.word_set(F.col("claim"))).alias("tokens"), key("claim").alias("key"))
+    left = left.join(O.mentioned(texts, names, [run]), [run, "id"], "left").withColumn("mentions", F.coalesce("mentions", F.array().cast("array<bigint>")))
+    long = lambda c: F.transform(F.filter(c, lambda m: F.length(m) >= 3), lambda m: F.xxhash64(F.lower(m)))
+    weigh = lambda c, w: F.transform(long(F.col(c)), lambda m: F.lit(w))
+    right = evidence.select(run, F.col("evidence_id").alias("id"), O.hashed(K.word_set(F.col("body"))).alias("tokens"), key("evidence_claim").alias("key"),
+                            F.concat(long(F.col("entities")), long(F.col("metrics"))).alias("mentions"), F.concat(weigh("entities", per_entity), weigh("metrics", per_metric)).alias("weights"),
+                            factor.alias("factor"))
+    return O.best_matches(left, right, run, share, k, exact)
+
+
 def supporting_evidence(claims: DataFrame, evidence: DataFrame, run: str = "research_id", share: float = 0.45, k: int | None = None) -> DataFrame:
-    """(claim_id, evidence_id, score, rank): matching evidence of the run, an equal claim counts 1.0; with ``k`` the best k."""
+    """(run, claim_id, evidence_id, score, rank, confidence, status, source_id): matching evidence of the run, an equal claim
+    counts 1.0.  The best ``k`` come from blocks without any listing of pairs; all of them (None) are listed, unranked."""
+    if k is not None:
+        best = _best(claims, evidence, run, share, 0.15, 0.20, k, 1.0, F.lit(1.0))
+        facts = evidence.select(run, F.col("evidence_id").alias("right_id"), "confidence", "status", "source_id")
+        return best.join(facts, "right_id").select(run, F.col("left_id").alias("claim_id"), F.col("right_id").alias("evidence_id"), F.col("value").alias("score"), "confidence", "status", "source_id", "rank")
     scored = _scored_pairs(claims, evidence, run, share, 0.15, 0.20)
     score = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.col("match"))
-    kept = scored.select(run, F.col("left_id").alias("claim_id"), F.col("right_id").alias("evidence_id"), F.round(score, 9).alias("score"),
+    return scored.select(run, F.col("left_id").alias("claim_id"), F.col("right_id").alias("evidence_id"), F.round(score, 9).alias("score"),
                          "confidence", "status", "source_id").filter(F.col("score") >= share)
-    rank = Window.partitionBy("claim_id").orderBy(F.desc("score"), "evidence_id")
-    ranked = kept.withColumn("rank", F.row_number().over(rank))
-    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def compare_sources(support: DataFrame, sources: DataFrame) -> DataFrame:
@@ -180,10 +197,10 @@ def ground_claims(claims: DataFrame, evidence: DataFrame, run: str, threshold: f
     The weight never exceeds one, so a score of ``floor`` (below it nothing is decided any more) needs a plain match of
     ``floor``: the same exact candidates as for supporting evidence.  Claims that stay below it have confidence 0.
     """
-    scored = _scored_pairs(claims, evidence, run, floor, 0.20, 0.25)
-    weighted = F.col("match") * (0.7 + 0.3 * F.col("confidence")) * F.when(F.col("status").isin(*L.DISPUTED_STATUSES), 0.3).otherwise(1.0)
-    value = F.round(F.when(F.col("exact"), F.lit(10.0)).otherwise(weighted), 9)
-    ranked = scored.groupBy(F.col("left_id").alias("claim_id")).agg(F.max(F.struct(value.alias("v"), (-F.col("right_id")).alias("e"), "confidence")).alias("m"))
+    factor = (0.7 + 0.3 * F.col("confidence")) * F.when(F.col("status").isin(*L.DISPUTED_STATUSES), 0.3).otherwise(1.0)
+    best = _best(claims, evidence, run, floor, 0.20, 0.25, 1, 10.0, factor)
+    facts = evidence.select(F.col("evidence_id").alias("right_id"), "confidence")
+    ranked = best.join(facts, "right_id").select(F.col("left_id").alias("claim_id"), F.struct(F.col("value").alias("v"), (-F.col("right_id")).alias("e"), "confidence").alias("m"))
     score = F.when(F.col("m.v") == 10.0, F.col("m.confidence")).otherwise(F.round(F.least(F.lit(1.0), F.col("m.v") + 1e-9), 4))
     good = F.coalesce(F.col("m.v") >= threshold, F.lit(False))
     rows = claims.select("claim_id").join(ranked, "claim_id", "left")

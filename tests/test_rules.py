@@ -252,6 +252,46 @@ def test_overlap_joins_miss_nothing(spark):
     assert {(x[0], y[0]) for x in left for y in right if len(set(x[2]) & set(y[2])) / min(len(x[2]), len(y[2])) >= 0.55} <= near
 
 
+def test_best_matches_equal_all_pairs(spark):
+    rng = random.Random(14)
+    words = [f"word{k}" for k in range(30)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9)))
+    claims = [(i, rng.choice("rrq"), f"{text()} Acme Corp 12%" if i % 5 == 0 else text()) for i in range(70)] + [(200, "r", ""), (201, "q", "??")]
+    pool = [(300 + i, rng.choice("rrq"), t, t, ["Acme Corp"] if i % 3 == 0 else [], ["12%", "ab", "12%"] if i % 4 == 0 else [], 0.5 + i % 5 / 10, "disputed" if i % 6 == 0 else "verified", i)
+            for i, t in enumerate([text() for _ in range(60)] + [c[2] for c in claims[:6]] + [""])]
+    left = spark.createDataFrame(claims, "claim_id bigint, research_id string, claim string").repartition(3)
+    right = spark.createDataFrame(pool, "evidence_id bigint, research_id string, body string, evidence_claim string, entities array<string>, metrics array<string>, confidence double, status string, source_id bigint")
+    clean = lambda t: "".join(c if c.isalnum() or c in "_ " else " " for c in t.lower())
+    sets = lambda t: {w for w in clean(t).split() if len(w) >= 3}
+
+    def scores(share, entity, metric, k, exact, factor):
+        out = set()
+        for i, run, claim in claims:
+            own = []
+            for e in pool:
+                if e[1] == run:
+                    named = sum(w for xs, w in ((e[4], entity), (e[5], metric)) for x in xs if len(x) >= 3 and x.lower() in clean(claim))
+                    match = len(sets(claim) & sets(e[2])) / max(1, len(sets(claim))) + named
+                    same = claim.lower().strip() == e[3].lower().strip()
+                    if same or round(match, 9) >= share:
+                        own.append((-round(exact if same else match * factor(e), 9), e[0]))
+            out |= {(i, e, -v) for v, e in sorted(own)[:k]}
+        return out
+
+    best = V._best(left, right, "research_id", 0.45, 0.15, 0.20, 3, 1.0, F.lit(1.0))
+    assert {(r.left_id, r.right_id, r.value) for r in best.collect()} == scores(0.45, 0.15, 0.20, 3, 1.0, lambda e: 1.0)
+    factor = F.when(F.col("status") == "disputed", 0.3).otherwise(1.0)
+    want = scores(0.25, 0.20, 0.25, 2, 10.0, lambda e: 0.3 if e[7] == "disputed" else 1.0)
+    real = O.best_matches
+    try:
+        O.best_matches = lambda *args: real(*args, rows=9)
+        small = V._best(left, right, "research_id", 0.25, 0.20, 0.25, 2, 10.0, factor)
+        assert {(r.left_id, r.right_id, r.value) for r in small.collect()} == want
+    finally:
+        O.best_matches = real
+    assert V.supporting_evidence(left.limit(0), right, k=2).count() == 0
+
+
 def test_all_matching_evidence_counts(spark):
     claims = spark.createDataFrame([(1, "r", "sales of cars rose strongly")], "claim_id bigint, research_id string, claim string")
     # five copies of one source, then another source, then a disputed item
