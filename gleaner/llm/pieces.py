@@ -35,7 +35,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a text that holds one of these is left to the library as a whole: it takes them out before it looks at words
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 65536 else "<u4")
         self.inner: dict[str, bytes] = {}  # after a space
@@ -73,6 +75,10 @@ class PieceEncoder:
             self.inner.update((w, data[a:b]) for w, a, b in zip(run, cuts, cuts[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        odd = {k for k, t in enumerate(texts) if self.added.search(t)}
+        if odd:
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in odd]))
+            return [self._pack(t) if k in odd else next(rest) for k, t in enumerate(texts)]
         split = [parts(t) for t in texts]
         for known in (self.inner, self.bare):
             if len(known) > self.keep:
