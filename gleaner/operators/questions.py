@@ -136,8 +136,20 @@ def mode_settings(jobs: DataFrame, key: str, mode: str = "mode") -> DataFrame:
     return jobs.select(key, picked.alias("m")).select(key, *[F.col(f"m.{f}").alias(f) for f in fields])
 
 
-def prompt_class(prompt: Column) -> Column:
-    low = F.lower(prompt)
+# fixed values: what a caller's hint says about the class, first match counts
+HINT_CLASSES = (("simple_extraction", ("extract", "parse", "filter", "clean")), ("complex_planning", ("plan", "decompose", "strategy")),
+                ("large_synthesis", ("synth", "report", "comprehensive", "write")), ("fact_checking", ("fact", "verify", "contradict", "credib")),
+                ("code_analysis", ("code", "debug")))
+
+
+def prompt_class(prompt: Column, system: Column | None = None, hint: Column | None = None) -> Column:
+    """One of six classes: by the caller's hint if it names one, else by words of the system prompt and the prompt, else by
+    the prompt's length."""
+    low = F.lower(prompt if system is None else F.concat(F.coalesce(system, F.lit("")), F.lit("\n"), prompt))
     (fact, fw), (plan, pw), (big, bw), (small, sw) = PROMPT_CLASSES
-    return (F.when(T.contains_any(low, fw), fact).when(T.contains_any(low, pw), plan)
+    by_text = (F.when(T.contains_any(low, fw), fact).when(T.contains_any(low, pw), plan)
             .when(T.contains_any(low, bw) | (F.length(prompt) > 4000), big).when(T.contains_any(low, sw) | (F.length(prompt) < 400), small).otherwise("general"))
+    if hint is None:
+        return by_text
+    name = F.translate(F.lower(hint), "- ", "__")
+    return F.coalesce(*[F.when(T.contains_any(name, words), kind) for kind, words in HINT_CLASSES], by_text)

@@ -217,8 +217,16 @@ def audit(grounded: DataFrame, report: str, allowed: float = 0.20, target: float
                        F.when(share >= target, "keep").when(share < 0.60, "research_again").otherwise("rewrite").alias("remediation"))
 
 
-def repair_action(grounded: Column, confidence: Column) -> Column:
-    return F.when(grounded, "keep").when(confidence >= 0.25, "rewritten").otherwise("removed")
+def repair_action(grounded: Column, confidence: Column, mode: str = "rewrite_or_remove") -> Column:
+    """What becomes of a claim: kept if grounded; else removed, or rewritten where something speaks for it, or, in any other
+    mode, flagged and left as it is."""
+    if mode == "remove":
+        without = F.lit("removed")
+    elif mode == "rewrite_or_remove":
+        without = F.when(confidence >= 0.25, "rewritten").otherwise("removed")
+    else:
+        without = F.lit("flagged")
+    return F.when(grounded, "keep").otherwise(without)
 
 
 def softened(claim: Column) -> Column:

@@ -104,16 +104,22 @@ def reports(spark, d):
 
 
 _lines = "list_filter(string_split(text, chr(10)), lambda x: x <> '')"
-_TIDY = f"""(SELECT doc_id AS report_id, 'title' AS section, 0 AS n, 'Doc ' || doc_id AS value FROM documents UNION ALL SELECT doc_id, 'summary', 0, ({_lines})[1] FROM documents
- UNION ALL SELECT doc_id, 'findings', CAST(generate_subscripts({_lines}, 1) AS INTEGER), unnest({_lines}) FROM documents UNION ALL SELECT doc_id, 'recommendations', 1, lang FROM documents
- UNION ALL SELECT doc_id, 'risks', 1, source FROM documents UNION ALL SELECT doc_id, 'risks', 2, 'say "no", twice' FROM documents UNION ALL SELECT doc_id, 'citations', 1, source || ' https://x.org' FROM documents)"""
+_CELLS = f"""(SELECT doc_id AS report_id, 'report' AS section, 0 AS n, unnest(['research_id', 'title', 'quality_score', 'confidence', 'created_at', 'exported_at', 'summary']) AS field,
+  unnest([source, 'Doc ' || doc_id, CAST(doc_id % 100 AS VARCHAR), CASE WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END, '2025-12-31T00:00:00', '2026-01-01T00:00:00', ({_lines})[1]]) AS value FROM documents
+ UNION ALL SELECT doc_id, 'findings', CAST(generate_subscripts({_lines}, 1) AS INTEGER), 'finding', unnest({_lines}) FROM documents UNION ALL SELECT doc_id, 'recommendations', 1, 'recommendation', lang FROM documents
+ UNION ALL SELECT doc_id, 'risks', 1, 'risk', source FROM documents UNION ALL SELECT doc_id, 'risks', 2, 'risk', 'say "no", twice' FROM documents
+ UNION ALL SELECT doc_id, 'citations', 1, unnest(['title', 'url', 'domain', 'source_type']), unnest([source, 'https://x.org', 'x.org', '']) FROM documents)"""
 
 
-@query("io11_csv_export", f"SELECT report_id, section, n, value FROM {_TIDY}")
+@query("io11_csv_export", f"SELECT report_id, section, n, field, coalesce(value, '') AS value FROM {_CELLS}")
 def _(spark, d):
-    folder, rows = _folder(spark), reports(spark, d)
-    X.write_csv(rows, folder)
-    return spark.read.schema(X.tidy_rows(rows).schema).option("header", True).option("escape", '"').option("multiLine", True).csv(folder)
+    folder, stamp = _folder(spark), F.lit("2026-01-01").cast("timestamp")
+    cite = F.struct(F.lit(1).alias("index"), F.col("risks")[0].alias("title"), F.lit("https://x.org").alias("url"), F.lit("x.org").alias("domain"), F.lit(None).cast("string").alias("source_type"))
+    rows = reports(spark, d).withColumns({"research_id": F.col("risks")[0], "quality_score": F.col("report_id") % 100, "created_at": F.lit("2025-12-31").cast("timestamp"),
+                                          "confidence": F.when(F.col("report_id") % 2 == 0, "high").otherwise("low"), "citations": F.array(cite)})
+    X.write_csv(rows, folder, stamp)
+    back = spark.read.schema(X.tidy_rows(rows, stamp).schema).option("header", True).option("escape", '"').option("multiLine", True).csv(folder)
+    return back.withColumn("value", F.coalesce("value", F.lit("")))
 
 
 @query("io12_json_export", "SELECT doc_id AS report_id, 'Doc ' || doc_id AS title, text AS body, '2026-01-01T00:00:00' AS exported_at FROM documents")

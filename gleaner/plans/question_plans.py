@@ -129,6 +129,21 @@ _pt = f"text || {I.sql_pick(_adds, 'conv_id + turn')}"
 (_f, _fw), (_p, _pw), (_b, _bw), (_s, _sw) = Q.PROMPT_CLASSES
 
 
-@query("qry10_prompt_class", f"""WITH c AS (SELECT conv_id, turn, {_pt} AS p FROM conversations) SELECT conv_id, turn, {case([(any_contains('lower(p)', _fw), sql_str(_f)), (any_contains('lower(p)', _pw), sql_str(_p)), (any_contains('lower(p)', _bw) + ' OR length(p) > 4000', sql_str(_b)), (any_contains('lower(p)', _sw) + ' OR length(p) < 400', sql_str(_s))], sql_str('general'))} AS class FROM c""")
+_hints = ("Extract-fields", "sub plan", "Write up", "credibility", "Debug this", "other", "")
+_systems = ("You verify claim lists.", "", "Draft section by section.", "")
+_hint, _system = f"lower({I.sql_pick(_hints, 'conv_id')})", I.sql_pick(_systems, "conv_id + turn")
+_text_class = case([(any_contains("low", _fw), sql_str(_f)), (any_contains("low", _pw), sql_str(_p)), (any_contains("low", _bw) + " OR length(p) > 4000", sql_str(_b)), (any_contains("low", _sw) + " OR length(p) < 400", sql_str(_s))], "'general'")
+_hinted = case([("turn % 2 = 0", "NULL"), ("contains(h, 'extract') OR contains(h, 'parse') OR contains(h, 'filter') OR contains(h, 'clean')", "'simple_extraction'"),
+                ("contains(h, 'plan') OR contains(h, 'decompose') OR contains(h, 'strategy')", "'complex_planning'"),
+                ("contains(h, 'synth') OR contains(h, 'report') OR contains(h, 'comprehensive') OR contains(h, 'write')", "'large_synthesis'"),
+                ("contains(h, 'fact') OR contains(h, 'verify') OR contains(h, 'contradict') OR contains(h, 'credib')", "'fact_checking'"),
+                ("contains(h, 'code') OR contains(h, 'debug')", "'code_analysis'")], "NULL")
+
+
+@query("qry10_prompt_class", f"""WITH c AS (SELECT conv_id, turn, {_pt} AS p, {_hint} AS h, lower({_system} || chr(10) || {_pt}) AS low FROM conversations)
+SELECT conv_id, turn, coalesce({_hinted}, {_text_class}) AS class FROM c""")
 def _(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", Q.prompt_class(F.concat("text", I.pick(_adds, F.col("conv_id") + F.col("turn")))).alias("class"))
+    i = F.col("conv_id") + F.col("turn")
+    hint = F.when(F.col("turn") % 2 == 1, I.pick(_hints, F.col("conv_id")))
+    kind = Q.prompt_class(F.concat("text", I.pick(_adds, i)), I.pick(_systems, i), hint)
+    return table(spark, d, "conversations").select("conv_id", "turn", kind.alias("class"))

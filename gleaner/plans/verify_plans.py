@@ -217,12 +217,16 @@ def _(spark, d):
     return grounded(spark, d).select("claim_id", "grounded", "confidence")
 
 
-@query("clm16_report_audit", f"""WITH {GROUND_SQL}, a AS (SELECT report_id, count(*) AS claims, count(*) FILTER (grounded) AS supported, count(*) FILTER (NOT grounded AND confidence >= 0.25) AS rewritten FROM q GROUP BY 1)
-SELECT report_id, claims, supported, rewritten, round(1 - supported / claims, 4) AS unsupported_rate, 1 - supported / claims <= 0.2 + 1e-12 AS passed FROM a""")
+@query("clm16_report_audit", f"""WITH {GROUND_SQL}, a AS (SELECT report_id, count(*) AS claims, count(*) FILTER (grounded) AS supported, count(*) FILTER (NOT grounded AND confidence >= 0.25) AS rewritten,
+ CASE WHEN report_id % 3 = 0 THEN count(*) FILTER (NOT grounded) ELSE 0 END AS flagged, CASE WHEN report_id % 3 = 1 THEN count(*) FILTER (NOT grounded) ELSE 0 END AS removed FROM q GROUP BY 1)
+SELECT report_id, claims, supported, rewritten, flagged, removed, round(1 - supported / claims, 4) AS unsupported_rate, 1 - supported / claims <= 0.2 + 1e-12 AS passed FROM a""")
 def _(spark, d):
     g = grounded(spark, d)
-    softened = g.groupBy("report_id").agg(F.count_if(V.repair_action(F.col("grounded"), F.col("confidence")) == "rewritten").alias("rewritten"))
-    return V.audit(g, "report_id").join(softened, "report_id").select("report_id", "claims", "supported", "rewritten", "unsupported_rate", "passed")
+    did = lambda mode: V.repair_action(F.col("grounded"), F.col("confidence"), mode)
+    k = F.col("report_id") % 3
+    actions = g.groupBy("report_id").agg(F.count_if(did("rewrite_or_remove") == "rewritten").alias("rewritten"), F.count_if((k == 0) & (did("flag") == "flagged")).alias("flagged"),
+                                         F.count_if((k == 1) & (did("remove") == "removed")).alias("removed"))
+    return V.audit(g, "report_id").join(actions, "report_id").select("report_id", "claims", "supported", "rewritten", "flagged", "removed", "unsupported_rate", "passed")
 
 
 @query("clm17_repaired_text")

@@ -1,5 +1,5 @@
 """Report exports and plain sinks.  A report row: report_id, title, summary, body, arrays findings, recommendations, risks and
-citations (index, title, url)."""
+citations (index, title, url; for CSV also domain and source_type); for CSV also research_id, quality_score, confidence, created_at."""
 
 from __future__ import annotations
 
@@ -15,21 +15,26 @@ def append(df: DataFrame, folder: str, partition_by: list[str] | None = None) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
 
 
-def tidy_rows(reports: DataFrame) -> DataFrame:
-    """(report_id, section, n, value): every part of a report as one row."""
-    head = F.array(F.struct(F.lit("title").alias("section"), F.lit(0).alias("n"), F.col("title").alias("value")),
-                   F.struct(F.lit("summary").alias("section"), F.lit(0).alias("n"), F.col("summary").alias("value")))
+def tidy_rows(reports: DataFrame, exported_at: Column) -> DataFrame:
+    """(report_id, section, n, field, value): every cell of a report as one row; the header block is section ``report``."""
+    stamp = lambda c: F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
 
-    def rows(section: str) -> Column:
-        return F.transform(section, lambda v, i: F.struct(F.lit(section).alias("section"), (i + 1).alias("n"), v.alias("value")))
+    def cell(section: str, n: Column, field: str, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), n.cast("int").alias("n"), F.lit(field).alias("field"), value.cast("string").alias("value"))
 
-    parts = [rows(section) for section in SECTIONS]
-    cites = F.transform("citations", lambda c: F.struct(F.lit("citations").alias("section"), c["index"].alias("n"), F.concat_ws(" ", c["title"], c["url"]).alias("value")))
-    return reports.select("report_id", F.explode(F.concat(head, *parts, cites)).alias("r")).select("report_id", "r.section", "r.n", "r.value")
+    header = {"research_id": F.col("research_id"), "title": F.col("title"), "quality_score": F.col("quality_score"), "confidence": F.col("confidence"),
+              "created_at": stamp(F.col("created_at")), "exported_at": stamp(exported_at), "summary": F.col("summary")}
+    head = F.array(*[cell("report", F.lit(0), name, value) for name, value in header.items()])
+    def numbered(section: str) -> Column:
+        return F.transform(section, lambda v, i: cell(section, i + 1, section.removesuffix("s"), v))
 
+    fields = ("title", "url", "domain", "source_type")
+    cites = F.flatten(F.transform("citations", lambda c: F.array(*[cell("citations", c["index"], f, F.coalesce(c[f], F.lit(""))) for f in fields])))
+    return reports.select("report_id", F.explode(F.concat(head, *map(numbered, SECTIONS), cites)).alias("r")).select("report_id", "r.section", "r.n", "r.field", "r.value")
 
-def write_csv(reports: DataFrame, folder: str) -> None:
-    tidy_rows(reports).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+
+def write_csv(reports: DataFrame, folder: str, exported_at: Column) -> None:
+    tidy_rows(reports, exported_at).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
 
 
 def json_lines(reports: DataFrame, exported_at: Column) -> DataFrame:
