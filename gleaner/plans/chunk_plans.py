@@ -106,7 +106,29 @@ def _(spark, d):
     return C.chunk_statistics(C.sections(I.sectioned(spark, d), "doc_id"), "doc_id")
 
 
-@query("chk11_passages")
+def SENTENCES_OF(x):
+    return f"list_filter(list_transform(string_split({RR(x, r'([.!?])' + chr(92) + 's+', chr(92) + '1' + chr(1))}, chr(1)), lambda s: {STRIP('s')}), lambda s: s <> '')"
+
+
+def _joined(items):
+    return f"array_to_string({items}, ' ')"
+
+
+# a fold over sentences: groups that are done, the open one, its size
+_folded = f"""list_reduce(list_transform({SENTENCES_OF('b')}, lambda s: {{'done': []::VARCHAR[], 'open': [s], 'n': length(s) + 1}}), lambda g, x:
+  CASE WHEN g.n + x.n >= 800 THEN {{'done': list_append(g.done, {_joined('list_append(g.open, x.open[1])')}), 'open': []::VARCHAR[], 'n': 0::BIGINT}}
+   ELSE {{'done': g.done, 'open': list_append(g.open, x.open[1]), 'n': g.n + x.n}} END, {{'done': []::VARCHAR[], 'open': []::VARCHAR[], 'n': 0::BIGINT}})"""
+PASSAGE_LISTS = f"""(WITH c AS (SELECT doc_id, text, {STRIP(RR(RR('text', '[ ' + chr(92) + 't]+', ' '), chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n+', chr(10) + chr(10)))} AS clean FROM documents),
+k AS (SELECT doc_id, text, clean, list_filter(list_transform(string_split({RR(RR('clean', chr(10) + chr(10), chr(1)), chr(92) + 'n([-*#0-9]+' + chr(92) + '.?' + chr(92) + 's)', chr(1) + chr(92) + '1')}, chr(1)), lambda x: {STRIP('x')}),
+  lambda x: length(x) >= 40 AND NOT (regexp_matches(x, {sql_str(L.NOISE_LINE)}) AND length(x) < 150)) AS blocks FROM c),
+u AS (SELECT doc_id, unnest(blocks) AS b, generate_subscripts(blocks, 1) AS i FROM k),
+f AS (SELECT doc_id, i, b, CASE WHEN length(b) > 1500 THEN {_folded} END AS g FROM u),
+m AS (SELECT doc_id, flatten(list(CASE WHEN g IS NULL THEN [b] WHEN len(g.open) > 0 THEN list_append(g.done, {_joined('g.open')}) ELSE g.done END ORDER BY i)) AS ps FROM f GROUP BY 1),
+r AS (SELECT doc_id, list_filter({SENTENCES_OF('clean')}, lambda s: length(s) > 30) AS xs FROM k WHERE len(blocks) = 0 AND length(clean) >= 40)
+SELECT doc_id, ps FROM m UNION ALL SELECT doc_id, list_transform(list_filter(range(len(xs)), lambda i: i % 3 = 0), lambda i: {_joined('xs[i + 1 : i + 3]')}) FROM r)"""
+
+
+@query("chk11_passages", f"SELECT doc_id, CAST(generate_subscripts(ps, 1) - 1 AS INTEGER) AS passage_no, unnest(ps) AS passage FROM {PASSAGE_LISTS}")
 def _(spark, d):
     return C.passages(I.documents(spark, d), "doc_id")
 

@@ -9,7 +9,7 @@ from gleaner.operators import claims as CL
 from gleaner.operators import conflicts as CF
 from gleaner.operators import evidence as E
 from gleaner.plans import inputs as I
-from gleaner.plans.chunk_plans import TOKENS
+from gleaner.plans.chunk_plans import TOKENS, PASSAGE_LISTS, SENTENCES_OF
 from gleaner.plans.registry import query
 from gleaner.plans.sqlkit import (ASCII_WORDS, COUNT, REXALL, RR, STRIP, any_contains, case, sql_list, sql_str)
 from gleaner.plans.text_plans import _allowed, _odd
@@ -75,7 +75,21 @@ def _(spark, d):
     return evidence(spark, d).select("claim_id", "claim", F.array_join("metrics", "|").alias("metrics"), F.array_join("entities", "|").alias("entities"), "evidence_type", "confidence")
 
 
-@query("evd4_source_evidence")
+_score = (f"least(1.0::DOUBLE, 0.5::DOUBLE + least(0.3::DOUBLE, {COUNT(ASCII_WORDS('p'), L.EVIDENCE_METRIC)} * 0.1::DOUBLE) + least(0.2::DOUBLE, {COUNT(ASCII_WORDS('p'), L.EMPIRICAL_ACTION)} * 0.05::DOUBLE))")
+SOURCE_EVIDENCE_SQL = f"""WITH l AS (SELECT doc_id AS source_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM {PASSAGE_LISTS}),
+c AS (SELECT source_id, i, {_score} AS score, {SENTENCES_OF('p')} AS ss FROM l),
+x AS (SELECT source_id, i, score, unnest(ss) AS quote, generate_subscripts(ss, 1) AS j FROM c),
+e AS (SELECT source_id, lower(quote) AS low, quote, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, i, j) AS o FROM x WHERE {IS_EVIDENCE('quote')}),
+t AS (SELECT source_id, quote, o, 'heuristic' AS method FROM e QUALIFY row_number() OVER (PARTITION BY source_id, low ORDER BY o) = 1),
+a AS (SELECT source_id, {SENTENCES_OF('snippet')} AS ss FROM {I.SOURCES}), b AS (SELECT source_id, unnest(ss) AS quote, generate_subscripts(ss, 1) AS o FROM a),
+s AS (SELECT source_id, quote, o, 'heuristic_snippet' FROM b WHERE source_id NOT IN (SELECT source_id FROM t) AND {IS_EVIDENCE('quote')}),
+g AS (SELECT source_id, {SENTENCES_OF('content')} AS ss FROM {I.SOURCES}), h AS (SELECT source_id, unnest(ss) AS quote, generate_subscripts(ss, 1) AS o FROM g),
+f AS (SELECT source_id, quote, o, 'heuristic_sentence' FROM h WHERE source_id NOT IN (SELECT source_id FROM t UNION SELECT source_id FROM s) AND length(quote) > 35 AND NOT {CORRUPT('quote')})
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY o) - 1 AS INTEGER) AS n, regexp_replace(quote, '\\.$', '') AS claim, quote, method
+FROM (SELECT * FROM t UNION ALL SELECT * FROM s UNION ALL SELECT * FROM f)"""
+
+
+@query("evd4_source_evidence", SOURCE_EVIDENCE_SQL)
 def _(spark, d):
     src = I.sources(spark, d).select("source_id", "content", "snippet").withColumn("passages", C.passage_list(F.col("content")))
     return E.extract_evidence(src)

@@ -81,11 +81,6 @@ def _(spark, d):
     return P.page_flags(pages(spark, d)).select("page_id", "is_paywall", "is_js_required")
 
 
-@query("txt5_extraction_status")
-def _(spark, d):
-    return P.extract_pages(pages(spark, d)).select("page_id", "success", "error", F.length("text").alias("chars"))
-
-
 @query("txt6_entities", f"SELECT page_id, {DECODE('html')} AS decoded FROM pages")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", T.decode_entities(F.col("html")).alias("decoded"))
@@ -150,6 +145,18 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", T.corruption_reason(F.col("text")).alias("reason"))
 
 
+_reasons = CORRUPT_SQL.replace("WITH t AS", "t AS").replace("FROM documents)", "FROM pg)").replace("SELECT doc_id, CASE", "r AS (SELECT doc_id, CASE")
+STATUS_SQL = f"""WITH pg AS (SELECT page_id AS doc_id, CASE WHEN trim(main_text) = '' THEN '' ELSE main_text END AS text FROM ({MAIN_SQL})),
+{_reasons.replace("FROM t)" + chr(10) + "r AS", "FROM t)," + chr(10) + "r AS")})
+SELECT doc_id AS page_id, text <> '' AND reason IS NULL AS success, CASE WHEN text = '' THEN 'no_text' WHEN reason IS NOT NULL THEN 'corrupted:' || reason END AS error, CAST(length(text) AS INTEGER) AS chars
+FROM pg JOIN r USING (doc_id)"""
+
+
+@query("txt5_extraction_status", STATUS_SQL)
+def _(spark, d):
+    return P.extract_pages(pages(spark, d)).select("page_id", "success", "error", F.length("text").alias("chars"))
+
+
 # Text as it would look after one wrong decoding of curly quotes, so that the repair map has something to repair.
 _BREAK = (("'", "â€™"), (",", "â€“"))
 
