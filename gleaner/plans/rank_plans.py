@@ -297,7 +297,7 @@ def _(spark, d):
     return delete_by_key(table(spark, d, "embeddings").select("vec_id", "label"), gone, "vec_id")
 
 
-@query("vec8_embed_missing")
+@query("vec8_embed_missing", f"SELECT doc_id, md5(text) AS md5, {L.EMBEDDING_DIM}::INTEGER AS dim FROM documents")
 def _(spark, d):
     docs = I.documents(spark, d).select("doc_id", "text")
     known = docs.filter(F.length("text") < 500).dropDuplicates(["text"]).select(F.md5("text").alias("md5"), V.hashed_embedding(F.col("text")).alias("embedding"))

@@ -229,7 +229,17 @@ def _(spark, d):
     return V.audit(g, "report_id").join(actions, "report_id").select("report_id", "claims", "supported", "rewritten", "flagged", "removed", "unsupported_rate", "passed")
 
 
-@query("clm17_repaired_text")
+_bare = STRIP(RR("claim", r"\[[0-9]+\]"))
+REPAIRED_SQL = f"""WITH {GROUND_SQL}, d AS (SELECT report_id, claim, {_bare} AS bare, confidence FROM q WHERE NOT grounded),
+n AS (SELECT report_id, claim, CASE WHEN confidence < 0.25 THEN '' WHEN regexp_matches(bare, {sql_str(L.CAUTIOUS_OPENING)}) THEN bare
+  ELSE 'Preliminary estimates suggest that ' || lower(left(bare, 1)) || substr(bare, 2) END AS new FROM d),
+g AS (SELECT report_id, list_sort(list(DISTINCT {{'old': claim, 'new': new}})) AS edits FROM n GROUP BY 1),
+t AS (SELECT r.report_id, CASE WHEN edits IS NULL THEN body ELSE list_reduce(edits, lambda a, x: {{'old': replace(a.old, x.old, x.new), 'new': ''}}, {{'old': body, 'new': ''}}).old END AS t
+  FROM {REPORTS} r LEFT JOIN g USING (report_id))
+SELECT report_id, {STRIP(RR(RR('t', chr(92) + 'n' + chr(92) + 's*[-*+]' + chr(92) + 's*' + chr(92) + 'n', chr(10)), chr(92) + 'n{3,}', chr(10) + chr(10)))} AS text FROM t"""
+
+
+@query("clm17_repaired_text", REPAIRED_SQL)
 def _(spark, d):
     return V.repaired_text(reports(spark, d), grounded(spark, d), "report_id")
 
