@@ -9,6 +9,7 @@ from gleaner import lexicons as L
 from gleaner.functions import text as T
 from gleaner.functions import tokens as K
 from gleaner.operators import overlap as O
+from gleaner.operators.numbering import numbered
 
 
 def url_key(c: Column) -> Column:
@@ -29,8 +30,7 @@ def build_citations(sources: DataFrame, evidence: DataFrame, report: str = "repo
     first = evidence.groupBy(report, "source_id").agg(F.min_by(F.struct("quote", "claim", "confidence"), "evidence_id").alias("e"))
     clean = lambda c: T.strip(T.head(F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", ""), quote_chars))
     quote = F.coalesce(F.nullif(clean(F.col("e.quote")), F.lit("")), clean(F.coalesce("snippet", F.lit(""))))
-    index = F.row_number().over(Window.partitionBy(report).orderBy(order))
-    rows = kept.join(first, [report, "source_id"], "left").withColumn("index", index)
+    rows = numbered(kept.join(first, [report, "source_id"], "left"), report, order)
     title = F.coalesce(F.nullif(T.strip(F.col("title")), F.lit("")), F.concat(F.lit("Source "), F.col("index").cast("string")))
     return rows.select(report, "index", "source_id", "url", title.alias("title"), quote.alias("quote"), F.col("e.claim").alias("claim"),
                        F.coalesce("e.confidence", "credibility_score").alias("confidence"))
@@ -55,7 +55,13 @@ def reference_line(index: Column, title: Column, url: Column, style: str = "stan
     return linked if style == "markdown_link" else F.when(F.coalesce(url, F.lit("")) != "", full).otherwise(F.concat(mark, title))
 
 
+def bibliography_lines(citations: DataFrame, report: str = "report_id", style: str = "standard") -> DataFrame:
+    """(report, index, line): a bibliography as rows in order of index, for reports of any size."""
+    return citations.select(report, "index", reference_line(F.col("index"), F.col("title"), F.col("url"), style).alias("line"))
+
+
 def bibliography(citations: DataFrame, report: str = "report_id", style: str = "standard") -> DataFrame:
+    """``bibliography_lines`` joined to one text per report, which a report with very many sources should not ask for."""
     line = reference_line(F.col("index"), F.col("title"), F.col("url"), style)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("index", line.alias("l")))), lambda x: x["l"])
     return citations.groupBy(report).agg(F.concat(F.lit("## Sources & References\n\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("bibliography"))
@@ -137,8 +143,7 @@ def linked_citations(sources: DataFrame, evidence: DataFrame, checks: DataFrame,
     ids = evidence.groupBy(run, F.col("source_url").alias("url")).agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"))
     claims = checks.groupBy(run, "url").agg(F.array_sort(F.collect_set("claim_id")).alias("verification_for"))
     rows = first.join(ids, [run, "url"], "left").join(claims, [run, "url"], "left")
-    index = F.row_number().over(Window.partitionBy(run).orderBy(order))
-    return rows.select(run, index.alias("index"), "url", "title", F.coalesce(F.size("evidence_ids"), F.lit(0)).alias("evidence_count"), "evidence_ids", "verification_for")
+    return numbered(rows, run, order).select(run, "index", "url", "title", F.coalesce(F.size("evidence_ids"), F.lit(0)).alias("evidence_count"), "evidence_ids", "verification_for")
 
 
 def section_keys(question: Column) -> Column:

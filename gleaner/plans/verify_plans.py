@@ -334,6 +334,11 @@ def _(spark, d):
     return CI.bibliography(cites(spark, d))
 
 
+@query("cit3_bibliography_lines", f"SELECT report_id, index, '[' || index || '] **[' || title || '](' || url || ')**' AS line FROM {CITES}")
+def _(spark, d):
+    return CI.bibliography_lines(cites(spark, d), style="markdown_link")
+
+
 def inline_inputs(spark, d):
     claims = I.claims(spark, d)
     sents = claims.select("research_id", F.col("claim_id").alias("sentence_id"), "source_id", F.concat("claim", F.lit(".")).alias("sentence"))

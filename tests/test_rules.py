@@ -292,6 +292,16 @@ def test_best_matches_equal_all_pairs(spark):
     assert V.supporting_evidence(left.limit(0), right, k=2).count() == 0
 
 
+def test_numbers_by_prefix_sums(spark):
+    from gleaner.operators.numbering import numbered
+    rng = random.Random(15)
+    rows = [("hot" if i % 3 else f"g{i % 5}", o) for i, o in enumerate(rng.sample(range(10_000), 900))]
+    got = {(r.g, r.o): r.n for r in numbered(spark.createDataFrame(rows, "g string, o long").repartition(7), "g", "o", "n").collect()}
+    for group in {g for g, _ in rows}:
+        assert [got[group, o] for o in sorted(o for g, o in rows if g == group)] == list(range(1, sum(g == group for g, _ in rows) + 1))
+    assert numbered(spark.createDataFrame([], "g string, o long"), "g", "o").count() == 0
+
+
 def test_all_matching_evidence_counts(spark):
     claims = spark.createDataFrame([(1, "r", "sales of cars rose strongly")], "claim_id bigint, research_id string, claim string")
     # five copies of one source, then another source, then a disputed item
