@@ -34,8 +34,11 @@ from gleaner.operators.dedup import connected_components
 WIDTH = 4
 PERCENT = 85
 FREQUENT = 64
-SHARD_CHARS = 12_000_000
+#: characters a shard, as far as workers have memory: fewer shards are fewer (set, shard) pairs between shards and homes
+SHARD_CHARS, QUERY_SHARD_CHARS = 12_000_000, 30_000_000
 EXTRA = np.uint64(40)
+#: longs of a set's parity field
+FIELDS = 8
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -119,8 +122,19 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, values[1:] != values[:-1])), len(values)) if len(values) else np.zeros(1, np.int64)
 
 
+def coded(frequency: np.ndarray) -> np.ndarray:
+    """Frequencies in a byte: exact below 128, then four steps for each doubling; larger ones never get a smaller code."""
+    return np.where(frequency < 128, frequency, np.minimum(255, 128 + 4 * np.log2(np.maximum(frequency, 128) / 128))).astype(np.uint8)
+
+
+def decoded(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    return np.where(code < 128, code, (128 * 2.0 ** ((code - 128) / 4)).astype(np.int64))
+
+
 def shared(posted: DataFrame, homes: int) -> DataFrame:
-    """(home, sets, totals, tokens, frequencies, refs): for each set its n-grams in this shard, how many, and the shared ones."""
+    """(home, shard, sets, totals, counts, tokens, extra, codes): for each set how many n-grams it has in this shard, and the
+    shared ones, one set's after the other's, with ``coded`` frequencies."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -144,7 +158,7 @@ def shared(posted: DataFrame, homes: int) -> DataFrame:
         runs = _runs(tokens)
         frequency = np.repeat(np.diff(runs), np.diff(runs))
         kept = frequency > 1
-        tokens, refs, frequency = tokens[kept] | np.uint64(shard) << EXTRA, refs[kept], frequency[kept]
+        tokens, refs, frequency = tokens[kept], refs[kept], frequency[kept]
         home = _home(nodes, homes)
         by_node = np.lexsort((np.arange(len(nodes)), home))
         place = np.empty(len(nodes), np.int64)
@@ -156,17 +170,20 @@ def shared(posted: DataFrame, homes: int) -> DataFrame:
         rows = []
         for k in np.flatnonzero(np.diff(cuts)):
             a, b, c, d = cuts[k], cuts[k + 1], inner[k], inner[k + 1]
-            rows.append((int(k), nodes[by_node[a:b]].tobytes(), totals[by_node[a:b]].astype("<u4").tobytes(), tokens[c:d].tobytes(),
-                         frequency[c:d].astype("<u4").tobytes(), (refs[c:d] - a).astype("<u4").tobytes()))
-        kinds = [pa.int32(), *[pa.binary()] * 5]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["home", "sets", "totals", "tokens", "frequencies", "refs"])
+            rows.append((int(k), shard, nodes[by_node[a:b]].tobytes(), totals[by_node[a:b]].astype("<u4").tobytes(), np.bincount(refs[c:d] - a, minlength=b - a).astype("<u4").tobytes(),
+                         tokens[c:d].astype("<u4").tobytes(), (tokens[c:d] >> np.uint64(32)).astype(np.uint8).tobytes(), coded(frequency[c:d]).tobytes()))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["home", "shard", "sets", "totals", "counts", "tokens", "extra", "codes"])
 
-    return posted.groupBy("shard").applyInArrow(run, "home int, sets binary, totals binary, tokens binary, frequencies binary, refs binary")
+    return posted.groupBy("shard").applyInArrow(run, "home int, shard int, sets binary, totals binary, counts binary, tokens binary, extra binary, codes binary")
 
 
 def signatures(tokens: np.ndarray, frequency: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set of ``size`` n-grams whose shared ones are given, none if it cannot have a partner; and how many
-    shared n-grams come before each in the common order (0 for pairs, whose members may not be the first common ones)."""
+    shared n-grams partners must lack if this is their first common signature in the common order.
+
+    These are the n-grams before a single one.  Before the second one of the first common pair, no class has two common
+    n-grams, so all n-grams before it but one for each class are missing."""
     missing = size - -(-percent * size // 100)
     need = missing - (size - len(tokens)) + 1
     if need <= 0:
@@ -192,28 +209,38 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, size: int, percent: in
             by = np.argsort(group, kind="stable")
             cuts = _runs(group[by])
             for a, b in zip(cuts[:-1], cuts[1:]):
-                members = np.sort(part[by[a:b]])
+                at = by[a:b]
+                at = at[np.argsort(part[at])]
+                members = part[at]
                 i, j = np.triu_indices(len(members), 1)
+                later = rare + np.maximum(at[i], at[j])
                 out.append(H.mixed(members[i] * H.BASE + members[j] + np.uint64(classes)))
-                places.append(np.zeros(len(i), np.int64))
+                places.append(np.maximum(0, later - classes))
     found, index = np.unique(np.concatenate(out), return_index=True)
     return found, np.concatenate(places)[index]
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * FIELDS hash values whether an odd number of n-grams has it: sets differ in as many n-grams at least
+    as their fields differ in bits."""
+    place = (H.mixed(tokens ^ H.BASE) % np.uint64(64 * FIELDS)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=64 * FIELDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def candidates(returned: DataFrame, percent: int) -> DataFrame:
-    """(node, size, weight, tokens, signatures, places) of the sets that can have a partner.
+    """(node, size, weight, tokens, signatures, places, p0 ...) of the sets that can have a partner; p0 and so on: ``parity``.
 
     weight, the mean number of sets that an n-gram of the set is in, is largest for the common source of edited copies."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes, totals, tokens, frequency, refs = [], [], [], [], []
-        columns = (("sets", "<i8"), ("totals", "<u4"), ("tokens", "<u8"), ("frequencies", "<u4"), ("refs", "<u4"))
-        for ids, total, token, often, ref in zip(*(_numbers(table.column(c), k) for c, k in columns)):
+        columns = (("sets", "<i8"), ("totals", "<u4"), ("counts", "<u4"), ("tokens", "<u4"), ("extra", "u1"), ("codes", "u1"))
+        for shard, ids, total, count, low, high, code in zip(table.column("shard").to_pylist(), *(_numbers(table.column(c), k) for c, k in columns)):
             nodes.append(ids)
             totals.append(total)
-            tokens.append(token)
-            frequency.append(often)
-            refs.append(ids[ref])
+            tokens.append(np.uint64(shard) << EXTRA | high.astype(np.uint64) << np.uint64(32) | low)
+            frequency.append(decoded(code))
+            refs.append(np.repeat(ids, count))
         names, where = np.unique(np.concatenate(nodes), return_inverse=True)
         sizes = np.bincount(where, np.concatenate(totals), len(names)).astype(np.int64)
         tokens, frequency, refs = np.concatenate(tokens), np.concatenate(frequency), np.searchsorted(names, np.concatenate(refs))
@@ -225,45 +252,59 @@ def candidates(returned: DataFrame, percent: int) -> DataFrame:
             found, places = signatures(tokens[own], frequency[own], int(sizes[k]), percent)
             if len(found):
                 weight = (int(frequency[own].sum()) - int(np.count_nonzero(frequency[own]))) / int(sizes[k])
-                rows.append((name, int(sizes[k]), weight, tokens[own].view(np.int64), found.view(np.int64), places))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.list_(pa.int64())] * 3]
-        columns = zip(*rows) if rows else [[]] * 6
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["node", "size", "weight", "tokens", "signatures", "places"])
+                rows.append((name, int(sizes[k]), weight, tokens[own].view(np.int64), found.view(np.int64), places, *parity(tokens[own]).tolist()))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.list_(pa.int64())] * 3, *[pa.int64()] * FIELDS]
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["node", "size", "weight", "tokens", "signatures", "places", *fields])
 
-    return returned.groupBy("home").applyInArrow(run, "node long, size long, weight double, tokens array<long>, signatures array<long>, places array<long>")
+    fields = [f"p{k}" for k in range(FIELDS)]
+    return returned.groupBy("home").applyInArrow(run, "node long, size long, weight double, tokens array<long>, signatures array<long>, places array<long>, " + ", ".join(f"{p} long" for p in fields))
 
 
 def linked(sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, component) of all nodes with a link, or None: the rounds of verification."""
     spark = sets.sparkSession
     slim = sets.select(F.explode(F.arrays_zip("signatures", "places")).alias("s"), "node", "size", "weight", F.size("tokens").alias("all"))
-    # where a signature is the first common n-gram, those before it are not common
+    # where a signature is the first common one, the n-grams counted by its place are not common
     slim = slim.select(F.col("s.signatures").alias("sig"), "node", "size", "weight", (F.col("all") - F.col("s.places")).alias("shared"))
-    buckets = stored(slim.withColumn("n", F.count("*").over(W.partitionBy("sig"))).where("n > 1").drop("n"), "op6-buckets")
+    bucket = W.partitionBy("sig")
+    # partners in a bucket are not smaller than its smallest set
+    rows = slim.withColumn("least", F.min("size").over(bucket)).where(f"{100 + percent} * shared >= {percent} * (size + least)").drop("least")
+    rows = stored(rows.withColumn("n", F.count("*").over(bucket)).where("n > 1").drop("n"), "op6-buckets")
+    fields = [f"p{k}" for k in range(FIELDS)]
+    fielded = sets.select("node", (F.col("size") - F.size("tokens")).alias("alone"), *fields)
     edges = tested = components = None
     hubs = 1
     while True:
-        rows = buckets.withColumn("component", F.col("node")) if components is None else buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        bucket = W.partitionBy("sig")
-        rows = rows.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket), "n": F.count("*").over(bucket)}).where("low <> high")
+        if components is None:
+            rows = rows.withColumn("component", F.col("node"))
+        else:  # buckets of one component stay so, hence each round goes on with what the last one left
+            rows = rows.drop("component", "n", "rank").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = rows.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket), "n": F.count("*").over(bucket)}).where("low <> high").drop("low", "high")
         rows = rows.withColumn("same", F.count("*").over(W.partitionBy("sig", "component"))).withColumn("rank", F.row_number().over(bucket.orderBy("same", F.desc("weight"), "node")))
-        rows = stored(rows.select("sig", "node", "size", "shared", "component", "rank", "n"), "op6-round")
+        rows = stored(rows.drop("same"), "op6-round")
         largest = rows.agg(F.max("n")).first()[0]
         if largest is None:
             return components
-        hub = rows.where(F.col("rank") <= hubs).select("sig", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("shared").alias("shared_a"), F.col("component").alias("c"), F.col("rank").alias("r"))
+        # the first round compares a set with the hub of its bucket; later ones look at what is most likely no link at all
+        met = rows if components is None else rows.join(fielded, "node")
+        hub = met.where(F.col("rank") <= hubs).select("sig", *[F.col(c).alias(f"{c}_a") for c in met.columns if c != "sig"])
         # n-grams of one set only are never common: with at most c common ones two sets have at least all others
         common = "least(shared, shared_a)"
-        pairs = rows.join(hub, "sig").where(f"component <> c and rank > r and 100 * {common} >= {percent} * (size + size_a - {common})")
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        test = f"component <> component_a and rank > rank_a and 100 * {common} >= {percent} * (size + size_a - {common})"
+        if components is not None:
+            differ = " + ".join(f"bit_count({p} ^ {p}_a)" for p in fields)
+            test += f" and {100 + percent} * (alone + alone_a + {differ}) <= {100 - percent} * (size + size_a)"
+        pairs = met.join(hub, "sig").where(test).select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "op6-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("tokens").alias("tokens_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
-        common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-        checked = pairs.join(right, "b").join(left, "a").withColumn("common", common)
+        # few sets are in pairs: the lists of the others stay where they are
+        left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("tokens").alias("tokens_a"))
+        right = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
+        shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
+        checked = pairs.join(right, "b").join(left, "a").withColumn("common", shared)
         found = stored(checked.where(F.col("common") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("common")) * percent).select("a", "b"), "op6-links")
         new = not found.isEmpty()
         edges = found if edges is None else edges.unionByName(found)
@@ -275,7 +316,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame | None:
         release(spark)
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents in groups joined by chains of links.
 
     Two documents are linked if 100 times the common n-grams are at least ``percent`` times all of both.  component_id is
@@ -284,7 +325,7 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col:
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-chars // SHARD_CHARS))
+    shards = max(1, -(-chars // shard_chars))
     returned = stored(shared(postings(rows, width, shards), shards), "op6-shared", "none")
     release(rows.sparkSession)
     sets = stored(candidates(returned, percent), "op6-sets")
@@ -311,4 +352,4 @@ def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 @query("op6_ngram_join")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return classes(documents(spark, folder))
+    return classes(documents(spark, folder), shard_chars=QUERY_SHARD_CHARS)
