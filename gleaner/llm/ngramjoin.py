@@ -138,16 +138,15 @@ def shared(posted: DataFrame, homes: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        sets, refs, tokens = [], [], []
-        for ids, low, high, ref in zip(*(_numbers(table.column(c), k) for c, k in (("sets", "<i8"), ("tokens", "<u4"), ("extra", "u1"), ("refs", "<u4")))):
-            sets.append(ids[ref])
-            tokens.append(high.astype(np.uint64) << np.uint64(32) | low)
-        nodes, refs = np.unique(np.concatenate(sets), return_inverse=True)
-        tokens = np.concatenate(tokens)
-        order = np.argsort(tokens)
+        sets = _numbers(table.column("sets"), "<i8")
+        nodes = np.unique(np.concatenate(sets))
+        refs = np.concatenate([np.searchsorted(nodes, ids).astype(np.int32)[ref] for ids, ref in zip(sets, _numbers(table.column("refs"), "<u4"))])
+        tokens = np.concatenate([high.astype(np.uint64) << np.uint64(32) | low for low, high in zip(_numbers(table.column("tokens"), "<u4"), _numbers(table.column("extra"), "u1"))])
+        order = np.argsort(tokens).astype(np.int32)
         same = tokens[order[1:]] == tokens[order[:-1]]
         several = np.zeros(len(tokens), bool)
         several[order] = np.append(False, same) | np.append(same, False)
+        del order, same
         totals = np.bincount(refs[~several], minlength=len(nodes))
         tokens, refs = tokens[several], refs[several]  # few of all; the others are of one set
         order = np.lexsort((refs, tokens))
