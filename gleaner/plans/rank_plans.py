@@ -229,10 +229,23 @@ def _(spark, d):
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------------
-@query("vec1_hashed_embedding")
+# a token's hash modulo 3 * 2**24, from its last 24 bits and the sum of its hexadecimal digits, gives all three places
+EMBED_SQL = f"""WITH t AS (SELECT doc_id, unnest({TOKENS('text', L.EMBEDDING_STOP)}) AS token FROM documents), w AS (SELECT DISTINCT token, sha256(token) AS h FROM t),
+r AS (SELECT token, ('0x' || right(h, 6))::BIGINT AS low, list_sum(list_transform(regexp_extract_all(h, '.'), lambda c: ('0x' || c)::BIGINT))::BIGINT AS digits FROM w),
+n AS (SELECT token, low + 16777216 * (((digits - low) % 3 + 3) % 3) AS x FROM r),
+p AS (SELECT token, unnest([x % {L.EMBEDDING_DIM}, (x // 128) % {L.EMBEDDING_DIM}, (x // 8192) % {L.EMBEDDING_DIM}]) AS place, unnest([4, 2, 1]) AS quarter FROM n),
+v AS (SELECT doc_id, place, sum(quarter) AS q FROM t JOIN p USING (token) GROUP BY 1, 2),
+s AS (SELECT doc_id, count(*) AS places, min(place) FILTER (q = most) AS heaviest FROM (SELECT *, max(q) OVER (PARTITION BY doc_id) AS most FROM v) GROUP BY 1)
+SELECT doc_id, {L.EMBEDDING_DIM}::INTEGER AS dim, coalesce(places, 0)::INTEGER AS places, coalesce(heaviest, 0)::INTEGER AS heaviest, CASE WHEN places IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS length
+FROM documents LEFT JOIN s USING (doc_id)"""
+
+
+@query("vec1_hashed_embedding", EMBED_SQL)
 def _(spark, d):
-    return I.documents(spark, d).select("doc_id", V.hashed_embedding(F.col("text")).alias("v")).select(
-        "doc_id", F.size("v").alias("dim"), F.round(V.norm(F.col("v")), 4).alias("length"))
+    v = F.col("v")
+    rows = I.documents(spark, d).select("doc_id", V.hashed_embedding(F.col("text")).alias("v"))
+    return rows.select("doc_id", F.size(v).alias("dim"), F.size(F.filter(v, lambda x: x != 0)).alias("places"), (F.array_position(v, F.array_max(v)) - 1).cast("int").alias("heaviest"),
+                       F.round(V.norm(v), 4).alias("length"))
 
 
 def _listsql(x):
