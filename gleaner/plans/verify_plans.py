@@ -346,15 +346,24 @@ def inline_inputs(spark, d):
     return sents, ev
 
 
-@query("cit4_inline_matches", f"""WITH s AS MATERIALIZED (SELECT research_id, claim_id AS sentence_id, lower(claim || '.') AS low FROM {I.CLAIMS} WHERE length(claim) >= 19),
+MATCH_SQL = f"""WITH s AS MATERIALIZED (SELECT research_id, claim_id AS sentence_id, lower(claim || '.') AS low FROM {I.CLAIMS} WHERE length(claim) >= 19),
 e AS MATERIALIZED (SELECT research_id, evidence_id, CAST(source_id % 30 + 1 AS INTEGER) AS index, list_filter(regexp_extract_all(lower(evidence_claim), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 3) AS ws, list_transform(metrics, lambda m: lower(m)) AS ms FROM {POOL})
 SELECT sentence_id, min(evidence_id) AS evidence_id, arg_min(index, evidence_id) AS index FROM s JOIN e USING (research_id)
-WHERE len(ws) > 0 AND (len(list_filter(ws, lambda w: contains(low, w))) / len(ws) >= 0.55 OR len(list_filter(ms, lambda m: contains(low, m))) > 0) GROUP BY 1""")
+WHERE len(ws) > 0 AND (len(list_filter(ws, lambda w: contains(low, w))) / len(ws) >= 0.55 OR len(list_filter(ms, lambda m: contains(low, m))) > 0) GROUP BY 1"""
+
+
+@query("cit4_inline_matches", MATCH_SQL)
 def _(spark, d):
     return CI.inline_matches(*inline_inputs(spark, d), "research_id")
 
 
-@query("cit4_inline_text")
+_sent = STRIP("claim || '.'")
+TEXT_SQL = f"""WITH m AS ({MATCH_SQL}), x AS (SELECT claim_id, source_id, claim || '.' AS plain, {_sent} AS bare, index FROM {I.CLAIMS} LEFT JOIN m ON sentence_id = claim_id),
+y AS (SELECT *, CASE WHEN index IS NULL THEN plain WHEN regexp_matches(bare, '[.!?]$') THEN regexp_replace(bare, '\\s*[.!?]$', '') || '.[' || index || ']' ELSE bare || ' [' || index || ']' END AS part FROM x)
+SELECT source_id, string_agg(part, ' ' ORDER BY claim_id) AS text FROM y GROUP BY 1"""
+
+
+@query("cit4_inline_text", TEXT_SQL)
 def _(spark, d):
     sents, ev = inline_inputs(spark, d)
     return CI.with_marks(sents, CI.inline_matches(sents, ev, "research_id"), "source_id", "sentence_id")
