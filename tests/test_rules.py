@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -292,6 +293,23 @@ def test_best_matches_equal_all_pairs(spark):
     assert V.supporting_evidence(left.limit(0), right, k=2).count() == 0
 
 
+def test_mentions_lie_inside_words_and_nothing_is_broadcast_by_estimate(spark):
+    rng = random.Random(21)
+    words = ["india", "indiana", "a", "ab", "abc", "xabcx", "sales", "in", "çok", "b2"]
+    texts = [(i, "g", " ".join(rng.choice(words) for _ in range(rng.randrange(0, 8)))) for i in range(60)] + [(90, "h", "india")]
+    named = ["India", "dia", "abc a", "bc a", "s in", "Sales in India", "a  b", "ÇOK", "zzz", "b2 b"]
+    frame = spark.createDataFrame(texts, "id bigint, g string, text string")
+    owned = spark.createDataFrame([("g", 100 + k, m, 1.0) for k, m in enumerate(named)], "g string, id bigint, mention string, weight double")
+    hits = O.mention_weights(frame, owned, ["g"])
+    assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+    want = {(i, 100 + k) for i, g, t in texts if g == "g" for k, m in enumerate(named) if m.lower() in t}
+    assert {(r.left_id, r.right_id) for r in hits.collect()} == want and want
+    sets = {r.id: len(r.mentions) for r in O.mentioned(frame, owned, ["g"]).collect()}
+    assert sets == {i: sum(1 for j, _ in want if j == i) for i, _ in want}
+    values = np.array([0.5, 0.9, 0.5, 0.7, 0.9, 0.5])
+    assert [sorted(O._largest(values, k).tolist()) for k in (1, 2, 4, 9)] == [[1], [1, 4], [0, 1, 3, 4], list(range(6))]
+
+
 def test_numbers_by_prefix_sums(spark):
     from gleaner.operators.numbering import numbered
     rng = random.Random(15)
