@@ -9,6 +9,7 @@ from gleaner.functions import text as T
 from gleaner.functions import tokens as K
 from gleaner.functions import urls as U
 from gleaner.operators import chunks as C
+from gleaner.operators import citations as CI
 from gleaner.operators import claims as CL
 from gleaner.operators import conflicts as CF
 from gleaner.operators import credibility as CR
@@ -336,6 +337,18 @@ def test_all_matching_evidence_counts(spark):
     assert [r["evidence_id"] for r in V.supporting_evidence(claims, pool, k=5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_exploded_sides_are_not_broadcast_by_estimate(spark):
+    frame = spark.createDataFrame([(i, "g", f"Sales in area{i} rose 12%", "g", [f"Area{i}"], ["12%"], i, 0.5, "verified") for i in range(6)],
+                                  "id bigint, run string, claim string, research_id string, entities array<string>, metrics array<string>, source_id bigint, confidence double, status string")
+    evidence = frame.select("research_id", F.col("id").alias("evidence_id"), "claim", F.col("claim").alias("body"), F.col("claim").alias("evidence_claim"), "entities", "metrics",
+                            F.lit(1).alias("index"), "source_id", "confidence", "status")
+    sentences = frame.select("research_id", F.col("id").alias("sentence_id"), "source_id", "claim").withColumn("sentence", F.concat("claim", F.lit(".")))
+    claims = frame.select("research_id", F.col("id").alias("claim_id"), "claim")
+    for df in (CI.inline_matches(sentences, evidence, "research_id"), V._scored_pairs(claims, evidence, "research_id", 0.45, 0.15, 0.20)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() >= 6
+
+
 def test_queries_blocks_and_gaps_are_whole(spark):
     long = "how do markets move " * 80 + "<script>alert(1)</script>"
     assert one(spark, T.query_problem(F.lit(long))) == "forbidden_markup" and one(spark, T.query_problem(F.lit(long), max_chars=1000)) is None
