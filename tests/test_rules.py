@@ -337,6 +337,12 @@ def test_all_matching_evidence_counts(spark):
     assert [r["evidence_id"] for r in V.supporting_evidence(claims, pool, k=5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_average_credibility_is_exact(spark):
+    support = spark.createDataFrame([(1, k) for k in range(3)] + [(2, 9)], "claim_id bigint, source_id bigint")
+    sources = spark.createDataFrame([(k, f"u{k}", 0.1) for k in range(3)], "source_id bigint, url string, credibility_score double")
+    assert {r.claim_id: (r.distinct_urls, r.avg_credibility) for r in V.compare_sources(support, sources).collect()} == {1: (3, 0.1), 2: (0, 0.85)}
+
+
 def test_exploded_sides_are_not_broadcast_by_estimate(spark):
     frame = spark.createDataFrame([(i, "g", f"Sales in area{i} rose 12%", "g", [f"Area{i}"], ["12%"], i, 0.5, "verified") for i in range(6)],
                                   "id bigint, run string, claim string, research_id string, entities array<string>, metrics array<string>, source_id bigint, confidence double, status string")
