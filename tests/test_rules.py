@@ -241,6 +241,16 @@ def test_contradiction_links_equal_the_pair_loop(spark):
     assert CF.contradictions(df.limit(0)).count() == 0
 
 
+def test_every_contradicted_claim_has_its_row(spark):
+    df, pool = _random_claims(spark, 7, 80, "rrq"), _random_claims(spark, 57, 60, "rrq")
+    f, p = ({r["claim_id"]: r for r in x.collect()} for x in (df, pool))
+    want = {i: [j for j in p if f[i]["research_id"] == p[j]["research_id"] and _clash(f[i], p[j]) and (_opposed(f[i], p[j]) or p[j]["status"] == "disputed")] for i in f}
+    like = lambda i: (f[i]["research_id"], f[i]["claim_key"], f[i]["segment"], f[i]["status"])
+    alike = {i: [j for j in f if like(j) == like(i)] for i in f}
+    rows = {(r.claim_id, r.class_id, r.claims, r.links, r.first_id) for r in CF.claims_against(df, pool, rows=9).collect()}
+    assert rows == {(i, min(alike[i]), len(alike[i]), len(w), min(w)) for i, w in want.items() if w} and any(r[0] != r[1] for r in rows)
+
+
 def test_overlap_joins_miss_nothing(spark):
     rng = random.Random(2)
     words = [f"t{i}" for i in range(30)]
