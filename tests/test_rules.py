@@ -12,6 +12,7 @@ from gleaner.operators import chunks as C
 from gleaner.operators import citations as CI
 from gleaner.operators import claims as CL
 from gleaner.operators import conflicts as CF
+from gleaner.operators import counted as N
 from gleaner.operators import credibility as CR
 from gleaner.operators import dedup as D
 from gleaner.operators import graph as G
@@ -264,6 +265,32 @@ def test_overlap_joins_miss_nothing(spark):
     assert {(x[0], y[0]) for x in left for y in right if len(set(x[2]) & set(y[2])) / min(len(x[2]), len(y[2])) >= 0.55} <= near
 
 
+def test_counted_overlaps_equal_all_pairs(spark):
+    rng = random.Random(21)
+    words = list(range(100)) + [5, 6, 7] * 12
+    some = lambda most: list(dict.fromkeys(rng.choice(words) for _ in range(rng.randrange(most))))
+    share = lambda a, b: len(set(a) & set(b)) / min(len(a), len(b)) if a and b else 0
+    left = [(i, rng.choice("rrq"), i % 3, some(11), some(9), some(3) if i % 2 else [], some(2)) for i in range(150)]
+    right = [(900 + i, rng.choice("rrqs"), (i % 40) % 4, some(11), some(9), some(4), some(3), i % 40) for i in range(160)]
+    right += [(2000 + i, *row[1:]) for i, row in enumerate(right[:20])]  # copies count once
+    names = "id bigint, run string, domain bigint, tokens array<bigint>, words array<bigint>, numbers array<bigint>, metrics array<bigint>"
+    a, b = spark.createDataFrame(left, names), spark.createDataFrame(right, names + ", unit bigint")
+    near = {x[0]: [y for y in right if x[1] == y[1] and x[0] != y[0] and share(x[3], y[3]) >= 0.55] for x in right}
+    want = {(x[0], len(near[x[0]]), any(y[7] != x[7] for y in near[x[0]])) for x in right if x[3]}
+
+    def units(x, test):
+        return len({y[7] for y in right if x[1] == y[1] and x[2] != y[2] and test(x, y)})
+
+    supports = lambda x, y: share(x[3], y[3]) >= 0.72 if not x[5] else share(x[3], y[3]) >= 0.6 and set(x[5]) <= set(y[5])
+    contradicts = lambda x, y: bool(x[6] and y[6]) and share(x[4], y[4]) >= 0.6 and not set(x[6]) & set(y[6])
+    checks = {(x[0], units(x, supports), units(x, contradicts)) for x in left}
+    for rows in (N.ROWS, 30, 2):  # with 2 rows a block, units are spread over blocks
+        assert {tuple(r) for r in N.related(b, "run", 0.55, rows).collect()} == want
+        assert {tuple(r) for r in N.independent(a, b, "run", rows).collect()} == {c for c in checks if c[1] or c[2]}
+    assert any(c[1] for c in checks) and any(c[2] for c in checks)
+    assert N.related(b.limit(0), "run", 0.55).count() == 0 and N.independent(a, b.limit(0), "run").count() == 0
+
+
 def test_best_matches_equal_all_pairs(spark):
     rng = random.Random(14)
     words = [f"word{k}" for k in range(30)]
