@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -43,26 +45,35 @@ def dot(a: Column, b: Column) -> Column:
 PLACES = ((0, 1.0), (7, 0.5), (13, 0.25))
 
 
-def _embedded(words: pd.Series, dim: int) -> list[np.ndarray]:
-    """Unit vectors of a batch of token lists; each distinct token of the batch is hashed once."""
-    sizes = words.map(len).to_numpy()
-    tokens, distinct = pd.factorize(np.concatenate([np.asarray(w, object) for w in words] or [np.zeros(0, object)]))
-    numbers = [int.from_bytes(hashlib.sha256(t.encode()).digest(), "big") for t in distinct]
+def _embedded(words: pa.Array, dim: int) -> pa.Array:
+    """Unit vectors of a batch of token lists; each distinct token of the batch is hashed once.  Tokens stay in Arrow: only the
+    distinct ones become Python strings, and 256 rows at a time meet their places."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    flat = words.flatten().dictionary_encode()
+    tokens = flat.indices.to_numpy(zero_copy_only=False)
+    slots = np.zeros((len(PLACES), len(flat.dictionary)), np.int32)
+    for k, token in enumerate(flat.dictionary):
+        number = int.from_bytes(hashlib.sha256(token.as_py().encode()).digest(), "big")
+        for p, (shift, _) in enumerate(PLACES):
+            slots[p, k] = (number >> shift) % dim
     vectors = np.zeros((len(words), dim), np.float32)
-    for shift, weight in PLACES:
-        slots = np.array([(n >> shift) % dim for n in numbers], np.int64)
-        np.add.at(vectors, (np.repeat(np.arange(len(words)), sizes), slots[tokens]), weight)
-    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return list(vectors / np.where(lengths > 1e-9, lengths, 1))
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    for k in range(0, len(words), 256):
+        rows = vectors[k : k + 256]
+        owner, mine = np.repeat(np.arange(len(rows)), sizes[k : k + 256]), tokens[cuts[k] : cuts[k + len(rows)]]
+        for p, (_, weight) in enumerate(PLACES):
+            np.add.at(rows, (owner, slots[p, mine]), np.float32(weight))
+        lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+        rows /= np.where(lengths > 1e-9, lengths, 1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * dim), pa.array(vectors.ravel()))
 
 
 def hashed_embedding(text: Column, dim: int = L.EMBEDDING_DIM) -> Column:
     """Hashed bag of words, unit length; a text without tokens gives the zero vector.  Tokens are cut on the JVM."""
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def embed(words: pd.Series) -> pd.Series:
-        rows = words.map(lambda w: w if w is not None else [])
-        return pd.Series([v for k in range(0, len(rows), 256) for v in _embedded(rows.iloc[k : k + 256], dim)], index=words.index, dtype=object)
+    @F.arrow_udf(ArrayType(FloatType()))
+    def embed(words: pa.Array) -> pa.Array:
+        return _embedded(words, dim)
 
     return embed(K.tokens(F.coalesce(text, F.lit("")), L.EMBEDDING_STOP))
 

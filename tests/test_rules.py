@@ -304,6 +304,15 @@ def test_neighbourhood_sizes_walk_one_root_of_a_class(spark):
     assert {r.root: r.edges for r in lines.collect()} == count(used)
 
 
+def test_embeddings_keep_tokens_in_arrow():
+    import pyarrow as pa
+    words = pa.array([["a1", "b2", "a1"], None, [], ["b2"]] * 150, pa.list_(pa.string()))
+    got = VE._embedded(words.slice(1), 64)
+    assert len(got) == 599 and got.type == pa.list_(pa.float32())
+    rows = np.array(got.to_pylist())
+    assert not rows[0].any() and np.allclose(np.linalg.norm(rows[2]), 1) and (rows[2] == rows[598]).all() and (rows[3] == rows[599 - 4 + 0]).all()
+
+
 def test_best_matches_equal_all_pairs(spark):
     rng = random.Random(14)
     words = [f"word{k}" for k in range(30)]
