@@ -1,8 +1,10 @@
 """Hand-made cases for the rules, and brute-force checks for those SQL cannot say."""
 
+import inspect
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -242,6 +244,36 @@ def test_contradiction_links_equal_the_pair_loop(spark):
     assert CF.contradictions(df.limit(0)).count() == 0
 
 
+def test_blocks_of_contradictions_are_compared_as_sets(spark):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(12)] + [f"rare{i}" for i in range(400)]
+    scopes = [("", "", False, False), ("india", "", False, True), ("", "bus", True, False), ("canada", "bus", False, False)]
+
+    def side(k, n):
+        rows = []
+        for i in range(n):
+            own = {rng.choice(words[:12]) for _ in range(rng.randrange(4))} | {rng.choice(words[12:]) for _ in range(rng.randrange(1, 9))}
+            region, segment, forecast, historical = rng.choice(scopes)
+            rows.append({"region": region, "segment": segment, "forecast": forecast, "historical": historical, "text": rng.randrange(300),
+                         "tokens": [hash(w) for w in own], "first": 10000 * k + i, "claims": rng.choice([1, 1, 1, 2, 5, 9]), "side": k})
+        rng.shuffle(rows)
+        return rows
+
+    left, right = side(0, 90), side(1, 500)
+    ok = lambda a, b: all(not a[c] or not b[c] or a[c] == b[c] for c in ("region", "segment")) and not (a["forecast"] and b["historical"]) and not (b["forecast"] and a["historical"])
+    met = {a["first"]: [b for b in right if a["text"] != b["text"] and ok(a, b) and len(set(a["tokens"]) & set(b["tokens"])) > 1] for a in left}
+    table = CF._compare((pa.scalar("r"), pa.scalar("m")), pa.Table.from_pylist(left + right))
+    got = {(r["first"], r["links"], r["partner"]) for r in table.to_pylist()}
+    assert got == {(k, sum(b["claims"] for b in v), min(b["first"] for b in v)) for k, v in met.items() if v} and len(got) > 50
+
+
+def test_groups_of_a_run_are_copied_to_few_blocks(spark):
+    rows = spark.range(9000).selectExpr("id AS claim_id", "'r' AS research_id", "concat('Sales increased ', id) AS claim", "'verified' AS status")
+    grouped = CF.groups(CL.claim_features(rows))
+    assert grouped.count() == 9000
+    assert CF._blocks(grouped, inspect.signature(CF.links).parameters["rows"].default).select("block").distinct().count() == 1
+
+
 def test_every_contradicted_claim_has_its_row(spark):
     df, pool = _random_claims(spark, 7, 80, "rrq"), _random_claims(spark, 57, 60, "rrq")
     f, p = ({r["claim_id"]: r for r in x.collect()} for x in (df, pool))
