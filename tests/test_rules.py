@@ -172,6 +172,23 @@ def test_agreement_with_frequent_words_and_few_partners(spark):
         assert {r["source_id"]: r["partners"] for r in CR.agreement(df, heavy=heavy).collect()} == want
 
 
+def test_agreement_settles_rich_sources_in_their_rows(spark):
+    rng = random.Random(21)
+    vocabularies = [[f"{lang}{i:03d}" for i in range(120)] for lang in ("word", "wort", "mots")]
+    texts = [" ".join(rng.sample(rng.choice(vocabularies), rng.randrange(30, 60))) for _ in range(60)]
+    # few words, copies under one URL, and words of two languages once each
+    texts += [" ".join(rng.sample(rng.choice(vocabularies), rng.randrange(0, 4))) for _ in range(40)] + ["word001 wort001", "mots002 only1", "only1 mots002 only2", "only3 only4", ""]
+    rows = [(i, "r" if i % 9 else "q", f"u{i}" if i % 5 else f"u{i % 3}", "", t, "news") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SOURCE_ROW).repartition(3)
+    want = _agreeing(rows)
+    assert set(want.values()) == {0, 1, 2}
+    for rounds in (1, 3):
+        assert {r["source_id"]: r["partners"] for r in CR.agreement(df, rounds=rounds).collect()} == want
+    base = df.selectExpr("source_id", "research_id", "url", "array_distinct(transform(split(content, ' '), w -> xxhash64(w))) AS words").withColumn("n", F.size("words"))
+    left = {r["source_id"] for r in CR._open_after_heads(base.filter("n >= 30")).collect()}
+    assert len(left) < 45 and left >= {i for i, n in want.items() if n < 2 and len(texts[i].split()) >= 30}
+
+
 def test_agreement_reads_whole_texts(spark):
     texts = ["alpha gamma", "delta omega", "alpha gamma delta", "sigma alpha gamma", "omega delta kappa", ""]
     rows = [(i, "r", f"u{i}", "", f"w{i:04d} " + f"fill{i} " * 120 + t, "news") for i, t in enumerate(texts)]
