@@ -25,6 +25,8 @@ from gleaner.llm.pieces import encoder
 from gleaner.llm.registry import query
 
 BLOCK_TOKENS = 500_000
+#: ids counted at once: a count touches the whole vocabulary, so not for each document
+COUNTED_BYTES = 4_000_000
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
@@ -76,9 +78,15 @@ def frequencies(tokens: DataFrame, vocabulary: int, dtype: np.dtype) -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
+        held, size = [], 0
         for batch in batches:
             for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_py(), dtype), minlength=vocabulary)
+                held.append(ids.as_py())
+                size += len(held[-1])
+                if size >= COUNTED_BYTES:
+                    total += np.bincount(np.frombuffer(b"".join(held), dtype), minlength=vocabulary)
+                    held, size = [], 0
+        total += np.bincount(np.frombuffer(b"".join(held), dtype), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 

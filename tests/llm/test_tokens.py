@@ -187,3 +187,13 @@ def test_media_operator(docs, nothing, corpus):
     assert Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in out) == want
     assert all(r.payload_bytes % 64 == 0 and r.media_bytes > r.payload_bytes and r.feature for r in out)
     assert media.probe(media.store(nothing)).count() == 0
+
+
+def test_ids_are_counted_over_whole_parts(spark, monkeypatch):
+    monkeypatch.setattr(tokenids, "COUNTED_BYTES", 40)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 90, n).astype("<u2") for n in (0, 1, 7, 19, 20, 21, 400, 0, 3)]
+    df = spark.createDataFrame([(k, bytearray(t.tobytes())) for k, t in enumerate(texts)], "doc_id long, ids binary").repartition(2)
+    got = {r.id: r.occurrences for r in tokenids.frequencies(df, 100, np.dtype("<u2")).collect()}
+    ids, n = np.unique(np.concatenate(texts), return_counts=True)
+    assert got == dict(zip(ids.tolist(), n.tolist()))
