@@ -114,6 +114,18 @@ def test_near_duplicates_follow_the_sequential_rule(spark):
         assert got == dropped
 
 
+def test_near_duplicates_with_a_common_passage_need_no_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = [f"license{i}" for i in range(60)]
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(200)] + passage for _ in range(120)]
+    texts.append(texts[7][:100] + ["other"] + texts[7][101:])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    cuts, cut = [], D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    assert [tuple(r) for r in D.near_duplicate_keepers(docs, "doc_id").collect()] == [(120, 7)]
+    assert len(cuts) < 15
+
+
 def test_academic_merge_is_sequential(spark):
     rows = [("q", 1, "Alpha", "10/a"), ("q", 2, "alpha!", "10/b"), ("q", 3, "Beta", "10/b"), ("q", 4, "Gamma", "10/A"), ("q", 5, "beta", None)]
     df = spark.createDataFrame(rows, "g string, ord bigint, title string, doi string")
