@@ -156,26 +156,46 @@ def agent_summary(runs: DataFrame, key: str) -> DataFrame:
 def span_tree(spans: DataFrame) -> DataFrame:
     """(span_id, depth, root, path, duration, subtree): each round hangs one more level under the known spans.
 
-    spans: span_id, parent_id, name, started, ended.  A level is one join on the span id; lineage is cut per level, and
-    rounds end when a level is empty.  A span whose parent is unknown is a root; spans that hang on a cycle have no root
-    and come last, each for itself, at depth -1.
+    spans: span_id, parent_id, name, started, ended.  Only spans with children are walked, down for the paths and up again
+    for the sums, each level from the one beside it; all others, most of a tree, are hung under them in one join.  Lineage
+    is cut per level, and rounds end when a level is empty.  A span whose parent is unknown is a root; spans that hang on a
+    cycle have no root and come last, each for itself, at depth -1.
     """
     from gleaner.session import cut_lineage
-    base = spans.select("span_id", "parent_id", "name", (F.col("ended") - F.col("started")).alias("duration"))
-    ids = base.select(F.col("span_id").alias("parent_id")).distinct()
-    level = cut_lineage(base.join(ids, "parent_id", "left_anti").select("span_id", F.lit(0).alias("depth"), F.col("span_id").alias("root"), F.col("name").alias("path"), "duration",
-                                                                F.array("span_id").alias("chain")))
-    known, depth = level, 0
+
+    def plus(a: Column, b: Column) -> Column:
+        return F.coalesce(a + b, a, b)
+
+    def under(rows: DataFrame, value: str) -> DataFrame:
+        return rows.filter("parent_id is not null").groupBy(F.col("parent_id").alias("span_id")).agg(F.sum(value).alias("_u"))
+
+    columns = ["span_id", "depth", "root", "path", "duration", "subtree"]
+    base = cut_lineage(spans.select("span_id", "parent_id", "name", (F.col("ended") - F.col("started")).alias("duration")))
+    parents = base.select(F.col("parent_id").alias("span_id")).distinct()
+    ends = base.join(parents, "span_id", "left_anti")
+    inner = base.join(parents, "span_id", "left_semi").join(under(ends, "duration"), "span_id", "left")
+    inner = cut_lineage(inner.withColumn("own", plus(F.col("duration"), F.col("_u"))).drop("_u"))
+    level = cut_lineage(inner.join(inner.select(F.col("span_id").alias("parent_id")), "parent_id", "left_anti").select(
+        "span_id", "parent_id", F.lit(0).alias("depth"), F.col("span_id").alias("root"), F.col("name").alias("path"), "duration", "own"))
+    levels = []
     while not level.isEmpty():
-        depth += 1
-        up = level.select(F.col("span_id").alias("parent_id"), "root", F.col("path").alias("_p"), F.col("chain").alias("_c"))
-        level = cut_lineage(base.join(up, "parent_id").select("span_id", F.lit(depth).alias("depth"), "root", F.concat_ws("/", "_p", "name").alias("path"), "duration",
-                                                              F.array_append("_c", F.col("span_id")).alias("chain")))
-        known = known.unionByName(level)
-    lost = base.join(known.select("span_id"), "span_id", "left_anti")
-    known = known.unionByName(lost.select("span_id", F.lit(-1).alias("depth"), F.lit(None).cast(base.schema["span_id"].dataType).alias("root"), F.col("name").alias("path"), "duration", F.array("span_id").alias("chain")))
-    under = known.select(F.explode("chain").alias("span_id"), F.col("duration").alias("d")).groupBy("span_id").agg(F.sum("d").alias("subtree"))
-    return known.drop("chain").join(under, "span_id")
+        levels.append(level)
+        up = level.select(F.col("span_id").alias("parent_id"), "root", F.col("path").alias("_p"))
+        level = cut_lineage(inner.join(up, "parent_id").select(
+            "span_id", "parent_id", F.lit(len(levels)).alias("depth"), "root", F.concat_ws("/", "_p", "name").alias("path"), "duration", "own"))
+    known, below = level.select(*columns[:-1], F.col("own").alias("subtree")), None
+    for level in reversed(levels):
+        summed = level.withColumn("subtree", F.col("own")) if below is None else cut_lineage(
+            level.join(below, "span_id", "left").withColumn("subtree", plus(F.col("own"), F.col("_u"))))
+        known, below = known.unionByName(summed.select(*columns)), under(summed, "subtree")
+    lost = inner.join(known.select("span_id"), "span_id", "left_anti")
+    nowhere = F.lit(None).cast(base.schema["span_id"].dataType)
+    known = known.unionByName(lost.select("span_id", F.lit(-1).alias("depth"), nowhere.alias("root"), F.col("name").alias("path"), "duration", F.col("duration").alias("subtree")))
+    hung = ends.join(known.select(F.col("span_id").alias("parent_id"), F.col("depth").alias("_d"), F.col("root").alias("_r"), F.col("path").alias("_p")), "parent_id", "left")
+    found = F.col("_d") >= 0
+    return known.unionByName(hung.select(
+        "span_id", F.when(found, F.col("_d") + 1).otherwise(F.coalesce("_d", F.lit(0))).alias("depth"), F.when(F.col("_d").isNull(), F.col("span_id")).otherwise(F.col("_r")).alias("root"),
+        F.when(found, F.concat_ws("/", "_p", "name")).otherwise(F.col("name")).alias("path"), "duration", F.col("duration").alias("subtree")))
 
 
 def latest_per(df: DataFrame, key: str, order: list[Column], n: int = 1) -> DataFrame:

@@ -21,6 +21,7 @@ from gleaner.operators import graph as G
 from gleaner.operators import overlap as O
 from gleaner.operators import postings as P
 from gleaner.operators import ranking as R
+from gleaner.operators import usage as US
 from gleaner.operators import vectorindex as VI
 from gleaner.operators import vectors as VE
 from gleaner.operators import verification as V
@@ -675,3 +676,14 @@ def test_chunk_packing(spark):
         frame = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, s array<string>")
         got = {r.k: [tuple(c) for c in r.c] for r in frame.select("k", C.packed(F.col("s"), limit, overlap, least).alias("c")).collect()}
         assert got == {k: plain(r, limit, overlap, least) for k, r in enumerate(cleaned)}
+
+
+def test_span_tree_lists_no_ancestors(spark):
+    rows = [(1, None, "a", 1.0), (2, 1, "b", 2.0), (3, 2, "c", None), (4, 2, "d", 4.0), (5, 77, "e", 5.0), (6, None, "f", None),
+            (7, 8, "g", 7.0), (8, 7, "h", 8.0), (9, 8, "i", 9.0), (10, 5, "j", 0.5), (11, 4, "k", 0.25)]
+    spans = spark.createDataFrame([(i, p, n, 0.0, e) for i, p, n, e in rows], "span_id bigint, parent_id bigint, name string, started double, ended double")
+    tree = US.span_tree(spans)
+    assert {r["span_id"]: tuple(r)[1:] for r in tree.select("span_id", "depth", "root", "path", "subtree").collect()} == {
+        1: (0, 1, "a", 7.25), 2: (1, 1, "a/b", 6.25), 3: (2, 1, "a/b/c", None), 4: (2, 1, "a/b/d", 4.25), 11: (3, 1, "a/b/d/k", 0.25),
+        5: (0, 5, "e", 5.5), 10: (1, 5, "e/j", 0.5), 6: (0, 6, "f", None), 7: (-1, None, "g", 7.0), 8: (-1, None, "h", 8.0), 9: (-1, None, "i", 9.0)}
+    assert "Generate explode" not in tree._jdf.queryExecution().optimizedPlan().toString()
