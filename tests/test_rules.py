@@ -694,3 +694,57 @@ def test_span_tree_lists_no_ancestors(spark):
         1: (0, 1, "a", 7.25), 2: (1, 1, "a/b", 6.25), 3: (2, 1, "a/b/c", None), 4: (2, 1, "a/b/d", 4.25), 11: (3, 1, "a/b/d/k", 0.25),
         5: (0, 5, "e", 5.5), 10: (1, 5, "e/j", 0.5), 6: (0, 6, "f", None), 7: (-1, None, "g", 7.0), 8: (-1, None, "h", 8.0), 9: (-1, None, "i", 9.0)}
     assert "Generate explode" not in tree._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counted_support_equals_listed_support(spark):
+    from gleaner.operators import quality as Q
+    rng = random.Random(31)
+    words = [f"word{k}" for k in range(24)] + ["sales", "rose"] * 6
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9)))
+    claims = [(i, rng.choice("rrq"), f"{text()} New Acme 12%" if i % 4 == 0 else text()) for i in range(80)] + [(200, "r", ""), (201, "q", "??")]
+    pool = [(300 + i, rng.choice("rrqs"), t, t, ["Acme"] if i % 3 == 0 else ["New Acme"] * (i % 2), ["12%", "12%"] if i % 5 == 0 else [], 0.5 + i % 7 / 10, "disputed" if i % 6 == 0 else "verified", i % 17 if i % 17 else None)
+            for i, t in enumerate([text() for _ in range(90)] + [c[2] for c in claims[:8]] + ["", "Acme 12%"])]
+    left = spark.createDataFrame(claims, "claim_id bigint, research_id string, claim string")
+    right = spark.createDataFrame(pool, "evidence_id bigint, research_id string, body string, evidence_claim string, entities array<string>, metrics array<string>, confidence double, status string, source_id bigint")
+    sources = spark.createDataFrame([(i, f"https://u{i % 4}", 0.4 + i / 30 if i % 5 else None, str(2010 + i) if i % 3 else None) for i in range(14)], "source_id bigint, url string, credibility_score double, published_at string")
+    listed = V.supporting_evidence(left, right).localCheckpoint()
+    none = spark.createDataFrame([], "claim_id bigint, links bigint")
+    want = V.claim_facts(left, listed, V.compare_sources(listed, sources), none)
+    scores = {r.claim_id: r.score for r in Q.assess_confidence(listed.join(sources, "source_id", "left"), "claim_id", 2026).collect()}
+    picked = ["claim_id", "supporting", "best", "flagged", "distinct_sources", "avg_credibility", "confidence"]
+    rows_of = lambda df: {(*r[:5], round(r[5], 12), r[6]) for r in df.select(*picked).collect() if r[1]}
+    want = rows_of(want)
+    assert len(scores) > 30 and any(r[3] for r in want)
+    for rows in (100, 7):  # with 7 rows a block, units lie in several blocks
+        got = V.support_facts(left, right, sources, 2026, rows=rows).localCheckpoint()
+        found = rows_of(V.facts_of(left, got, none))
+        assert not sorted(found ^ want), sorted(found ^ want)[:4]
+        assert {r.claim_id: r.score for r in Q.assessed(got.withColumn("conflicts", F.lit(0)), "claim_id").collect()} == scores
+
+
+def test_blocks_travel_packed_and_lookups_miss_nothing():
+    from gleaner.operators import blocks as B
+    from gleaner.operators import covered as CO
+    rng = np.random.default_rng(5)
+    sets = lambda n, most: [sorted(set((rng.zipf(1.3, rng.integers(0, most)) % 400).tolist())) for _ in range(n)]
+    lists = pa.list_(pa.int64())
+    one = pa.table({"id": np.arange(300), "tokens": pa.array(sets(300, 14), lists), "mentions": pa.array(sets(300, 6), lists), "key": np.arange(300)})
+    names = sets(2000, 4)
+    two = pa.table({"id": np.arange(2000), "tokens": pa.array(sets(2000, 14), lists), "mentions": pa.array(names, lists), "key": -1 - np.arange(2000),
+                    "weights": pa.array([[0.15] * len(x) for x in names], pa.list_(pa.float64())), "factor": 0.7 + np.arange(2000) % 4 / 10})
+    data = B.packed(two)
+    assert B.unpacked(pa.py_buffer(data)).equals(two) and len(data) < two.nbytes / 3  # what is copied is a part of the rows
+    wide, CO.BITS = CO.BITS, (4,)
+    try:
+        got = CO.best_pairs(one, two, 0.45, 3, 1.0).to_pylist()
+    finally:
+        CO.BITS = wide
+    want = []
+    for a, b, c in zip(one["id"].to_pylist(), one["tokens"].to_pylist(), one["mentions"].to_pylist()):
+        own = []
+        for r, (x, y) in enumerate(zip(two["tokens"].to_pylist(), names)):
+            match = round(len(set(b) & set(x)) / max(1, len(b)) + 0.15 * len(set(c) & set(y)), 9)
+            if match >= 0.45:
+                own.append((-round(match * (0.7 + r % 4 / 10), 9), r))
+        want += [(a, r, -v) for v, r in sorted(own)[:3]]
+    assert sorted((g["left_id"], g["right_id"], round(g["value"], 7)) for g in got) == sorted((a, r, round(v, 7)) for a, r, v in want) and len(want) > 300
