@@ -748,3 +748,30 @@ def test_blocks_travel_packed_and_lookups_miss_nothing():
                 own.append((-round(match * (0.7 + r % 4 / 10), 9), r))
         want += [(a, r, -v) for v, r in sorted(own)[:3]]
     assert sorted((g["left_id"], g["right_id"], round(g["value"], 7)) for g in got) == sorted((a, r, round(v, 7)) for a, r, v in want) and len(want) > 300
+
+
+def test_first_inline_match_is_the_first_of_all(spark):
+    from gleaner.operators import covered as CO
+    rng = random.Random(41)
+    words = ["market", "markets", "share", "shares", "grew", "fell", "strongly", "india", "indiana", "this"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    said = [("rq"[i % 2], i, text(rng.randrange(4, 9)) + rng.choice(["", " 12%", " by 7", " 2023", " [1]"]) + ".") for i in range(120)]
+    known = [("rqs"[i % 3], 1000 + i, text(rng.randrange(0, 12)) + " of it", rng.choice([[], [], ["12%"], ["7"], ["2023", "%"]]) if i > 40 else [], i % 9 + 1) for i in range(150)]
+    s = spark.createDataFrame(said, "run string, sentence_id bigint, sentence string")
+    e = spark.createDataFrame(known, "run string, evidence_id bigint, claim string, metrics array<string>, index int")
+    want = set()
+    for run, i, sentence in said:
+        for own, j, claim, numbers, index in known:
+            ws = [w for w in claim.split() if len(w) > 3]
+            if run == own and len(sentence.strip()) >= 20 and "[" not in sentence and ws and (
+                    sum(w in sentence for w in ws) / len(ws) >= 0.55 or any(n in sentence for n in numbers)):
+                want.add((i, j, index))
+                break
+    assert {tuple(r) for r in CI.inline_matches(s, e, "run").collect()} == want and len({w[1] for w in want}) > 5
+    lists = pa.list_(pa.int64())
+    one = pa.table({"id": [1, 2], "tokens": pa.array([[1, 2, 3], [9]], lists), "bound": [TOP_ID, 5000]})
+    two = pa.table({"id": list(range(3000)) + [4000, 6000], "tokens": pa.array([[7, 7, 1]] * 3000 + [[1, 2, 8], [9]], lists)})
+    assert CO.first_pairs(one, two, 0.55).to_pylist() == [{"id": 1, "first": 4000}]
+
+
+TOP_ID = (1 << 63) - 1
