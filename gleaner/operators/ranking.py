@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleaner import lexicons as L
 from gleaner.functions import text as T
 from gleaner.functions import tokens as K
-from gleaner.operators.vectors import search, top_k
+from gleaner.operators.counted import _spans
+from gleaner.operators.overlap import Postings
+from gleaner.operators.vectors import QUERY_NUMBERS, _unit, search, top_k
+from gleaner.session import cut_lineage
 
 K1, B, AVERAGE_LENGTH = 1.5, 0.75, 150.0
 
@@ -156,18 +163,55 @@ def academic_credibility(doi: Column, citations: Column, abstract: Column, datab
 
 
 def recall_prior(records: DataFrame, queries: DataFrame, record_id: str, query_id: str, k: int = 3, minimum: float = 0.35) -> DataFrame:
-    """Earlier runs like a query: .70 cosine + .30 token Jaccard, at least ``minimum``, best k.
-
-    The token part adds at most .30.  So a match needs a cosine of (minimum - .30) / .70, and a winner needs to come
-    within .30 / .70 of the k-th best cosine: both bounds go into the second, exact vector pass.
-    """
-    bound = max((minimum - 0.30) / 0.70, 0.0)
-    kth = search(records, queries, k, min_score=bound, vec_id=record_id, query_id=query_id).filter(F.col("rank") == k)
-    floors = queries.join(kth.select(query_id, (F.col("score") - 0.30 / 0.70).alias("_f")), query_id, "left")
-    floors = floors.withColumn("floor", F.coalesce("_f", F.lit(bound))).drop("_f")
-    near = search(records, floors, None, min_score=bound, vec_id=record_id, query_id=query_id)
-    a, b = F.array_distinct(K.rerank_tokens(F.col("query"))), F.array_distinct(K.rerank_tokens(F.col("text")))
-    jac = F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
-    scored = (near.join(queries.select(query_id, F.col("text").alias("query")), query_id).join(records.drop("embedding"), record_id)
-              .withColumn("relevance", 0.70 * F.greatest("score", F.lit(0.0)) + 0.30 * jac).filter(F.col("relevance") >= minimum))
-    return top_k(scored, query_id, [F.desc("relevance"), F.asc(record_id)], k)
+    """(query_id, record_id, relevance, rank): earlier runs like a query, .70 cosine + .30 token Jaccard, at least ``minimum``, best k.
+
+    Queries travel in blocks as in ``vectors.search``; each block is one pass over the records, whose tasks compare vectors and
+    token sets of a batch with all queries at once and keep k rows per query.  No (query, record) pair is listed."""
+    tokens = lambda: F.array_distinct(F.transform(K.rerank_tokens(F.col("text")), lambda t: F.xxhash64(t)))
+    fields = [F.col("embedding").cast("array<double>").alias("_v"), F.coalesce(tokens(), F.array().cast("array<bigint>")).alias("_t")]
+    base, asked = records.filter("embedding is not null").select(record_id, *fields), cut_lineage(queries.filter("embedding is not null").select(query_id, *fields))
+    kinds = [df.schema[c].dataType for df, c in ((asked, query_id), (base, record_id))]
+    schema, found = f"{query_id} {kinds[0].simpleString()}, {record_id} {kinds[1].simpleString()}, relevance double", None
+    blocks = -(-(asked.agg(F.sum(F.size("_v") + F.size("_t"))).first()[0] or 0) // QUERY_NUMBERS)
+    for n in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n).collect()
+        if rows:
+            own = base.mapInArrow(_recalling(base.sparkSession, rows, k, minimum, [to_arrow_type(t) for t in kinds], [query_id, record_id, "relevance"]), schema)
+            found = own if found is None else found.unionByName(own)
+    if found is None:
+        return base.sparkSession.createDataFrame([], f"{schema}, rank int")
+    return top_k(found, query_id, [F.desc("relevance"), F.asc(record_id)], k)
+
+
+def _recalling(spark, rows: list, k: int, minimum: float, types: list, names: list[str]):
+    owner = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    words = np.concatenate([np.array(r[2], np.int64) for r in rows])
+    known, number = np.unique(words, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    cuts = np.searchsorted(number[order], np.arange(len(known) + 1))
+    packed = spark.sparkContext.broadcast(([r[0] for r in rows], _unit(np.array([r[1] for r in rows], np.float64)), np.array([len(r[2]) for r in rows]), known, owner[order], cuts))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, sizes, known, asking, cuts = packed.value
+        step = max(1, 4_000_000 // len(ids))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
+                m = batch.num_rows
+                near = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(m, -1)) @ vectors.T
+                words, row = Postings._entries(pa.chunked_array([batch.column(2)]))
+                at = np.searchsorted(known, words)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == words[hit]
+                place, entry = _spans(cuts[at[hit]], cuts[at[hit] + 1])
+                shared = np.bincount(row[hit][entry] * len(ids) + asking[place], minlength=m * len(ids)).reshape(m, -1)
+                union = np.bincount(row, minlength=m)[:, None] + sizes - shared
+                relevance = 0.70 * np.maximum(near, 0.0) + 0.30 * (shared / np.maximum(union, 1))
+                if m > k:  # all ties of the k-th stay
+                    floor = np.maximum(np.partition(relevance, m - k, axis=0)[m - k], minimum)
+                else:
+                    floor = np.full(len(ids), minimum)
+                record, query = np.nonzero(relevance >= floor)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query.tolist()], types[0]), batch.column(0).take(pa.array(record)).cast(types[1]), pa.array(relevance[record, query])], names)
+
+    return score

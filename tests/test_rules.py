@@ -775,3 +775,48 @@ def test_first_inline_match_is_the_first_of_all(spark):
 
 
 TOP_ID = (1 << 63) - 1
+
+
+def test_recall_bundle_has_every_part(spark):
+    from gleaner.operators import memory as M
+    rng = random.Random(9)
+    words = ["market", "mark", "Steel", "blue", "is", "of", "bolt", "de", "supermarket", "x y"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    queries = spark.createDataFrame([(i, text(rng.randrange(0, 5))) for i in range(12)] + [(20, "is of"), (21, None)], "query_id bigint, text string")
+    docs = spark.createDataFrame([(text(rng.randrange(0, 9)) if i % 9 else None, [rng.choice(["de", "is", "fr"])] if i % 4 else None) for i in range(60)], "text string, tags array<string>")
+    want = {r.query_id: r.n for r in docs.crossJoin(queries.withColumnRenamed("text", "t")).filter(M.matches_conclusion(F.col("t"), F.col("text"), F.col("tags"))).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r.query_id: r.conclusions for r in M.conclusion_counts(docs, queries, "query_id").collect()} == want and len(want) > 8
+    parts = spark.createDataFrame([("p1", "blue bolt", ["HOT"], "", "Acme"), ("p2", "blue bolt", ["HOT"], "", "Acme"), ("p3", "green nut", ["COLD"], "", "Brand")],
+                                  "member string, name string, aliases array<string>, description string, company string")
+    pairs = parts.crossJoin(queries.withColumnRenamed("text", "t")).filter(M.matches_entity(F.col("t"), F.col("name"), F.col("aliases"), F.col("description"), F.col("company")))
+    assert {tuple(r) for r in M.entity_matches(parts, queries, "query_id").collect()} == {(r.query_id, r.member) for r in pairs.collect()}
+    edges = spark.createDataFrame([(1, "s1", "p1", "supplies"), (2, "s1", "p3", "supplies"), (3, "n1", "s1", "affects")], "edge_id bigint, src string, dst string, relation string")
+    asked = spark.createDataFrame([(1, "a bolt of steel"), (2, "nothing here")], "query_id bigint, text string")
+    prior = spark.createDataFrame([(2, 5), (2, 6)], "query_id bigint, doc_id bigint")
+    got = {tuple(r) for r in M.recall_bundle(asked, prior, parts, docs.limit(0), edges, "query_id").collect()}
+    assert got == {(1, 0, 2, 0, 1, 4, 3), (2, 2, 0, 0, 0, 0, 0)}  # p1 reaches s1, p3 and n1; p2 is not in the graph
+
+
+def test_recall_prior_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    words = ["market", "sales", "growth", "india", "cars", "policy", "zinc"]
+    text = lambda: " ".join(rng.choice(words, rng.integers(0, 6)))
+    side = lambda n, at: [(at + i, text(), rng.normal(size=4).tolist() if i % 9 else [0.0] * 4) for i in range(n)]
+    records, queries = side(80, 100), side(9, 0)
+    records += [(300 + i, *records[5][1:]) for i in range(4)]  # copies tie
+    a = spark.createDataFrame(records, "doc_id bigint, text string, embedding array<double>").repartition(3)
+    b = spark.createDataFrame(queries, "query_id bigint, text string, embedding array<double>")
+    from gleaner.functions import tokens as KT
+    toks = {t: set(one(spark, KT.rerank_tokens(F.lit(t)))) for t in {r[1] for r in records + queries}}
+    want = set()
+    for q, qt, qv in queries:
+        own = []
+        for d, dt, dv in records:
+            cos = np.dot(qv, dv) / max(np.linalg.norm(qv) * np.linalg.norm(dv), 1e-12)
+            rel = 0.7 * max(cos, 0.0) + 0.3 * len(toks[qt] & toks[dt]) / max(len(toks[qt] | toks[dt]), 1)
+            if rel >= 0.35:
+                own.append((-round(rel, 9), d))
+        want |= {(q, d, n + 1) for n, (_, d) in enumerate(sorted(own)[:3])}
+    got = R.recall_prior(a, b, "doc_id", "query_id")
+    assert {(r.query_id, r.doc_id, r.rank) for r in got.collect()} == want and len(want) > 10
+    assert R.recall_prior(a, b.limit(0), "doc_id", "query_id").count() == 0
